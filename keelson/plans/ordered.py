@@ -200,3 +200,16 @@ def inside_intervals(
         *[F.col(f"__row.{c}").alias(c) for c in cols],
         F.coalesce(F.col("__m") >= F.col("__t"), F.lit(False)).alias(flag),
     )
+
+
+def haloed(df: DataFrame, t: str, width: float, before: float, after: float = 0.0) -> DataFrame:
+    """Time slices that also hold the rows up to ``before`` earlier and ``after`` later,
+    so that a range window of that reach needs only its own slice.  ``__own`` marks the
+    rows that belong to the slice; filter on it after the window."""
+    tc, w = F.col(t).cast("double"), F.lit(float(width))
+
+    def bucket(c):
+        return F.floor(c / w).cast("bigint")
+
+    d = df.withColumn(SLICE, F.explode(F.sequence(bucket(tc - F.lit(float(after))), bucket(tc + F.lit(float(before))))))
+    return d.withColumn("__own", F.col(SLICE) == bucket(tc))

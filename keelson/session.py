@@ -17,6 +17,7 @@ def build_session(app: str = "keelson", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     base.update(conf)
     for k, v in base.items():
