@@ -213,3 +213,48 @@ def haloed(df: DataFrame, t: str, width: float, before: float, after: float = 0.
 
     d = df.withColumn(SLICE, F.explode(F.sequence(bucket(tc - F.lit(float(after))), bucket(tc + F.lit(float(before))))))
     return d.withColumn("__own", F.col(SLICE) == bucket(tc))
+
+
+def linear_recurrence(
+    df: DataFrame, keys: Sequence[str], pos: str, a: Column, b: Column, out: str, *, block: int = 256,
+) -> DataFrame:
+    """Solves ``y = a * y_prev + b`` along ``pos`` (distinct integers) per key.
+
+    A block of positions is composed into one affine map; block maps are composed the
+    same way once more, and only those are folded per key, so work per task stays
+    bounded by the block.  ``a = 0`` restarts the recurrence.
+    """
+    keys = list(keys)
+
+    def prefixes(d: DataFrame, part: list[str], p: str) -> DataFrame:
+        item = F.struct(F.col(p).alias("p"), F.col("__a").alias("a"), F.col("__b").alias("b"))
+        g = d.groupBy(*part).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+        zero = F.expr("named_struct('a', 1.0D, 'b', 0.0D, 'o', cast(array() as array<struct<p:bigint,a:double,b:double>>))")
+
+        def step(acc, x):
+            na, nb = acc["a"] * x["a"], x["a"] * acc["b"] + x["b"]
+            row = F.struct(x["p"].alias("p"), na.alias("a"), nb.alias("b"))
+            return F.struct(na.alias("a"), nb.alias("b"), F.array_append(acc["o"], row).alias("o"))
+
+        return g.select(*part, F.aggregate("xs", zero, step).alias("m"))
+
+    def solve(d: DataFrame, depth: int) -> DataFrame:
+        """(keys, __p, __A, __B): prefix maps from the start of the key."""
+        if depth == 0:
+            m = prefixes(d, keys, "__p")
+            return m.select(*keys, F.explode("m.o").alias("z")).select(
+                *keys, F.col("z.p").alias("__p"), F.col("z.a").alias("__A"), F.col("z.b").alias("__B"))
+        d = d.withColumn("__blk", F.floor(F.col("__p") / F.lit(block)).cast("bigint"))
+        m = prefixes(d, keys + ["__blk"], "__p")
+        top = solve(m.select(*keys, F.col("__blk").alias("__p"), F.col("m.a").alias("__a"), F.col("m.b").alias("__b")), depth - 1)
+        # value entering a block: the prefix of the block before it that exists
+        w = W.partitionBy(*keys).orderBy("__p")
+        top = top.select(*keys, F.col("__p").alias("__blk"), F.lag("__A").over(w).alias("__iA"), F.lag("__B").over(w).alias("__iB"))
+        e = m.select(*keys, "__blk", F.explode("m.o").alias("z")).join(top, keys + ["__blk"])
+        ia, ib = F.coalesce("__iA", F.lit(1.0)), F.coalesce("__iB", F.lit(0.0))
+        return e.select(*keys, F.col("z.p").alias("__p"), (F.col("z.a") * ia).alias("__A"),
+                        (F.col("z.a") * ib + F.col("z.b")).alias("__B"))
+
+    src = df.select(*keys, F.col(pos).cast("bigint").alias("__p"), a.cast("double").alias("__a"), b.cast("double").alias("__b"))
+    y = solve(src, 2).select(*keys, F.col("__p").alias(pos), F.col("__B").alias(out))
+    return df.withColumn(pos, F.col(pos).cast("bigint")).join(y, keys + [pos])
