@@ -68,11 +68,14 @@ SELECT concat('Lake', CAST(event_id % 4 AS STRING), '/g', CAST(CAST(floor(event_
  CASE WHEN user_id % 3 = 0 THEN 'fallback' WHEN user_id % 3 = 1 THEN 'ble' ELSE 'boat_log' END AS source,
  CAST(floor((event_id % 1600) / 12e0) AS BIGINT) * 1000 AS fix_ms, event_id AS row_no FROM events"""),
     "fx_masks": ("lineitem", """
-SELECT concat('f', CAST(CAST(floor(l_orderkey / 4e0) AS BIGINT) AS STRING)) AS frame_id, l_orderkey AS ok,
- ((l_orderkey % 4) * 216 + (l_partkey * 7 + l_linenumber * 29) % 216) AS col, 648 AS height,
- CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN NULL ELSE 280 + (l_partkey * 3 + l_suppkey) % 90 END AS top_water_row,
- CASE WHEN (l_partkey + l_suppkey) % 13 = 0 THEN 0 WHEN (l_partkey + l_suppkey) % 17 = 0 THEN 648 ELSE 40 + (l_partkey * 5) % 300 END AS bottom_run,
- (l_suppkey * 3 + l_linenumber) % 60 AS obstacle_px, l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln FROM lineitem"""),
+SELECT concat('Lake', CAST(l_orderkey % 4 AS STRING), '/c', CAST(CAST(floor(l_orderkey / 4000e0) AS BIGINT) AS STRING)) AS clip_id,
+ CAST(floor((l_orderkey % 4000) / 20e0) AS BIGINT) AS frame_index, (l_partkey * 7 + l_linenumber * 29) % 864 AS col, 648 AS height,
+ min(200 + (l_partkey * 3 + l_suppkey) % 120) AS r0, min(200 + (l_partkey * 3 + l_suppkey) % 120) + min((l_suppkey * 13 + l_linenumber * 17) % 80) AS r1,
+ min((l_partkey + l_suppkey) % 13) AS wet, min((l_partkey + l_linenumber) % 19) AS open FROM lineitem GROUP BY 1, 2, 3, 4"""),
+    "fx_levels": ("lineitem", """
+SELECT concat('Lake', CAST(l_orderkey % 4 AS STRING), '/c', CAST(CAST(floor(l_orderkey / 4000e0) AS BIGINT) AS STRING)) AS clip_id,
+ CAST(floor((l_orderkey % 4000) / 20e0) AS BIGINT) AS frame_index,
+ (l_partkey * 11 + l_suppkey * 3 + l_linenumber) % (20 + (l_orderkey % 4000) % 200) AS level, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3"""),
 }
 
 
