@@ -133,7 +133,7 @@ def nearest_asof(
     Both sides are cut into time slices of ``slice_factor * max_age``; a right row
     within ``max_age`` of a slice edge is also placed in the neighbour, so every
     slice is self-contained.  ``side`` is ``nearest`` (ties go to the earlier
-    sample) or ``backward`` (at most ``slack`` later).  Adds the payload columns
+    sample), ``backward`` (at most ``slack`` later) or ``forward`` (at or after).  Adds the payload columns
     and ``asof_gap`` (left time minus right time), null when nothing is in reach.
     Right times must be distinct within a key.
     """
@@ -163,7 +163,13 @@ def nearest_asof(
     back = F.last("__p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     both = both.withColumn("__b", back)
     here = F.col(f"__row.{t}").cast("double")
-    if side == "backward":
+    if side == "forward":
+        same = F.when(F.col("__b.__rt") == here, F.col("__b"))
+        fwd = F.first("__p", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+        both = both.withColumn("__f", fwd)
+        best = F.coalesce(same, F.col("__f"))
+        pick = F.when(best["__rt"] - here <= age, best)
+    elif side == "backward":
         pick = F.when(here - F.col("__b.__rt") <= age, F.col("__b"))
     else:
         fwd = F.first("__p", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
