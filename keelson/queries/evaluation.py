@@ -75,14 +75,14 @@ sv AS (SELECT *, CASE row_id % 4 WHEN 0 THEN 0.6e0 WHEN 1 THEN 1e0 WHEN 2 THEN 0
 
 
 @query("P26_P27_threat_bands", "fx_scores", sql=SC + THREAT + """
-SELECT row_id, sev AS severity, round(p * sev * coalesce(greatest(t1, t2), 0.3e0), 9) AS threat, round(p * sev * coalesce(greatest(t1, t2, t3), 0.3e0), 9) AS threat_motion,
+SELECT row_id, sev AS severity, round(p * sev * coalesce(greatest(t1, t2), 0.3e0), 12) AS threat, round(p * sev * coalesce(greatest(t1, t2, t3), 0.3e0), 12) AS threat_motion,
  CASE WHEN min_range_m <= 5 THEN 'near<=5m' WHEN min_range_m <= 15 THEN 'mid5-15m' ELSE 'far/unknown' END AS band FROM sv""")
 def threats(spark, sf):
     d = scored(spark, sf).withColumn("cl", F.expr("CASE row_id % 4 WHEN 0 THEN 'boat|buoy' WHEN 1 THEN '' WHEN 2 THEN 'duck' ELSE 'kayak|float' END"))
     d = d.withColumn("cpa", F.expr("CASE WHEN row_id % 6 > 2 THEN free_m / 2 END")).withColumn("sev", Q.severity(F.col("cl")))
     a = (F.col("p"), F.col("min_range_m"), F.col("ttc_s"), F.col("sev"))
-    return d.select("row_id", F.col("sev").alias("severity"), F.round(Q.threat(*a), 9).alias("threat"),
-                    F.round(Q.threat(*a, cpa=F.col("cpa"), t_cpa=F.col("ttc_s")), 9).alias("threat_motion"),
+    return d.select("row_id", F.col("sev").alias("severity"), F.round(Q.threat(*a), 12).alias("threat"),
+                    F.round(Q.threat(*a, cpa=F.col("cpa"), t_cpa=F.col("ttc_s")), 12).alias("threat_motion"),
                     Q.range_band(F.col("min_range_m"), F.lit(None).cast("double")).alias("band"))
 
 
