@@ -92,4 +92,4 @@ def with_views(body: str, *names: str) -> str:
     """Checking SQL with the named views as common table expressions.  ``body``
     starts with SELECT, or with a comma to add further expressions."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in names)
-    return f"WITH {ctes}\n{body}" if names else body
+    return f"WITH RECURSIVE {ctes}\n{body}" if names else body
