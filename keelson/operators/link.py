@@ -26,7 +26,9 @@ def payload_bytes(payload: Column) -> Column:
 
 def decode(packets: DataFrame) -> DataFrame:
     """Adds ``valid`` and the decoded fields (null when invalid)."""
-    d = packets.filter(F.length("payload") > 0).withColumn("b", payload_bytes(F.col("payload")))
+    # a one-element generator keeps the byte array a real column: filters on decoded fields
+    # are then not rewritten into copies of the byte expression
+    d = packets.filter(F.length("payload") > 0).select("*", F.explode(F.array(payload_bytes(F.col("payload")))).alias("b"))
     b = lambda i: F.get("b", F.lit(i) if isinstance(i, int) else i)
     u16 = lambda i: b(i) + b(i + 1) * 256
     n = b(10)

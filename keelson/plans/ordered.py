@@ -43,6 +43,9 @@ def scan(
     """
     keys = list(keys)
     part = keys + [slice_col]
+    # one exchange feeds both the windows and the summaries (it is reused, and dropped when
+    # the input already has this partitioning), so the input is computed once
+    df = df.repartition(*part)
     w = W.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     onward = w.rowsBetween(0, W.unboundedFollowing)

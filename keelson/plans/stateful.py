@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -17,19 +18,24 @@ def ordered_map(
     df: DataFrame, keys: Sequence[str], frame: str, order: Sequence[str],
     machine: Callable[[], object], schema: str,
 ) -> DataFrame:
-    """``machine()`` makes an object with ``step(pdf) -> pdf``; a new one is made for
-    every key.  ``step`` receives all rows of one frame."""
+    """``machine()`` makes an object with ``step(rows) -> list of tuples``; a new one is made
+    for every key.  ``rows`` maps column names to the arrays of one frame; the tuples follow
+    ``schema``."""
     keys, order = list(keys), list(order)
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, held = None, None, None
 
-        def flush(part):
+        def feed(cols, a, b):
             nonlocal current, state
-            k = tuple(part[c].iloc[0] for c in keys)
+            k = tuple(cols[c][a] for c in keys)
             if k != current:
                 current, state = k, machine()
-            return state.step(part)
+            return state.step({c: v[a:b] for c, v in cols.items()})
+
+        def arrays(pdf):
+            return {c: pdf[c].to_numpy() for c in pdf.columns}
 
         for pdf in batches:
             if held is not None:
@@ -37,16 +43,22 @@ def ordered_map(
                 held = None
             if not len(pdf):
                 continue
-            mark = pdf[keys + [frame]]
-            start = mark.ne(mark.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            outs = [flush(pdf.iloc[a:b]) for a, b in zip(start[:-1], start[1:])]
+            cols = arrays(pdf)
+            cut = np.zeros(len(pdf), bool)
+            cut[0] = True
+            for c in keys + [frame]:
+                cut[1:] |= cols[c][1:] != cols[c][:-1]
+            start = cut.nonzero()[0].tolist()
+            out = []
+            for a, b in zip(start[:-1], start[1:]):
+                out += feed(cols, a, b)
             held = pdf.iloc[start[-1]:].reset_index(drop=True)
-            outs = [o for o in outs if o is not None and len(o)]
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+            if out:
+                yield pd.DataFrame(out, columns=names)
         if held is not None:
-            out = flush(held)
-            if out is not None and len(out):
-                yield out
+            cols = arrays(held)
+            out = feed(cols, 0, len(held))
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, frame, *order).mapInPandas(run, schema)

@@ -283,7 +283,8 @@ def hourly(spark, sf):
 def hour_samples(spark, sf):
     c = clip_cover(spark, sf)
     k = 1 + F.col("clip_id") % 5
-    return c.select("clip_id", "n_frames", k.alias("n_samples"), ((F.floor(F.col("start_s") / 3600) + F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))) % 24).alias("hour"))
+    c = c.select("clip_id", "n_frames", "start_s", k.alias("n_samples"), F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("i"))
+    return c.select("clip_id", "n_frames", "n_samples", ((F.floor(F.col("start_s") / 3600) + F.col("i")) % 24).alias("hour"))
 
 
 @query("A34_weather_bands", "fx_clips", sql=CV + """, b AS (SELECT 'cloud_cover_pct' AS dimension, CASE WHEN cloud < 20 THEN 0 WHEN cloud < 40 THEN 1 WHEN cloud < 60 THEN 2 WHEN cloud < 80 THEN 3 ELSE 4 END AS band, n_frames FROM cl WHERE cloud IS NOT NULL
@@ -339,15 +340,15 @@ def matrix(spark, sf):
     return C.condition_matrix(entity_rows(spark, sf), C.clip_conditions(c, parts))
 
 
-@query("A37_J22_clip_weather", "fx_clips", sql=""", h AS (SELECT CAST(floor(event_id / 24e0) AS BIGINT) AS day, event_id % 24 AS hour, value / 5 AS cc, value / 400 AS pr, value / 12 AS ws, (event_id * 47 % 360) * 1e0 AS wd, value / 20 AS te FROM events),
+@query("A37_J22_clip_weather", "fx_clips", sql=""", h AS (SELECT CAST(floor(event_id / 24e0) AS BIGINT) AS day, event_id % 24 AS hour, value / 5 AS cc, value / 400 AS pr, value / 12 AS ws, (event_id * 47 % 360) * 0.97e0 AS wd, value / 20 AS te FROM events),
 c AS (SELECT chunk_no AS clip_id, chunk_no % 400 AS day, chunk_no % 20 AS sh, least(23, chunk_no % 20 + chunk_no % 4) AS eh FROM fx_clips)
-SELECT clip_id, round(avg(cc) / 10, 3) AS cloud10, round(sum(pr) / 10, 4) AS rain10, round(degrees(atan2(sum(sin(radians(wd))), sum(cos(radians(wd))))) - 360 * floor(degrees(atan2(sum(sin(radians(wd))), sum(cos(radians(wd))))) / 360), 0) + 0.0 AS wind_dir_deg, count(*) AS hours FROM c JOIN h ON h.day = c.day AND h.hour BETWEEN sh AND eh GROUP BY 1""")
+SELECT clip_id, round(avg(cc) / 10, 9) AS cloud10, round(sum(pr) / 10, 9) AS rain10, round(degrees(atan2(sum(sin(radians(wd))), sum(cos(radians(wd))))) - 360 * floor(degrees(atan2(sum(sin(radians(wd))), sum(cos(radians(wd))))) / 360), 0) + 0.0 AS wind_dir_deg, count(*) AS hours FROM c JOIN h ON h.day = c.day AND h.hour BETWEEN sh AND eh GROUP BY 1""")
 def clip_weather(spark, sf):
-    h = load(spark, sf, "events").selectExpr("CAST(floor(event_id / 24e0) AS BIGINT) AS day", "event_id % 24 AS hour", "value / 5 AS cloud_cover", "value / 400 AS precipitation", "value / 12 AS wind_speed", "(event_id * 47 % 360) * 1e0 AS wind_dir", "value / 20 AS temperature")
+    h = load(spark, sf, "events").selectExpr("CAST(floor(event_id / 24e0) AS BIGINT) AS day", "event_id % 24 AS hour", "value / 5 AS cloud_cover", "value / 400 AS precipitation", "value / 12 AS wind_speed", "(event_id * 47 % 360) * 0.97e0 AS wind_dir", "value / 20 AS temperature")
     c = view(spark, sf, "fx_clips").selectExpr("chunk_no AS clip_id", "chunk_no % 400 AS day", "chunk_no % 20 AS start_hour", "least(23, chunk_no % 20 + chunk_no % 4) AS end_hour")
     w = C.clip_weather(c, h)
     raw = c.withColumn("hour", F.explode(F.sequence("start_hour", "end_hour"))).join(h, ["day", "hour"]).groupBy("clip_id").agg(
-        F.round(F.avg("cloud_cover") / 10, 3).alias("cloud10"), F.round(F.sum("precipitation") / 10, 4).alias("rain10"), F.count("*").alias("hours"))
+        F.round(F.avg("cloud_cover") / 10, 9).alias("cloud10"), F.round(F.sum("precipitation") / 10, 9).alias("rain10"), F.count("*").alias("hours"))
     return w.select("clip_id", (F.col("wind_dir_deg") + F.lit(0.0)).alias("wind_dir_deg")).join(raw, "clip_id")
 
 

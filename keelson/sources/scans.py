@@ -40,26 +40,26 @@ def read_numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def _fields(lines: DataFrame) -> DataFrame:
     d = lines.filter((F.trim("line") != "") & ~F.col("line").startswith("Date") & ~F.col("line").startswith("frame_index"))
-    return d.withColumn("f", F.transform(F.split("line", ",", -1), lambda x: F.trim(x))).withColumn("k", F.size("f"))
+    return d.withColumn("__f", F.transform(F.split("line", ",", -1), lambda x: F.trim(x))).withColumn("__k", F.size("__f"))
 
 
 def _num(i: int) -> Column:
     """Field as a number; blank, NaN and junk give null."""
-    v = F.get("f", F.lit(i)).try_cast("double")
+    v = F.get("__f", F.lit(i)).try_cast("double")
     return F.when(~F.isnan(v), v)
 
 
 def _stamp(d: int, t: int) -> Column:
-    return F.try_to_timestamp(F.concat_ws(" ", F.get("f", F.lit(d)), F.get("f", F.lit(t)))).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.concat_ws(" ", F.get("__f", F.lit(d)), F.get("__f", F.lit(t)))).cast("timestamp_ntz")
 
 
 def radar_rows(lines: DataFrame) -> DataFrame:
     """Radar points.  Rows with a coordinate out of bounds drop; an impossible Doppler is
     nulled; a row without coordinates is a heartbeat and stays."""
-    d = _fields(lines).filter("k >= 5")
+    d = _fields(lines).filter("__k >= 5")
     v = _num(5)
     d = d.select(*[c for c in lines.columns if c != "line"], _stamp(0, 1).alias("ts"), _num(2).alias("x"), _num(3).alias("y"), _num(4).alias("z"),
-                 F.when(F.abs(v) <= DOPPLER_BOUND_MPS, v).alias("v"), F.when(F.col("k") >= 8, _num(6)).alias("snr"), F.when(F.col("k") >= 8, _num(7)).alias("noise"))
+                 F.when(F.abs(v) <= DOPPLER_BOUND_MPS, v).alias("v"), F.when(F.col("__k") >= 8, _num(6)).alias("snr"), F.when(F.col("__k") >= 8, _num(7)).alias("noise"))
     full = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     wild = F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) >= COORD_BOUND_M
     return d.filter(~(full & F.coalesce(wild, F.lit(False)))).withColumn("rounded_time", clock.rounded_time(F.col("ts")))
@@ -69,9 +69,9 @@ def imu_rows(lines: DataFrame) -> DataFrame:
     """Attitude in either layout: Euler (5 or 8 fields) or quaternion (6 fields); rows with
     a missing value drop."""
     d = _fields(lines)
-    euler, quat = F.col("k").isin(5, 8), F.col("k") == 6
+    euler, quat = F.col("__k").isin(5, 8), F.col("__k") == 6
     cols = {n: F.when(euler, _num(i)) for n, i in (("yaw", 2), ("pitch", 3), ("roll", 4))}
-    cols |= {n: F.when(F.col("k") == 8, _num(i)) for n, i in (("ax", 5), ("ay", 6), ("az", 7))}
+    cols |= {n: F.when(F.col("__k") == 8, _num(i)) for n, i in (("ax", 5), ("ay", 6), ("az", 7))}
     cols |= {n: F.when(quat, _num(i)) for n, i in (("qw", 2), ("qx", 3), ("qy", 4), ("qz", 5))}
     d = d.select(*[c for c in lines.columns if c != "line"], _stamp(0, 1).alias("ts"), *[c.alias(n) for n, c in cols.items()],
                  F.when(euler, "euler").when(quat, "quaternion").alias("layout"))
@@ -82,15 +82,15 @@ def imu_rows(lines: DataFrame) -> DataFrame:
 
 def gps_rows(lines: DataFrame) -> DataFrame:
     """Own position; rows without a place drop; a blank fix stays null; the source is kept."""
-    d = _fields(lines).filter("k >= 4")
+    d = _fields(lines).filter("__k >= 4")
     d = d.select(*[c for c in lines.columns if c != "line"], _stamp(0, 1).alias("ts"), _num(2).alias("lat"), _num(3).alias("lon"), _num(4).cast("int").alias("fix"),
-                 F.nullif(F.get("f", F.lit(5)), F.lit("")).alias("source"), F.get("f", F.lit(6)).try_cast("timestamp").alias("fix_time"))
+                 F.nullif(F.get("__f", F.lit(5)), F.lit("")).alias("source"), F.get("__f", F.lit(6)).try_cast("timestamp").alias("fix_time"))
     return d.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("rounded_time", clock.rounded_time(F.col("ts")))
 
 
 def frame_clock_rows(lines: DataFrame) -> DataFrame:
     """Frame clock with optional exposure fields."""
-    d = _fields(lines).filter("k >= 3")
+    d = _fields(lines).filter("__k >= 3")
     names = ("exposure_time_us", "analogue_gain", "digital_gain", "lux_est")
     return d.select(*[c for c in lines.columns if c != "line"], _num(0).cast("bigint").alias("frame_index"), _stamp(1, 2).alias("ts"),
                     *[_num(3 + i).alias(n) for i, n in enumerate(names)]).withColumn("rounded_time", clock.rounded_time(F.col("ts")))
