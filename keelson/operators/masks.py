@@ -37,32 +37,44 @@ def column_profile(runs: DataFrame, height: int) -> DataFrame:
         F.sum(F.when(F.col("cls") == OBSTACLE, F.col("row1") - F.col("row0") + 1).otherwise(0)).alias("obstacle_px"))
 
 
+def _line(pts, prefix: str) -> dict:
+    """Least-squares line through an array of points (x, y), as columns."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy")])
+    sums = F.aggregate(pts, zero, lambda s, p: F.struct(
+        (s["n"] + 1.0).alias("n"), (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y"),
+        (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["xy"] + p["x"] * p["y"]).alias("xy")))
+    return {f"{prefix}m": sums}
+
+
+def _slope(m):
+    den = m["n"] * m["xx"] - m["x"] * m["x"]
+    return F.when(den != 0, (m["n"] * m["xy"] - m["x"] * m["y"]) / den)
+
+
+def _rms(pts, slope, intercept):
+    ss = F.aggregate(pts, F.lit(0.0), lambda s, p: s + F.pow(p["y"] - slope * p["x"] - intercept, 2))
+    return F.sqrt(ss / F.size(pts))
+
+
 def water_edge(cols: DataFrame, height: int, min_share: float = 0.3, sigma: float = 2.0) -> DataFrame:
     """Line through the top water rows with one trimmed refit; confidence is coverage
-    times straightness, 0 when too few columns hold water."""
-    y, x = F.col("top_water_row"), F.col("col")
-    n = F.count("*")
-    one = cols.groupBy(*FRAME).agg(
-        n.alias("w"), F.count(y).alias("nv"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("b"))
-    res = cols.join(one, FRAME).filter(y.isNotNull()).withColumn("r", y - (F.col("s") * x + F.col("b")))
+    times straightness, 0 when too few columns hold water.  The image width bounds a
+    frame's columns, so each frame is fitted inside one row: a single shuffle."""
+    pt = F.when(F.col("top_water_row").isNotNull(), F.struct(F.col("col").cast("double").alias("x"), F.col("top_water_row").cast("double").alias("y")))
+    d = cols.groupBy(*FRAME).agg(F.count("*").alias("w"), F.collect_list(pt).alias("pts")).withColumn("nv", F.size("pts"))
+    d = d.withColumns(_line(F.col("pts"), "a"))
+    d = d.withColumn("s1", _slope(F.col("am"))).withColumn("b1", (F.col("am.y") - F.col("s1") * F.col("am.x")) / F.col("nv"))
     # residual spread around the first line (its mean is zero)
-    sd = res.groupBy(*FRAME).agg(F.stddev_pop("r").alias("sd"))
-    res = res.join(sd, FRAME).withColumn("keep", F.abs("r") < sigma * F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
-    two = res.groupBy(*FRAME).agg(
-        F.count_if("keep").alias("nk"),
-        F.regr_slope(F.when(F.col("keep"), y), x).alias("s2"), F.regr_intercept(F.when(F.col("keep"), y), x).alias("b2"))
-    j = one.join(two, FRAME, "left")
-    refit = (F.col("nk") >= 2) & (F.col("nk") < F.col("nv"))
-    j = j.select(*FRAME, "w", "nv", refit.alias("refit"),
-                 F.when(refit, F.col("s2")).otherwise(F.col("s")).alias("slope"),
-                 F.when(refit, F.col("b2")).otherwise(F.col("b")).alias("intercept"))
-    used = res.select(*FRAME, "col", "top_water_row", "keep").join(j, FRAME).filter(~F.col("refit") | F.col("keep"))
-    rms = used.groupBy(*FRAME).agg(F.sqrt(F.avg(F.pow(y - F.col("slope") * x - F.col("intercept"), 2))).alias("rms"))
+    d = d.withColumn("sd", _rms(F.col("pts"), F.col("s1"), F.col("b1")))
+    spread = F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
+    d = d.withColumn("kept", F.filter("pts", lambda p: F.abs(p["y"] - F.col("s1") * p["x"] - F.col("b1")) < sigma * spread))
+    refit = (F.size("kept") >= 2) & (F.size("kept") < F.col("nv"))
+    d = d.withColumn("used", F.when(refit, F.col("kept")).otherwise(F.col("pts"))).withColumns(_line(F.col("used"), "u"))
+    d = d.withColumn("s2", _slope(F.col("um"))).withColumn("b2", (F.col("um.y") - F.col("s2") * F.col("um.x")) / F.size("used"))
     few = F.col("nv") < F.greatest(F.lit(2), F.floor(F.lit(min_share) * F.col("w")))
-    conf = F.col("nv") / F.col("w") / (1.0 + F.col("rms") / max(1.0, 0.02 * height))
-    return j.join(rms, FRAME, "left").select(
-        *FRAME, F.when(few, 0.0).otherwise(F.col("slope")).alias("slope"),
-        F.when(few, 0.0).otherwise(F.col("intercept")).alias("intercept"), F.when(few, 0.0).otherwise(conf).alias("conf"))
+    conf = F.col("nv") / F.col("w") / (1.0 + _rms(F.col("used"), F.col("s2"), F.col("b2")) / max(1.0, 0.02 * height))
+    return d.select(*FRAME, F.when(few, 0.0).otherwise(F.col("s2")).alias("slope"), F.when(few, 0.0).otherwise(F.col("b2")).alias("intercept"),
+                    F.when(few, 0.0).otherwise(conf).alias("conf"))
 
 
 def free_space(cols: DataFrame, ups: DataFrame | None = None, cam: Camera = FISHEYE, grid: BinGrid = GRID,
