@@ -9,7 +9,7 @@ from keelson.functions import motion as M
 from keelson.functions.rounding import r6, tidy
 from keelson.operators import radar as R
 from keelson.params import RadarGate
-from keelson.queries.catalog import query
+from keelson.queries.catalog import CATALOG, query
 
 GATED = """, nf AS (SELECT clip_id, frame_index, count(*) AS n FROM fx_radar GROUP BY ALL),
 g AS (SELECT r.* FROM fx_radar r JOIN nf USING (clip_id, frame_index) WHERE n BETWEEN 1 AND 500),
@@ -132,7 +132,9 @@ def point_matching(spark, sf):
     return m.select(*R.FRAME, "point_id", "p_id", F.round("dist", 6).alias("dist"), r6("trk_vx"), r6("trk_vy"))
 
 
-@query("P09_velocity_provenance")
+@query("P09_velocity_provenance", "fx_radar", sql=GATED + ", mt AS (" + CATALOG["J14_frame_point_matching"].sql + """),
+fs AS (SELECT p.clip_id, p.frame_index, bool_or(vy IS NOT NULL) AS d, bool_or(vy IS NULL AND mt.point_id IS NOT NULL) AS t FROM pol p LEFT JOIN mt ON mt.clip_id = p.clip_id AND mt.frame_index = p.frame_index AND mt.point_id = p.point_id GROUP BY 1, 2)
+SELECT CASE WHEN d AND t THEN 'mixed' WHEN d THEN 'doppler' ELSE 'tracker' END AS velocity_source, count(*) AS n_frames FROM fs GROUP BY 1""")
 def velocity_provenance(spark, sf):
     kept = _kept(spark, sf)
     polar = R.with_polar(kept)
