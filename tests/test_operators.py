@@ -175,3 +175,20 @@ def test_gate_fit_recovers_structure(spark):
     g = fit_gated_mixture(d, "y", seeds=(0,), epochs=60)[0]
     w = d.select(*g.gates()).agg(*[F.avg(f"w_{s}").alias(s) for s in SENSORS]).first()
     assert w.radar > w.fisheye and w.radar > w.thermal
+
+
+def test_annotation_plan_spacing_and_rare_classes(spark):
+    from keelson.operators.review import annotation_plan
+
+    rows = [("c", i, f"f{i:03d}", 0.5 if i != 40 else 0.49, ["duck"] if i == 40 else ["boat"], ["part:day"], True) for i in range(100)]
+    d = spark.createDataFrame(rows, "clip_id string, idx bigint, frame_id string, u double, classes array<string>, cells array<string>, labelled boolean")
+    got = annotation_plan(d, 6).orderBy("rank").collect()
+    idx = sorted(int(r.frame_id[1:]) for r in got)
+    assert len(got) == 6 and all(b - a >= 8 for a, b in zip(idx, idx[1:]))
+    assert "f040" in {r.frame_id for r in got[:2]}
+    assert [r.frame_id for r in got] == [r.frame_id for r in annotation_plan(d, 6).orderBy("rank").collect()]
+
+
+def test_camera_sustains_a_lost_target():
+    x, y = K.sustain_by_camera(0.0, 5.0, -1.0, 10.0, 0.5)
+    assert math.hypot(x, y) == pytest.approx(4.5) and math.degrees(math.atan2(x, y)) == pytest.approx(5.0)
