@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import token_store
+from keelson.llm import language, quality, token_store
 from keelson.llm.catalog import QUERIES, SQL, query, table  # noqa: F401
-from keelson.llm.staging import shared_path
+from keelson.llm.staging import shared_path, staged
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,3 +32,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token_store")
     token_store.build_store(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_store.read_store(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document, and cutoffs per language with bounded false rejections."""
+    rows = staged(quality.figures(table(spark, sf_dir, "documents"), "lang"), "figures")
+    cuts = staged(quality.cutoffs(rows, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.judged(rows, cuts).drop("stratum")
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the three quarters that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -101,12 +101,28 @@ def words(column: pa.Array) -> Words:
     return Words(data, offsets, start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first)
 
 
-def word_hashes(w: Words, lower: bool) -> np.ndarray:
-    up, down = powers(len(w.data) + 1)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
+    up, down = powers(len(data) + 1)
     table = _LETTER[_LOWER] if lower else _LETTER
-    total = np.zeros(len(w.data) + 1, np.uint64)
-    np.cumsum(table[w.data] * up[:len(w.data)], out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table[data] * up[:len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
+def word_hashes(w: Words, lower: bool) -> np.ndarray:
+    return span_hashes(w.data, w.start, w.end, lower)
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    return _BLANK[data]
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """n + 1 running counts, so that a range's count is a difference."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
