@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import language, quality, token_store
+from keelson.llm import html, language, quality, token_store, urls
 from keelson.llm.catalog import QUERIES, SQL, query, table  # noqa: F401
 from keelson.llm.staging import shared_path, staged
 
@@ -52,3 +52,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest fitting rule's, else the trees'."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.RULES)

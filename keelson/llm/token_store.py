@@ -31,13 +31,17 @@ from keelson.llm.text import slices, text_bytes
 END_ID = 1
 BLOCK_IDS = 1 << 17
 SIDE_BY_SIDE = 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _MARKS = b".,;:!?|%&*#$"
 _END = b"end of text"
 ENCODED = "doc_id long, ids binary, n_tokens long"
 BLOCKS = "part int, seq int, first long, n_ids long, doc_ids array<long>, doc_lens array<int>, payload binary"
 
 
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
+
+
 class WordEncoder(dict):
     """Encodes texts with a bounded memory of words seen.
 
@@ -63,9 +67,10 @@ class WordEncoder(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.stems: dict[bytes, np.ndarray | None] = {}
+        self.stems: dict[bytes, int] = {}          # the first word with this stem, once learned
+        self.stem_size = np.empty(1 << 14, np.int32)
         self.fresh: list[tuple[bytes, bytes]] = []
-        self.flat, self.used = np.empty(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.flat, self.used = np.empty(1 << 16, id_type(self.tokenizer.get_vocab_size())), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def __missing__(self, word: bytes) -> int:
@@ -75,17 +80,16 @@ class WordEncoder(dict):
         tail = b""
         if len(body) < len(stem) and body and body[-1] < 128 and chr(body[-1]).isalnum():
             stem, tail = body, stem[len(body):]
-        if stem not in self.stems:
-            self.stems[stem] = None
         self.fresh.append((stem, tail))
         return at
 
     def closing(self, end_id: int) -> None:
         """Files the end id under a key that no word can be."""
         if _END not in self:
-            self.stems[_END], self.tails[b""] = np.array([end_id], self.flat.dtype), np.empty(0, self.flat.dtype)
-            self[_END] = len(self)
-            self.fresh.append((_END, b""))
+            at = self[_END] = len(self)
+            self.fresh.append((b"", b"\0 end"))
+            self.tails[b"\0 end"] = np.array([end_id], self.flat.dtype)
+            assert self[_END] == at
 
     def one_by_one(self, items: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)]
@@ -93,29 +97,40 @@ class WordEncoder(dict):
     def learn(self) -> None:
         """Encodes new stems and tails.  Stems of letters only are encoded many in one string
         and told apart by word-end tokens; where these do not add up, one by one."""
-        todo = [s for s in {s for s, _ in self.fresh} if self.stems[s] is None]
+        new: dict[bytes, np.ndarray] = {}
         plain, other = [], []
-        for s in todo:
-            (plain if s.decode().isalpha() else other).append(s)
+        for s in {s for s, _ in self.fresh}:
+            if s not in self.stems:
+                (plain if s.decode().isalpha() else other).append(s)
         for lo in range(0, len(plain), 512):
             group = plain[lo:lo + 512]
             ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, self.flat.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group):
-                self.stems.update(zip(group, map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+                new.update(zip(group, map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
             else:
                 other += group
-        self.stems.update(zip(other, self.one_by_one(other)))
+        new.update(zip(other, self.one_by_one(other)))
         tails = [t for t in {t for _, t in self.fresh} if t not in self.tails]
         self.tails.update(zip(tails, self.one_by_one(tails)))
-        pieces = [x for s, t in self.fresh for x in (self.stems[s], self.tails[t])]
+        while len(self) > len(self.start):
+            self.start, self.size, self.stem_size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size, self.stem_size))
         known = len(self) - len(self.fresh)
+        pieces, stem_size = [], []
+        for at, (stem, tail) in enumerate(self.fresh, known):
+            ids = new.get(stem)
+            if ids is None:
+                first = self.stems[stem]
+                ids = self.flat[self.start[first]:self.start[first] + self.stem_size[first]]
+            pieces += ids, self.tails[tail]
+            stem_size.append(len(ids))
+        for at, (stem, _) in enumerate(self.fresh, known):
+            self.stems.setdefault(stem, at)
+        self.stem_size[known:len(self)] = stem_size
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(1)
         total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size))
         self.flat[self.used:self.used + total] = np.concatenate(pieces)
         self.start[known:len(self)] = self.used + np.cumsum(size) - size
         self.size[known:len(self)] = size
@@ -159,23 +174,23 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and n_tokens of every document."""
+    """doc_id, ids (little-endian, of ``id_type`` width) and n_tokens of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
         for b in slices(batches, "text"):
             ids, cut = encoder.encode(b.column("text"), end_id)
-            ids = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            ids = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((cut * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(np.diff(cut))], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, dtype: np.dtype) -> DataFrame:
     """How often each id occurs; each task sends one row per id."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            n = np.bincount(np.frombuffer(text_bytes(b.column("ids"))[0], dtype), minlength=len(total))
             n[:len(total)] += total
             total = n
         seen = np.flatnonzero(total)
@@ -184,11 +199,11 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_store(encoded: DataFrame, path: str, *, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
+def write_store(encoded: DataFrame, path: str, dtype: np.dtype, *, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
     """Writes the store at ``path`` from ``encode_documents``'s rows.  The counts that reach
     the driver are one row per id of the vocabulary."""
     spark = encoded.sparkSession
-    counts = id_counts(encoded).toPandas()
+    counts = id_counts(encoded, dtype).toPandas()
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
     table[counts["id"]] = counts["n"]
     freq = rans.normalised(table)
@@ -210,8 +225,8 @@ def write_store(encoded: DataFrame, path: str, *, block_ids: int = BLOCK_IDS, pa
 
         for b in batches:
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                docs.append((doc_id, np.frombuffer(raw, "<u4")))
-                size += len(raw) // 4
+                docs.append((doc_id, np.frombuffer(raw, dtype)))
+                size += len(raw) // dtype.itemsize
                 if size >= block_ids:
                     ready.append((seq, first, size, docs))
                     docs, first, size, seq = [], first + size, 0, seq + 1
@@ -256,8 +271,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID) -> None:
+    from tokenizers import Tokenizer
+
     encoded = staged(encode_documents(docs, tokenizer_path, end_id), "ids")
-    write_store(encoded, path)
+    write_store(encoded, path, id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size()))
     discard(encoded)
 
 
