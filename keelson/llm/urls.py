@@ -25,7 +25,7 @@ MAX_RULES = 1_000
 TREES, DEPTH, BINS, SEED = 16, 4, 32, 7
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 SMOOTH = 20.0
-FEATURES = ["n_chars", "host_chars", "path_chars", "host_labels", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "params", "query_chars", "has_fragment", "has_extension", "secure", "www", "suffix_share", "suffix_block"]
+FEATURES = ["n_chars", "host_chars", "path_chars", "host_labels", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "params", "query_chars", "has_fragment", "has_extension", "secure", "www", "suffix_block"]
 
 
 def parts(urls: DataFrame) -> DataFrame:
@@ -71,8 +71,7 @@ def lexical(rows: DataFrame) -> DataFrame:
 def with_suffix(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """Joins what labelled urls say of the suffix; the tables meet on the suffix, and the
     optimiser broadcasts the smaller one only if it is small."""
-    out = rows.join(stats, "suffix", "left").withColumns({
-        "suffix_share": F.coalesce("suffix_share", F.lit(0.0)), "suffix_block": F.coalesce("suffix_block", F.lit(0.5))})
+    out = rows.join(stats, "suffix", "left").withColumn("suffix_block", F.coalesce("suffix_block", F.lit(0.5)))
     return VectorAssembler(inputCols=FEATURES, outputCol="figures").transform(out.withColumns({c: F.col(c).cast("double") for c in FEATURES}))
 
 
@@ -83,8 +82,8 @@ def fit(labelled: DataFrame, *, max_train: int = MAX_TRAIN) -> tuple[GBTClassifi
     n, blocked = total["n"], total["b"] or 0.0
     # both verdicts weigh the same in all
     weight = F.when(block == 1.0, n / (2 * max(blocked, 1.0))).otherwise(n / (2 * max(n - blocked, 1.0)))
-    stats = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.sum(weight * block).alias("b")).select(
-        "suffix", (F.col("n") / max(n, 1)).alias("suffix_share"), ((F.col("b") + SMOOTH / 2) / (F.col("w") + SMOOTH)).alias("suffix_block"))
+    stats = labelled.groupBy("suffix").agg(F.sum(weight).alias("w"), F.sum(weight * block).alias("b")).select(
+        "suffix", ((F.col("b") + SMOOTH / 2) / (F.col("w") + SMOOTH)).alias("suffix_block"))
     if blocked in (0.0, n):
         return ("block" if n and blocked else "allow"), stats
     sample = labelled.withColumns({"label": block, "weight": weight}).orderBy(F.xxhash64("url"), "url", "page_id").limit(max_train)
