@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import html, language, minhash, pieces, quality, token_store, urls
+from keelson.llm import html, language, minhash, pieces, quality, suffixes, token_store, urls
 from keelson.llm.catalog import QUERIES, SQL, query, table  # noqa: F401
 from keelson.llm.staging import shared_path, staged
 
@@ -88,3 +88,9 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document: three-word shingles, Jaccard at least 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without 100-byte strings that occur earlier."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
