@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import html, language, minhash, passages, pieces, quality, suffixes, token_store, urls
+from keelson.llm import decontaminate, html, language, minhash, passages, pieces, quality, suffixes, token_store, urls
 from keelson.llm.catalog import QUERIES, SQL, query, table  # noqa: F401
 from keelson.llm.staging import shared_path, staged
 
@@ -100,3 +100,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that repeat, exactly or nearly, one of an earlier document."""
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds, word for word or paraphrased."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -18,6 +18,8 @@ SLICE_BYTES = 4 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: everything but ASCII letters and digits and the bytes of longer characters
+NOT_ALNUM = np.array([not (chr(c).isalnum() and c < 128) and c < 128 for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -86,10 +88,11 @@ class Words:
         return np.diff(self.first)
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, gaps: np.ndarray = _BLANK) -> Words:
+    """Words of all texts; ``gaps`` marks the bytes that stand between words."""
     data, offsets = text_bytes(column)
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(_BLANK[data], out=inside[1:-1])
+    np.logical_not(gaps[data], out=inside[1:-1])
     body = inside[1:-1]
     opens, closes = body & ~inside[:-2], body & ~inside[2:]
     edges = offsets[1:-1]
