@@ -27,6 +27,7 @@ BUCKETS = 1 << 15
 ORDERS = 3
 SMOOTH = 0.5
 MAX_MATRIX_BYTES = 256 << 20
+UNKNOWN = "und"
 SLICE = 1 << 20
 
 
@@ -98,12 +99,12 @@ class Model:
         bucket, row, has = grams(column)
         n = len(column)
         if not self.langs:
-            return ["und"] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n)
         total = np.stack([np.bincount(row, weights=self.log[bucket, k], minlength=n) for k in range(len(self.langs))], 1) + self.prior
         best = total.argmax(1)
         odds = np.exp(total - total.max(1, keepdims=True))
         score = np.where(has > 0, 1 / odds.sum(1), 0.0)
-        return [self.langs[k] if h else "und" for k, h in zip(best.tolist(), (has > 0).tolist())], score
+        return [self.langs[k] if h else UNKNOWN for k, h in zip(best.tolist(), (has > 0).tolist())], score
 
 
 def fit(docs: DataFrame) -> Model:
@@ -133,3 +134,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def likely(docs: DataFrame, model: Model, score: float) -> DataFrame:
+    """Rows whose text has a language at least this likely; all columns stay, nothing is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", SLICE):
+            lang, p = shared.value.predict(b.column("text"))
+            out += [x != UNKNOWN and y >= score for x, y in zip(lang, p.tolist())]
+        return pa.array(out, pa.bool_())
+
+    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
