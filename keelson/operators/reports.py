@@ -265,8 +265,9 @@ def normalise_trials(events: DataFrame) -> DataFrame:
 
 
 def trial_summary(events: DataFrame, half_deg: float = 15.0) -> DataFrame:
-    """One row per trial: decisions, refusals, leg and station seconds, outcome, nearest
-    range and highest score near the course."""
+    """One row per trial: name, note, whether it was armed, decisions, refusals, the accepted
+    choice, leg and station seconds, outcome, nearest range with its bearing and highest score
+    near the course.  A station event without a pattern keeps the one before it, or holds."""
     pos = F.col("pos")
 
     def last(c: str, cond: Column) -> Column:
@@ -282,7 +283,12 @@ def trial_summary(events: DataFrame, half_deg: float = 15.0) -> DataFrame:
         last("distance_m", kind == "checkpoint").alias("checkpoint_m"), last("t_s", kind == "checkpoint").alias("t_decide_s"),
         last("t_s", ph("GO")).alias("__go"), last("t_s", ph("STATION")).alias("__st"), last("t_s", ph("DONE")).alias("__done"),
         last("why", ph("DONE")).alias("__why"), F.bool_or(ph("DONE")).alias("__ended"),
-        F.max_by("pattern", F.when((kind.isin("station", "station_pattern")) & F.col("pattern").isNotNull(), pos)).alias("station_pattern"))
+        last("name", kind == "start").alias("name"), last("note", kind == "start").alias("note"),
+        F.max_by(~F.coalesce("dry_run", F.lit(True)), F.when(kind == "hardware", pos)).alias("armed"),
+        last("field_p", ok).alias("field_p"), last("n_records", ok).alias("n_records_hold"),
+        F.max_by("pattern", F.when((kind.isin("station", "station_pattern")) & F.col("pattern").isNotNull(), pos)).alias("__pattern"),
+        F.max(F.when(kind == "station_pattern", pos)).alias("__named"), F.max(F.when(kind == "station", pos)).alias("__held"),
+        last("pattern", kind == "station_pattern").alias("__last_named"))
     why = F.coalesce("__why", F.lit(""))
     outcome = (F.when(~F.col("__ended"), "no log").when(why.startswith("checkpoint reached") | why.startswith("station keeping done"), "reached")
                .when(why.startswith("abort"), "abort").when(why.contains("stale"), "stale link").when(why.contains("timeout"), "timeout")
@@ -291,10 +297,14 @@ def trial_summary(events: DataFrame, half_deg: float = 15.0) -> DataFrame:
         "outcome": outcome, "go_s": F.round(F.coalesce("__st", "__done") - F.col("__go"), 1), "station_s": F.round(F.col("__done") - F.col("__st"), 1)})
     d = scan(time_slices(events, "pos", 10_000), TRIAL, ["pos"], fill={"__abs": F.when(kind == "checkpoint", F.col("abs_heading_deg"))})
     s = d.filter((kind == "sectors") & (F.col("phase") == "GO") & F.col("__abs").isNotNull() & F.col("heading").isNotNull())
-    s = s.select(*TRIAL, wrap_deg(F.col("__abs") - F.col("heading")).alias("course"), F.explode(F.arrays_zip("bins", "p", "min_range_m")).alias("b"))
+    s = s.select(*TRIAL, "pos", wrap_deg(F.col("__abs") - F.col("heading")).alias("course"), F.explode(F.arrays_zip("bins", "p", "min_range_m")).alias("b"))
     s = s.filter(F.abs(F.col("b.bins") - F.col("course")) <= half_deg).groupBy(*TRIAL).agg(
-        F.round(F.max("b.p"), 2).alias("max_p_course"), F.round(F.min("b.min_range_m"), 1).alias("closest_m"))
-    return base.drop("__go", "__st", "__done", "__why", "__ended").join(s, TRIAL, "left")
+        F.round(F.max("b.p"), 2).alias("max_p_course"), F.round(F.min("b.min_range_m"), 1).alias("closest_m"),
+        F.min(F.when(F.col("b.min_range_m").isNotNull(), F.struct("b.min_range_m", "pos", "b.bins")))["bins"].alias("closest_deg"))
+    # a pattern event after the last station event stands as it is, even without a name
+    pattern = F.when(F.coalesce(F.col("__named") > F.col("__held"), F.col("__held").isNull()), F.col("__last_named")).otherwise(F.coalesce("__pattern", F.lit("hold")))
+    base = base.withColumn("station_pattern", pattern)
+    return base.drop("__go", "__st", "__done", "__why", "__ended", "__pattern", "__named", "__held", "__last_named").join(s, TRIAL, "left")
 
 
 def trial_geometry(events: DataFrame) -> DataFrame:

@@ -180,14 +180,15 @@ def sector_grid(width: float, grid: BinGrid = GRID) -> list[tuple[int, float, fl
 
 
 def regrid(bins: DataFrame, width: float, grid: BinGrid = GRID) -> DataFrame:
-    """Conservative regrid: each sector takes the worst value of every bin it overlaps."""
+    """Conservative regrid: each sector takes the worst value of every bin it overlaps;
+    a missing score counts as 0."""
     sectors = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"))
                         for k, a, b in sector_grid(width, grid)])
     half = grid.step / 2
     lo, hi = F.col("bin_center_deg") - half, F.col("bin_center_deg") + half
     d = bins.withColumn("__s", F.explode(F.filter(sectors, lambda s: F.least(s["b"], hi) - F.greatest(s["a"], lo) > 1e-6)))
     return d.groupBy(*FRAME, F.col("__s.k").alias("sector"), ((F.col("__s.a") + F.col("__s.b")) / 2).alias("center_deg")).agg(
-        F.max("score").alias("score"), F.max("p").alias("p"), F.max("threat").alias("threat"),
+        *[F.max(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("score", "p", "threat")],
         F.min("min_range_m").alias("min_range_m"), F.min("ttc_s").alias("ttc_s"), F.max("closing_mps").alias("closing_mps"),
         F.bool_or("confirmed").alias("confirmed"), F.max("hit_fisheye").alias("hit_fisheye"),
         F.max("hit_thermal").alias("hit_thermal"), F.max("hit_mmwave").alias("hit_mmwave"))

@@ -87,9 +87,13 @@ def threats(spark, sf):
 
 
 @query("P40_radar_only_input", "fx_scores", sql=FEAT + """
-SELECT row_id, CAST(NULL AS DOUBLE) AS seg_obstacle_frac, rn AS radar_n_points, false AS seg_available FROM ft""")
+SELECT row_id, clip_id, frame_index, bin_index, p, min_range_m, closing_mps + 0.0 AS closing_mps, sun_elevation_deg, CAST(NULL AS DOUBLE) AS seg_obstacle_frac, CAST(NULL AS DOUBLE) AS free_m, CAST(NULL AS DOUBLE) AS luminance_mean, p AS yolo_max_conf,
+ CAST(NULL AS BIGINT) AS thermal_det_count, rn AS radar_n_points, min_range_m AS radar_min_range_m, false AS seg_available, row_id % 2 = 0 AS imu_available, false AS is_dark, false AS thermal_quality_ok, CAST(0 AS BIGINT) AS hit_fisheye, CAST(0 AS BIGINT) AS hit_thermal, CAST(hit_mmwave AS BIGINT) AS hit_mmwave FROM ft""")
 def radar_only(spark, sf):
-    return Q.radar_only(features(spark, sf)).select("row_id", "seg_obstacle_frac", "radar_n_points", "seg_available")
+    whole = ["row_id", "clip_id", "frame_index", "bin_index", "p", "min_range_m", "closing_mps", "sun_elevation_deg", "seg_obstacle_frac", "free_m", "luminance_mean", "yolo_max_conf",
+             "thermal_det_count", "radar_n_points", "radar_min_range_m", "seg_available", "imu_available", "is_dark", "thermal_quality_ok", "hit_fisheye", "hit_thermal", "hit_mmwave"]
+    d = Q.radar_only(features(spark, sf)).select(*whole)
+    return d.withColumns({c: F.col(c).cast("bigint") for c in ("thermal_det_count", "hit_fisheye", "hit_thermal", "hit_mmwave")} | {"closing_mps": F.col("closing_mps") + F.lit(0.0)})
 
 
 THR = ", ".join(f"{t}e0" for t in E.THRESHOLDS)

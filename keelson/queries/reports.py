@@ -209,7 +209,7 @@ TRV = """WITH ev AS (SELECT floor(event_id / 40e0) AS launch, event_id % 40 AS p
 te AS (SELECT CAST(launch AS BIGINT) AS launch, pos, coalesce(tr, 1) AS trial, CASE WHEN pos = 0 THEN 'start' WHEN pos = 1 THEN 'hardware' WHEN pos IN (2, 12) THEN 'decide' WHEN pos IN (3, 13) THEN 'checkpoint' WHEN pos IN (4, 36, 39) THEN 'phase' WHEN pos % 3 = 0 THEN 'cycle' WHEN pos = 37 THEN 'station' ELSE 'sectors' END AS kind,
  pos * 1.5e0 AS t_s, CASE WHEN pos <= 4 THEN 'GO' WHEN pos = 36 THEN 'STATION' WHEN pos = 39 THEN 'DONE' ELSE 'GO' END AS phase, CASE WHEN user_id % 4 = 0 THEN 'ok' WHEN user_id % 4 = 1 THEN 'blocked' ELSE 'fixed' END AS result,
  CASE user_id % 5 WHEN 0 THEN 'checkpoint reached' WHEN 1 THEN 'abort: operator' WHEN 2 THEN 'link stale' WHEN 3 THEN 'timeout' ELSE 'drifted' END AS why, (event_id * 7 % 90) - 45e0 AS rel, (event_id * 13 % 360) * 1e0 AS ab, (event_id * 17 % 360) * 1e0 AS hd, value AS dist,
- 46e0 + (event_id * 3 % 100) / 1e5 AS lat, 9e0 + (event_id * 7 % 100) / 1e5 AS lon, event_id FROM ev)"""
+ 46e0 + (event_id * 3 % 100) / 1e5 AS lat, 9e0 + (event_id * 7 % 100) / 1e5 AS lon, CASE WHEN pos = 37 AND user_id % 3 = 0 THEN 'square' END AS pattern, user_id, event_type, event_id FROM ev)"""
 
 
 def trial_events(spark, sf):
@@ -221,22 +221,27 @@ def trial_events(spark, sf):
         "CASE WHEN user_id % 4 = 0 THEN 'ok' WHEN user_id % 4 = 1 THEN 'blocked' ELSE 'fixed' END AS result",
         "CASE user_id % 5 WHEN 0 THEN 'checkpoint reached' WHEN 1 THEN 'abort: operator' WHEN 2 THEN 'link stale' WHEN 3 THEN 'timeout' ELSE 'drifted' END AS why",
         "(event_id * 7 % 90) - 45e0 AS rel_heading_deg", "(event_id * 13 % 360) * 1e0 AS abs_heading_deg", "(event_id * 17 % 360) * 1e0 AS heading", "value AS distance_m",
-        "46e0 + (event_id * 3 % 100) / 1e5 AS lat", "9e0 + (event_id * 7 % 100) / 1e5 AS lon", "CASE WHEN pos = 37 THEN 'hold' END AS pattern",
+        "46e0 + (event_id * 3 % 100) / 1e5 AS lat", "9e0 + (event_id * 7 % 100) / 1e5 AS lon", "CASE WHEN pos = 37 AND user_id % 3 = 0 THEN 'square' END AS pattern",
+        "CASE WHEN pos = 0 AND user_id % 2 = 0 THEN concat('run ', user_id) END AS name", "CASE WHEN pos = 0 THEN event_type END AS note", "CASE WHEN pos = 1 THEN CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS dry_run",
+        "CASE WHEN pos IN (2, 12) THEN (event_id * 3 % 100) / 100e0 END AS field_p", "CASE WHEN pos IN (2, 12) THEN event_id % 9 END AS n_records",
         "transform(sequence(0, 6), i -> i * 15e0 - 45e0) AS bins", "transform(sequence(0, 6), i -> ((event_id * 31 + i * 17) % 100) / 100e0) AS p",
         "transform(sequence(0, 6), i -> CASE WHEN (event_id + i) % 3 = 0 THEN NULL ELSE ((event_id * 11 + i * 7) % 90) / 10e0 END) AS min_range_m"))
 
 
 @query("S12_A32_trial_summary", sql=TRV + """,
 b AS (SELECT launch, trial, count(*) FILTER (kind = 'decide') AS decisions, count(*) FILTER (kind = 'decide' AND result = 'blocked') AS refused, arg_max(rel, pos) FILTER (kind = 'decide' AND result <> 'blocked') AS rel_heading_deg, arg_max(ab, pos) FILTER (kind = 'checkpoint') AS abs_heading_deg,
- arg_max(dist, pos) FILTER (kind = 'checkpoint') AS checkpoint_m, max(CASE WHEN kind = 'phase' AND phase = 'GO' THEN t_s END) AS go, max(CASE WHEN kind = 'phase' AND phase = 'STATION' THEN t_s END) AS st, max(CASE WHEN kind = 'phase' AND phase = 'DONE' THEN t_s END) AS dn, max(CASE WHEN kind = 'phase' AND phase = 'DONE' THEN why END) AS wy FROM te GROUP BY 1, 2),
+ arg_max(dist, pos) FILTER (kind = 'checkpoint') AS checkpoint_m, max(CASE WHEN kind = 'phase' AND phase = 'GO' THEN t_s END) AS go, max(CASE WHEN kind = 'phase' AND phase = 'STATION' THEN t_s END) AS st, max(CASE WHEN kind = 'phase' AND phase = 'DONE' THEN t_s END) AS dn, max(CASE WHEN kind = 'phase' AND phase = 'DONE' THEN why END) AS wy,
+ max(CASE WHEN pos = 0 AND user_id % 2 = 0 THEN concat('run ', user_id) END) AS name, max(CASE WHEN pos = 0 THEN event_type END) AS note, bool_or(user_id % 3 = 1) FILTER (pos = 1) AS armed, arg_max((event_id * 3 % 100) / 100e0, pos) FILTER (kind = 'decide' AND result <> 'blocked') AS field_p,
+ arg_max(event_id % 9, pos) FILTER (kind = 'decide' AND result <> 'blocked') AS n_records_hold, CASE WHEN count(*) FILTER (pos = 37) > 0 THEN coalesce(max(pattern), 'hold') END AS station_pattern FROM te GROUP BY 1, 2),
 cp AS (SELECT launch, trial, pos, ab, lead(pos, 1, 1000) OVER (PARTITION BY launch, trial ORDER BY pos) AS nx FROM te WHERE kind = 'checkpoint'),
-s AS (SELECT t.launch, t.trial, t.event_id, (cp.ab - hd + 180) - floor((cp.ab - hd + 180) / 360) * 360 - 180 AS course, unnest(range(7)) AS i FROM te t JOIN cp ON cp.launch = t.launch AND cp.trial = t.trial AND t.pos > cp.pos AND t.pos < cp.nx WHERE kind = 'sectors' AND phase = 'GO'),
-c AS (SELECT launch, trial, max(((event_id * 31 + i * 17) % 100) / 100e0) AS mp, min(CASE WHEN (event_id + i) % 3 = 0 THEN NULL ELSE ((event_id * 11 + i * 7) % 90) / 10e0 END) AS cm FROM s WHERE abs(i * 15 - 45 - course) <= 15 GROUP BY 1, 2)
+s AS (SELECT t.launch, t.trial, t.event_id, t.pos, (cp.ab - hd + 180) - floor((cp.ab - hd + 180) / 360) * 360 - 180 AS course, unnest(range(7)) AS i FROM te t JOIN cp ON cp.launch = t.launch AND cp.trial = t.trial AND t.pos > cp.pos AND t.pos < cp.nx WHERE kind = 'sectors' AND phase = 'GO'),
+sn AS (SELECT *, CASE WHEN (event_id + i) % 3 = 0 THEN NULL ELSE ((event_id * 11 + i * 7) % 90) / 10e0 END AS rg FROM s WHERE abs(i * 15 - 45 - course) <= 15),
+c AS (SELECT launch, trial, max(((event_id * 31 + i * 17) % 100) / 100e0) AS mp, min(rg) AS cm, arg_min(i * 15e0 - 45, [rg, pos, i]) FILTER (rg IS NOT NULL) AS cd FROM sn GROUP BY 1, 2)
 SELECT launch, CAST(trial AS BIGINT) AS trial, decisions, refused, rel_heading_deg + 0.0 AS rel_heading_deg, abs_heading_deg, checkpoint_m, CASE WHEN dn IS NULL THEN 'no log' WHEN wy LIKE 'checkpoint reached%' THEN 'reached' WHEN wy LIKE 'abort%' THEN 'abort' WHEN wy LIKE '%stale%' THEN 'stale link' WHEN wy LIKE '%timeout%' THEN 'timeout' ELSE wy END AS outcome,
- round(coalesce(st, dn) - go, 1) AS go_s, round(dn - st, 1) AS station_s, round(mp, 2) AS max_p_course, round(cm, 1) AS closest_m FROM b LEFT JOIN c USING (launch, trial)""")
+ round(coalesce(st, dn) - go, 1) AS go_s, round(dn - st, 1) AS station_s, round(mp, 2) AS max_p_course, round(cm, 1) AS closest_m, cd AS closest_deg, name, note, armed, field_p, n_records_hold, station_pattern, go * 0 + 4.5e0 + CASE WHEN checkpoint_m IS NULL THEN NULL ELSE 15e0 END AS t_decide_s FROM b LEFT JOIN c USING (launch, trial)""")
 def trials(spark, sf):
     t = P.trial_summary(trial_events(spark, sf))
-    return tidy(t.select("launch", "trial", "decisions", "refused", "rel_heading_deg", "abs_heading_deg", "checkpoint_m", "outcome", "go_s", "station_s", "max_p_course", "closest_m"))
+    return tidy(t.select("launch", "trial", "decisions", "refused", "rel_heading_deg", "abs_heading_deg", "checkpoint_m", "outcome", "go_s", "station_s", "max_p_course", "closest_m", "closest_deg", "name", "note", "armed", "field_p", "n_records_hold", "station_pattern", "t_decide_s"))
 
 
 @query("A32_trial_geometry", sql=TRV + """, f AS (SELECT launch, trial, arg_min(lat, pos) AS la, arg_min(lon, pos) AS lo, arg_max(lat, pos) AS lb, arg_max(lon, pos) AS lp, count(*) AS n FROM te WHERE kind = 'cycle' GROUP BY 1, 2),

@@ -180,9 +180,10 @@ def evidence(spark, sf):
 
 @query("A44_conservative_regrid", "fx_scores", sql=SC + """,
 g AS (SELECT unnest([{'k': -2, 'a': -52.5e0, 'b': -37.5e0}, {'k': -1, 'a': -37.5e0, 'b': -12.5e0}, {'k': 0, 'a': -12.5e0, 'b': 12.5e0}, {'k': 1, 'a': 12.5e0, 'b': 37.5e0}, {'k': 2, 'a': 37.5e0, 'b': 52.5e0}]) AS s)
-SELECT clip_id, frame_index, CAST(s.k AS BIGINT) AS sector, CAST((s.a + s.b) / 2 AS DOUBLE) AS center_deg, round(max(score), 6) AS score, max(p) AS p, round(max(p * 0.5e0), 6) AS threat, round(min(min_range_m), 6) AS min_range_m,
+SELECT clip_id, frame_index, CAST(s.k AS BIGINT) AS sector, CAST((s.a + s.b) / 2 AS DOUBLE) AS center_deg, round(max(coalesce(CASE WHEN frame_index % 5 > 0 THEN score END, 0)), 6) AS score, max(coalesce(CASE WHEN bin_index <> 2 THEN p END, 0)) AS p, round(max(coalesce(CASE WHEN frame_index % 7 > 0 THEN p * 0.5e0 END, 0)), 6) AS threat, round(min(min_range_m), 6) AS min_range_m,
  round(min(ttc_s), 6) AS ttc_s, max(closing_mps) + 0.0 AS closing_mps, bool_or(hit) AS confirmed, max(hit_fisheye) AS hit_fisheye, max(hit_thermal) AS hit_thermal, max(hit_mmwave) AS hit_mmwave
 FROM sc JOIN g ON least(s.b, bin_center_deg + 7.5e0) - greatest(s.a, bin_center_deg - 7.5e0) > 1e-6 GROUP BY 1, 2, 3, 4""")
 def regrid(spark, sf):
-    d = scored(spark, sf).withColumn("threat", F.col("p") * 0.5).withColumn("confirmed", F.col("hit"))
+    d = scored(spark, sf).withColumn("threat", F.expr("CASE WHEN frame_index % 7 > 0 THEN p * 0.5e0 END")).withColumn("confirmed", F.col("hit"))
+    d = d.withColumn("score", F.expr("CASE WHEN frame_index % 5 > 0 THEN score END")).withColumn("p", F.expr("CASE WHEN bin_index <> 2 THEN p END"))
     return tidy(S.regrid(d, 25.0))

@@ -14,11 +14,16 @@ FRAME = ["clip_id", "frame_index"]
 
 def write_features(bins: DataFrame, frames: DataFrame, meta: DataFrame, root: str) -> None:
     """Feature tables by clip; a missing modality stays null.  Rows are gathered by clip
-    and a frame slice, so one long clip is written by many tasks."""
+    and a frame slice, so one long clip is written by many tasks.  Only the clips at hand are
+    replaced; those written before stay.  ``meta`` names its clip in ``clip_id``."""
     for name, df in (("bins", bins), ("frames", frames)):
         part = F.floor(F.col("frame_index") / 5000)
-        df.repartition("clip_id", part).write.mode("overwrite").partitionBy("clip_id").parquet(f"{root}/{name}")
-    meta.write.mode("overwrite").parquet(f"{root}/meta")
+        _by_clip(df.repartition("clip_id", part)).parquet(f"{root}/{name}")
+    _by_clip(meta).parquet(f"{root}/meta")
+
+
+def _by_clip(df: DataFrame):
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip_id")
 
 
 def config_hash(text) -> object:
@@ -35,9 +40,9 @@ def sector_json(bins: DataFrame, carry: dict[str, str], arrays: dict[str, str],
 
 
 def write_sectors(records: DataFrame, path: str) -> None:
-    """JSON lines in frame order, one folder per clip."""
-    records.repartition("clip_id", F.floor(F.col("frame_index") / 5000)).sortWithinPartitions("clip_id", "frame_index").select(
-        "clip_id", "value").write.mode("overwrite").partitionBy("clip_id").text(path)
+    """JSON lines in frame order, one folder per clip; other clips' folders stay."""
+    rows = records.repartition("clip_id", F.floor(F.col("frame_index") / 5000)).sortWithinPartitions("clip_id", "frame_index")
+    _by_clip(rows.select("clip_id", "value")).text(path)
 
 
 def label_totals(labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +30,58 @@ def radar_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     return radar_rows(lines.select(clip_of(F.col("_metadata.file_path")).alias("clip_id"), F.col("value").alias("line")))
 
 
-def radar_groups(points: DataFrame, delay: str = "0 seconds", width: str = "100 milliseconds") -> DataFrame:
-    """Complete radar groups: a group is final once the watermark passed its end, that is
-    when a later group exists."""
-    w = points.withWatermark("ts", delay).groupBy("clip_id", F.window("ts", width).alias("w"))
-    return w.agg(F.count("x").alias("n_points"), F.min("y").alias("min_range_m")).select("clip_id", F.col("w.start").alias("ts"), "n_points", "min_range_m")
+IDLE_MS = 600_000
+_MERGE = {"count": "sum", "min": "min", "max": "max"}
 
 
-def live_bins(points: DataFrame, delay: str = "0 seconds", width: str = "100 milliseconds") -> DataFrame:
-    """Filtered radar into bearing bins per complete group: returns, nearest range, fastest
-    closing speed and vote."""
-    p = R.with_polar(R.filter_points(points.filter("x IS NOT NULL"))).filter("bin_index IS NOT NULL")
-    g = p.withWatermark("ts", delay).groupBy("clip_id", F.window("ts", width).alias("w"), "bin_index").agg(
-        F.count("*").alias("radar_n_points"), F.min("range_m").alias("min_range_m"), F.max(M.closing_speed(F.col("vy"))).alias("fastest_closing_mps"))
-    return g.select("clip_id", F.col("w.start").alias("ts"), "bin_index", "radar_n_points", "min_range_m", "fastest_closing_mps")
+def complete_groups(rows: DataFrame, by: list[str], figures: dict[str, tuple[str, str]], width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Aggregates of complete time groups of each recording.  A group is complete when a row of
+    a later group of the same recording arrives, so recordings with different clocks do not
+    wait for, or cut off, each other.  State holds the newest group only; a recording silent for
+    ``idle_ms`` hands out its last group and is forgotten (None, for a run over landed files
+    that ends: no timer, which would keep such a run alive).
+
+    ``rows``: clip_id, ts and what is aggregated; ``figures``: name -> (column, count | min |
+    max); ``by``: integer columns grouped with the time."""
+    keys = ["t_ms", *by]
+    names = ["clip_id", *keys, *figures]
+    ready = rows.select("clip_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / width_ms) * width_ms).alias("t_ms"),
+                        *[F.col(c).cast("bigint") for c in by], *[F.col(c).cast("double").alias(f"__{n}") for n, (c, _) in figures.items()])
+
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [pd.DataFrame(json.loads(state.get[0]), columns=[*keys, *figures])] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            yield parts[0].assign(clip_id=key[0])[names]
+            return
+        for pdf in batches:       # each batch shrinks to its groups before the next is read
+            parts.append(pdf.groupby(keys, sort=False).agg(**{n: (f"__{n}", how) for n, (_, how) in figures.items()}).reset_index())
+        whole = pd.concat([p for p in parts if len(p)]).groupby(keys, sort=True).agg(**{n: (n, _MERGE[how]) for n, (_, how) in figures.items()}).reset_index()
+        newest = whole["t_ms"] == whole["t_ms"].max()
+        open_rows = whole[newest].astype(object)
+        state.update((json.dumps(open_rows.where(open_rows.notna(), None).values.tolist()),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield whole[~newest].assign(clip_id=key[0])[names]
+
+    schema = "clip_id string, " + ", ".join(f"{k} bigint" for k in keys) + ", " + ", ".join(f"{n} {'bigint' if how == 'count' else 'double'}" for n, (_, how) in figures.items())
+    return ready.groupBy("clip_id").applyInPandasWithState(advance, schema, "newest string", "append", _timer(idle_ms))
+
+
+def _timer(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def radar_groups(points: DataFrame, width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Complete radar groups: returns and nearest range."""
+    return complete_groups(points, [], {"n_points": ("x", "count"), "min_range_m": ("y", "min")}, width_ms, idle_ms)
+
+
+def live_bins(points: DataFrame, width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Filtered radar into bearing bins per complete group: returns, nearest range and fastest
+    closing speed."""
+    p = R.with_polar(R.filter_points(points.filter("x IS NOT NULL"))).filter("bin_index IS NOT NULL").withColumn("closing_mps", M.closing_speed(F.col("vy")))
+    return complete_groups(p, ["bin_index"], {"radar_n_points": ("range_m", "count"), "min_range_m": ("range_m", "min"), "fastest_closing_mps": ("closing_mps", "max")}, width_ms, idle_ms)
 
 
 def latest_wins(batch: DataFrame, keys: tuple[str, ...] = ("clip_id",), order: str = "ts") -> DataFrame:
@@ -75,21 +114,48 @@ def with_latency(rows: DataFrame, now: str | None = None, budget_ms: float = 333
     return rows.withColumn("source_latency_s", F.greatest(F.lit(0.0), lat)).withColumn("over_budget", F.col("tick_ms") > budget_ms)
 
 
-def live_sessions(rows: DataFrame, gap: str = "45 seconds", delay: str = "0 seconds") -> DataFrame:
-    """Activities of a scene closed by a silent gap."""
-    s = rows.withWatermark("ts", delay).groupBy("scene", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("rows"))
-    return s.select("scene", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "rows")
+def live_sessions(rows: DataFrame, gap_s: float = 45.0, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Activities of a scene, each closed by the first row of that scene after a silent gap, or
+    when the scene has been silent for ``idle_ms``.  State is one open session per scene."""
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["start_s", "end_s", "rows"]
+        spans = [tuple(state.get)] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], *spans[0])], columns=["scene", *names])
+            return
+        for pdf in batches:
+            t = np.sort(pdf["t"].to_numpy())
+            cut = np.flatnonzero(np.diff(t) >= gap_s) + 1
+            spans += [(p[0], p[-1] + gap_s, len(p)) for p in np.split(t, cut)]
+        merged: list[tuple] = []
+        for a, b, n in sorted(spans):
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], b), merged[-1][2] + n)
+            else:
+                merged.append((a, b, n))
+        state.update((float(merged[-1][0]), float(merged[-1][1]), int(merged[-1][2])))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *m) for m in merged[:-1]], columns=["scene", *names])
+
+    s = rows.select("scene", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return s.groupBy("scene").applyInPandasWithState(
+        advance, "scene string, start_s double, end_s double, rows bigint", "start_s double, end_s double, rows bigint", "append", _timer(idle_ms))
 
 
 SMOOTH_OUT = "clip_id string, frame_index bigint, bin_index bigint, p_smooth double, confirmed boolean"
 
 
-def smooth_stream(bins: DataFrame, tau: float = 2.0, gap_s: float = 5.0, min_hits: int = 3, max_age: int = 5) -> DataFrame:
+def smooth_stream(bins: DataFrame, tau: float = 2.0, gap_s: float = 5.0, min_hits: int = 3, max_age: int = 5, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Score persistence and sector confirmation as stream state per clip; a late or
-    backward step or a long gap restarts the score.  ``bins``: clip_id, frame_index,
+    backward step or a long gap restarts the score, and a silent clip is forgotten.  ``bins``: clip_id, frame_index,
     bin_index, t_s, p, hit."""
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         mem = json.loads(state.get[0]) if state.exists else {}
         pdf = pd.concat(list(batches)).sort_values(["frame_index", "bin_index"], kind="stable")
         out = []
@@ -108,9 +174,11 @@ def smooth_stream(bins: DataFrame, tau: float = 2.0, gap_s: float = 5.0, min_hit
             mem[str(b)] = m
             out.append((key[0], f, b, m["p"], m["c"]))
         state.update((json.dumps(mem),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["clip_id", "frame_index", "bin_index", "p_smooth", "confirmed"])
 
-    return bins.groupBy("clip_id").applyInPandasWithState(advance, SMOOTH_OUT, "mem string", "append", GroupStateTimeout.NoTimeout)
+    return bins.groupBy("clip_id").applyInPandasWithState(advance, SMOOTH_OUT, "mem string", "append", _timer(idle_ms))
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
