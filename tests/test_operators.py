@@ -189,6 +189,68 @@ def test_annotation_plan_spacing_and_rare_classes(spark):
     assert [r.frame_id for r in got] == [r.frame_id for r in annotation_plan(d, 6).orderBy("rank").collect()]
 
 
+def test_annotation_plan_against_direct_search(spark):
+    """Rounds with a tiny shortlist pick what a full search over all candidates picks."""
+    import random
+    from collections import Counter
+
+    from keelson.operators import review as V
+
+    rng = random.Random(4)
+    rows = [(f"c{k % 3}", k // 3, f"f{k:03d}", rng.choice([0.2, 0.4, 0.4, 0.9]), rng.sample(["duck", "boat", "person", ""], rng.randrange(3)),
+             rng.sample(["part:day", "part:night", "cloud:1"], rng.randrange(3)), rng.random() < 0.5) for k in range(150)]
+    d = spark.createDataFrame(rows, "clip_id string, idx bigint, frame_id string, u double, classes array<string>, cells array<string>, labelled boolean")
+    weights = {"duck": 2.5}
+    classes, cells, taken, want = Counter(), Counter(), [], []
+
+    def gain(r):
+        g = r[3] + (0 if r[6] else 0.15) + sum(weights.get(c, 1) / math.sqrt(1 + classes[c]) for c in set(r[4]) - {""})
+        return g + 0.8 * sum(1 / math.sqrt(1 + cells[c]) for c in r[5]) / max(1, len(r[5]))
+
+    while len(want) < 20:
+        free = [r for r in rows if all(r[0] != c or abs(r[1] - i) >= V.MIN_SPACING for c, i in taken)]
+        if not free:
+            break
+        r = min(free, key=lambda r: (-round(gain(r), 12), r[0], r[2]))
+        want.append(r[2])
+        taken.append((r[0], r[1]))
+        classes.update(set(r[4]) - {""})
+        cells.update(r[5])
+    got = V.annotation_plan(d, 20, weights, pool=None, shortlist=7).orderBy("rank").collect()
+    assert [r.frame_id for r in got] == want and len(want) < 20
+
+
+def test_feature_batches_keep_other_clips(spark, tmp_path):
+    from keelson.sources.scans import read_features
+    from keelson.sources.sinks import write_features
+
+    def batch(clip, value):
+        bins = spark.createDataFrame([(clip, k, value) for k in range(3)], "clip_id string, frame_index bigint, p double")
+        write_features(bins, bins.select("clip_id", "frame_index"), spark.createDataFrame([(clip, "v1")], "clip_id string, version string"), str(tmp_path))
+
+    batch("a", 0.1)
+    batch("b", 0.2)
+    batch("a", 0.3)
+    got = read_features(spark, str(tmp_path), "bins").groupBy("clip_id").agg({"p": "max", "frame_index": "count"}).collect()
+    assert {r.clip_id: (r["max(p)"], r["count(frame_index)"]) for r in got} == {"a": (0.3, 3), "b": (0.2, 3)}
+    assert read_features(spark, str(tmp_path), "meta").count() == 2
+
+
+def test_offset_clocks_lose_no_group(spark, tmp_path):
+    """Two recordings, one an hour behind, landed file by file: all groups but the last of each."""
+    from pyspark.sql import functions as F
+
+    from keelson.streaming import live
+
+    rows = [(clip, base + 100 * g + 20 * k, g + k / 10, float(g)) for clip, base in (("a", 3_600_000), ("b", 0)) for g in range(6) for k in range(3)]
+    for f in range(6):
+        part = [r for r in rows if (r[1] % 3_600_000) // 100 == f]
+        spark.createDataFrame(part, "clip_id string, t bigint, x double, y double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("clip_id string, t bigint, x double, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = live.run_to_table(live.radar_groups(src.withColumn("ts", F.timestamp_millis("t")), idle_ms=None), "offset").collect()
+    assert sorted((r.clip_id, r.t_ms, r.n_points, r.min_range_m) for r in out) == sorted((c, b + 100 * g, 3, float(g)) for c, b in (("a", 3_600_000), ("b", 0)) for g in range(5))
+
+
 def test_camera_sustains_a_lost_target():
     x, y = K.sustain_by_camera(0.0, 5.0, -1.0, 10.0, 0.5)
     assert math.hypot(x, y) == pytest.approx(4.5) and math.degrees(math.atan2(x, y)) == pytest.approx(5.0)
