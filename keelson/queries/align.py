@@ -133,11 +133,11 @@ def attitude(spark, sf):
 
 @query("J03_exposure_lookup", "fx_radar", "fx_scores", sql="""
 , f AS (SELECT DISTINCT clip_id, frame_index FROM fx_scores),
-s AS (SELECT clip_id, CASE WHEN bin_index = 3 AND frame_index % 17 = 0 THEN NULL ELSE frame_index END AS frame_index, 1000e0 + row_id % 777 AS exposure_time_us FROM fx_scores WHERE bin_index = 3)
+s AS (SELECT clip_id, CASE WHEN frame_index % 17 = 0 THEN NULL ELSE frame_index END AS frame_index, 1000e0 + max(row_id) % 777 AS exposure_time_us FROM fx_scores GROUP BY clip_id, fx_scores.frame_index)
 SELECT f.clip_id, f.frame_index, exposure_time_us FROM f LEFT JOIN s USING (clip_id, frame_index)""")
 def exposure(spark, sf):
     sc = view(spark, sf, "fx_scores")
-    side = sc.filter("bin_index = 3").select(
+    side = sc.groupBy("clip_id", "frame_index").agg(F.max("row_id").alias("row_id")).select(
         "clip_id", F.expr("CASE WHEN frame_index % 17 = 0 THEN NULL ELSE frame_index END").alias("frame_index"),
         (F.lit(1000.0) + F.col("row_id") % 777).alias("exposure_time_us"))
     return A.attach_exposure(sc.select("clip_id", "frame_index").distinct(), side)

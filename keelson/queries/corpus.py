@@ -166,10 +166,10 @@ def manifest(spark, sf):
 
 
 OBJ = """WITH o AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey % 50 AS s, l_suppkey % 5 AS kind, concat('Lake', l_orderkey % 40) AS ck FROM lineitem),
-c AS (SELECT concat('Lake', c_custkey % 40) AS ck, least(c_custkey % 47, c_custkey % 43) AS a, greatest(c_custkey % 47, c_custkey % 43) AS b FROM customer WHERE c_acctbal < -900)"""
+c AS (SELECT concat('Lake', c_custkey % 40) AS ck, (c_custkey * 7) % 3000 AS a, (c_custkey * 7) % 3000 + c_custkey % 3 AS b FROM customer)"""
 
 
-@query("K06_export_listing", sql=OBJ + """ SELECT ck AS clip_key, count(*) AS kept FROM o WHERE ck NOT IN ('Lake7', 'Lake8') AND (kind > 2 OR NOT EXISTS (SELECT 1 FROM c WHERE c.ck = o.ck AND o.s + 0.5 BETWEEN a AND b + 0.5)) GROUP BY 1""")
+@query("K06_export_listing", sql=OBJ + """ SELECT ck AS clip_key, count(*) AS kept FROM o WHERE ck NOT IN (SELECT concat('Lake', n_nationkey) FROM nation WHERE n_nationkey % 6 = 4) AND (kind > 2 OR NOT EXISTS (SELECT 1 FROM c WHERE c.ck = o.ck AND o.s + 0.5 BETWEEN a AND b + 0.5)) GROUP BY 1""")
 def export_listing(spark, sf):
     li = load(spark, sf, "lineitem")
     ts = F.format_string("ts=00-00-%02d.5", (F.col("l_partkey") % 50).cast("int"))
@@ -177,13 +177,14 @@ def export_listing(spark, sf):
     name = (F.when(kind == 0, F.concat(F.lit("/frames/"), ts, F.lit(".jpg"))).when(kind == 1, F.concat(F.lit("/thermal/"), ts, F.lit(".jpg")))
             .when(kind == 2, F.concat(F.lit("/seg/"), ts, F.lit(".png"))).when(kind == 3, F.lit("/meta.json")).otherwise(F.concat(F.lit("/other/"), ts, F.lit(".jpg"))))
     objs = li.select(F.concat(F.lit("Lake"), (F.col("l_orderkey") % 40).cast("string"), name).alias("key"))
-    hms = lambda a, f: F.format_string("00:00:%02d." + f, a.cast("int"))
-    cu = load(spark, sf, "customer").filter("c_acctbal < -900")
-    a, b = F.col("c_custkey") % 47, F.col("c_custkey") % 43
+    hms = lambda a, f: F.format_string("00:%02d:%02d." + f, F.floor(a / 60).cast("int"), (a % 60).cast("int"))
+    cu = load(spark, sf, "customer")
+    a = (F.col("c_custkey") * 7) % 3000
+    b = a + F.col("c_custkey") % 3
     cuts = cu.select(F.concat(F.lit("Lake"), (F.col("c_custkey") % 40).cast("string")).alias("clip_key"), hms(F.least(a, b), "0").alias("start_ts"), hms(F.greatest(a, b), "5").alias("end_ts"))
-    sets = load(spark, sf, "nation").filter("n_nationkey IN (7, 8)").select(
+    sets = load(spark, sf, "nation").select(
         F.concat(F.lit("Lake"), F.col("n_nationkey").cast("string")).alias("clip_key"), F.lit("Lake").alias("scene"), F.array().cast("array<string>").alias("chunks"),
-        F.lit("2024-01-01").alias("deleted_at"), F.lit(None).cast("string").alias("restored_at"), F.lit(None).cast("string").alias("purged_at"))
+        F.expr("CASE WHEN n_nationkey % 3 = 1 THEN '2024-01-01' END").alias("deleted_at"), F.expr("CASE WHEN n_nationkey % 6 = 1 THEN '2024-02-01' END").alias("restored_at"), F.lit(None).cast("string").alias("purged_at"))
     return K.export_listing(objs, cuts, sets).groupBy(F.regexp_extract("key", "^([^/]+)/", 1).alias("clip_key")).agg(F.count("*").alias("kept"))
 
 

@@ -240,12 +240,12 @@ def label_resolution(spark, sf):
 
 
 @query("J09_A07_feature_merge", "fx_scores", sql="""
-, fr AS (SELECT clip_id, frame_index, max(sun_elevation_deg) AS sun, max(p) AS p_frame FROM fx_scores GROUP BY 1, 2), tg AS (SELECT clip_id, frame_index, bin_index, y AS y_nav FROM fx_scores WHERE free_m IS NOT NULL)
+, fr AS (SELECT clip_id, frame_index, max(sun_elevation_deg) AS sun, max(p) AS p_frame FROM fx_scores GROUP BY 1, 2), tg AS (SELECT clip_id, frame_index, bin_index, y AS y_nav FROM fx_scores)
 SELECT b.clip_id, b.frame_index, b.bin_index, round(b.p, 6) AS p, round(p_frame, 6) AS p_frame, round(sun, 6) + 0.0 AS sun, y_nav FROM fx_scores b LEFT JOIN fr USING (clip_id, frame_index) JOIN tg USING (clip_id, frame_index, bin_index)""")
 def feature_merge(spark, sf):
     d = view(spark, sf, "fx_scores")
     fr = d.groupBy("clip_id", "frame_index").agg(F.max("sun_elevation_deg").alias("sun"), F.max("p").alias("p"))
-    tg = d.filter("free_m IS NOT NULL").select("clip_id", "frame_index", "bin_index", F.col("y").alias("y_nav"))
+    tg = d.select("clip_id", "frame_index", "bin_index", F.col("y").alias("y_nav"))
     m = T.merge_features(d.select("clip_id", "frame_index", "bin_index", "p"), fr, tg)
     return tidy(m)
 

@@ -269,11 +269,11 @@ def frame_at(spark, sf):
     return P.frame_at(view(spark, sf, "fx_imu").select("clip_id", F.col("row_no").alias("instant_id"), "t_ms"), f)
 
 
-@query("A33_service_timing", "fx_scores", sql=""", r AS (SELECT clip_id, t_ms / 1000e0 AS t_s, 50e0 + (row_id * 37 % 600) AS tick, CASE WHEN row_id % 4 > 0 THEN (row_id % 90) / 100e0 END AS lat, row_id % 3 > 0 AS sf, CASE WHEN row_id % 2 = 0 THEN row_id % 5 > 0 END AS yf, row_id % 11 > 0 AS sk, row_id % 13 AS sr, 600e0 + row_id % 1200 AS ck, 40e0 + row_id % 45 AS tc, CASE WHEN row_id % 900 = 1 THEN '0x5' ELSE '0x0' END AS th FROM fx_scores WHERE bin_index = 0)
+@query("A33_service_timing", "fx_scores", sql=""", r AS (SELECT clip_id, t_ms / 1000e0 AS t_s, 50e0 + (row_id * 37 % 600) AS tick, CASE WHEN row_id % 4 > 0 THEN (row_id % 90) / 100e0 END AS lat, row_id % 3 > 0 AS sf, CASE WHEN row_id % 2 = 0 THEN row_id % 5 > 0 END AS yf, row_id % 11 > 0 AS sk, row_id % 13 AS sr, 600e0 + row_id % 1200 AS ck, 40e0 + row_id % 45 AS tc, CASE WHEN row_id % 900 = 1 THEN '0x5' ELSE '0x0' END AS th FROM (SELECT clip_id, max(t_ms) AS t_ms, max(row_id) AS row_id FROM fx_scores GROUP BY clip_id, frame_index))
 SELECT clip_id, count(*) AS n, round((count(*) - 1) / (max(t_s) - min(t_s)), 6) AS rate_hz, round(quantile_cont(tick, 0.5), 6) AS tick_p50, round(quantile_cont(tick, 0.95), 6) AS tick_p95, round(avg(CAST(tick > 333.3 AS DOUBLE)), 6) AS over_budget, round(median(lat), 6) AS latency_p50, round(avg(CAST(sf AS DOUBLE)), 6) AS seg_fresh,
  round(avg(CAST(yf AS DOUBLE)), 6) AS yolo_fresh, round(avg(CAST(sk AS DOUBLE)), 6) AS scorer_ok, max(sr) AS skipped_rows, median(ck) AS clock_mhz, min(ck) AS clock_min, max(tc) AS temp_max, bool_or(th <> '0x0') AS throttled_any FROM r GROUP BY 1""")
 def timing(spark, sf):
-    d = scored(spark, sf).filter("bin_index = 0").selectExpr(
+    d = scored(spark, sf).groupBy("clip_id", "frame_index").agg(F.max("t_s").alias("t_s"), F.max("row_id").alias("row_id")).selectExpr(
         "clip_id", "t_s", "50e0 + (row_id * 37 % 600) AS tick_ms", "CASE WHEN row_id % 4 > 0 THEN (row_id % 90) / 100e0 END AS source_latency_s", "row_id % 3 > 0 AS seg_fresh",
         "CASE WHEN row_id % 2 = 0 THEN row_id % 5 > 0 END AS yolo_fresh", "row_id % 11 > 0 AS scorer_ok", "row_id % 13 AS skipped_rows", "600e0 + row_id % 1200 AS clock_mhz", "40e0 + row_id % 45 AS temp_c",
         "CASE WHEN row_id % 900 = 1 THEN '0x5' ELSE '0x0' END AS throttled")

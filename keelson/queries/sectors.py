@@ -41,14 +41,14 @@ def confirmation(spark, sf):
 
 
 @query("W03_heading_smoother", "fx_scores", sql="""
-, h AS (SELECT clip_id, frame_index, CASE WHEN row_id % 3 = 0 THEN NULL ELSE p * 90 - 45 END AS heading_deg FROM fx_scores WHERE bin_index = 2),
+, h AS (SELECT clip_id, frame_index, CASE WHEN max(row_id) % 3 = 0 THEN NULL ELSE max(p) * 90 - 45 END AS heading_deg FROM fx_scores GROUP BY 1, 2),
 k AS (SELECT *, avg(heading_deg) OVER w AS m, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS r FROM h WHERE heading_deg IS NOT NULL
  WINDOW w AS (PARTITION BY clip_id ORDER BY frame_index ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
 j AS (SELECT h.*, CASE WHEN r >= 3 THEN m END AS m FROM h LEFT JOIN k ON k.clip_id = h.clip_id AND k.frame_index = h.frame_index)
 SELECT clip_id, frame_index, round(heading_deg, 6) + 0.0 AS heading_deg, round(last_value(m IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0.0 AS smoothed_heading_deg FROM j""")
 def heading_smoother(spark, sf):
-    h = view(spark, sf, "fx_scores").filter("bin_index = 2").selectExpr(
-        "clip_id", "frame_index", "CASE WHEN row_id % 3 = 0 THEN NULL ELSE p * 90 - 45 END AS heading_deg")
+    h = view(spark, sf, "fx_scores").groupBy("clip_id", "frame_index").agg(
+        F.expr("CASE WHEN max(row_id) % 3 = 0 THEN NULL ELSE max(p) * 90 - 45 END").alias("heading_deg"))
     return tidy(SM.smooth_heading(h))
 
 

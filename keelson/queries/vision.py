@@ -21,19 +21,20 @@ PD = (0.1, -0.03, 0.001, -0.002, 0.005)
 
 @query("P13_P14_projections", "fx_radar", sql="""
 , c AS (SELECT clip_id, frame_index, point_id, x - 0.0516e0 AS a, -z + 0.0020e0 AS b, y - 0.0043e0 AS c FROM fx_radar),
-n AS (SELECT *, a / c AS p, b / c AS q FROM c WHERE c > 1e-6),
+n AS (SELECT *, CASE WHEN c > 1e-6 THEN a / c END AS p, CASE WHEN c > 1e-6 THEN b / c END AS q FROM c),
 m AS (SELECT *, p * p + q * q AS r2, sqrt(p * p + q * q) AS r, atan(sqrt(p * p + q * q)) AS t FROM n),
 k AS (SELECT *, CASE WHEN r > 1e-12 THEN t * (1 + 0.05e0 * t * t - 0.02e0 * t * t * t * t + 0.004e0 * pow(t, 6) - 0.001e0 * pow(t, 8)) / r ELSE 1e0 END AS s, 1 + 0.1e0 * r2 - 0.03e0 * r2 * r2 + 0.005e0 * r2 * r2 * r2 AS ra FROM m)
 SELECT clip_id, frame_index, point_id, round(418.51e0 * p + 444.11e0, 3) AS u, round(418.58e0 * q + 300.5e0, 3) AS v,
  round(418.51e0 * p * s + 444.11e0, 3) AS fu, round(418.58e0 * q * s + 300.5e0, 3) AS fv,
- round((418.51e0 * (p * ra + 2 * 0.001e0 * p * q - 0.002e0 * (r2 + 2 * p * p)) + 444.11e0) / 1e3, 2) AS lu, round((418.58e0 * (q * ra + 0.001e0 * (r2 + 2 * q * q) - 2 * 0.002e0 * p * q) + 300.5e0) / 1e3, 2) AS lv FROM k WHERE r < 3""")
+ CASE WHEN r < 3 THEN round(418.51e0 * (p * ra + 2 * 0.001e0 * p * q - 0.002e0 * (r2 + 2 * p * p)) + 444.11e0, 3) END AS lu, CASE WHEN r < 3 THEN round(418.58e0 * (q * ra + 0.001e0 * (r2 + 2 * q * q) - 2 * 0.002e0 * p * q) + 300.5e0, 3) END AS lv FROM k""")
 def projections(spark, sf):
     d = view(spark, sf, "fx_radar").withColumn("ray", G.camera_ray(F.col("x"), F.col("y"), F.col("z"), RADAR_TO_FISHEYE))
     ray = F.col("ray")
-    d = d.filter(ray.isNotNull() & (F.sqrt(ray["a"] * ray["a"] + ray["b"] * ray["b"]) < 3)).withColumn("s", G.fisheye_scale(ray, KC))
+    d = d.withColumn("s", G.fisheye_scale(ray, KC))
+    near = F.sqrt(ray["a"] * ray["a"] + ray["b"] * ray["b"]) < 3         # the lens polynomial holds that far
     p, k, lens = G.project(ray, FISHEYE), G.project_raw_fisheye(ray, F.col("s"), FISHEYE), G.project_raw_pinhole(ray, FISHEYE, PD)
     return d.select("clip_id", "frame_index", "point_id", F.round(p["u"], 3).alias("u"), F.round(p["v"], 3).alias("v"),
-                    F.round(k["u"], 3).alias("fu"), F.round(k["v"], 3).alias("fv"), F.round(lens["u"] / 1e3, 2).alias("lu"), F.round(lens["v"] / 1e3, 2).alias("lv"))
+                    F.round(k["u"], 3).alias("fu"), F.round(k["v"], 3).alias("fv"), F.when(near, F.round(lens["u"], 3)).alias("lu"), F.when(near, F.round(lens["v"], 3)).alias("lv"))
 
 
 DETS = """, fd AS (SELECT *, degrees(atan2(u - 444.11e0, 418.51e0)) AS angle_deg, (u - 444.11e0) / 418.51e0 AS dx, (v + size / 2e0 - 300.5e0) / 418.58e0 AS dy, (v + size / 2e0 - 3e0 - 300.5e0) / 418.58e0 AS dz FROM fx_det WHERE sensor = 'fisheye'),
