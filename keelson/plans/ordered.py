@@ -94,27 +94,49 @@ def scan(
     )
 
 
-def order_slices(df: DataFrame, score: str, row_id: str, parts: int = 64) -> DataFrame:
-    """Slices for the global order (score desc, row_id asc).
+SLICE_ROWS = 200_000
+MOST_SLICES = 4096
+
+
+def _at_most(bounds: list, x: Column, strict: bool = False) -> Column:
+    """How many of the sorted ``bounds`` are at most (``strict``: below) ``x``, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+
+    def move(at: Column, step: Column) -> Column:
+        b = F.get(table, at + step - 1)
+        return F.when((at + step <= len(bounds)) & ((b < x) if strict else (b <= x)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), move)
+
+
+def order_slices(df: DataFrame, score: str, row_id: str, parts: int | None = None) -> DataFrame:
+    """Slices for the global order (score desc, row_id asc), about ``SLICE_ROWS`` rows each
+    unless ``parts`` fixes their number.
 
     Bounds come from one approximate-quantile pass; a score so frequent that it
     fills a whole slice is cut further by ranges of ``row_id``.
     """
-    probs = [i / parts for i in range(1, parts)]
+    probes = parts or MOST_SLICES
+    probs = [i / probes for i in range(1, probes)]
     q = df.agg(
-        F.percentile_approx(score, probs, 1000).alias("s"),
-        F.percentile_approx(row_id, probs, 1000).alias("i"),
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(score, probs, 4 * probes).alias("s"),
+        F.percentile_approx(row_id, probs, 4 * probes).alias("i"),
     ).first()
-    s_all = [float(x) for x in (q["s"] or [])]
-    ids = sorted({int(x) for x in (q["i"] or [])})
+    wanted = parts or min(MOST_SLICES, max(8, -(-q["n"] // SLICE_ROWS)))
+    pick = sorted({round(k * probes / wanted) - 1 for k in range(1, wanted)})
+    s_all = [float(q["s"][k]) for k in pick] if q["s"] else []
+    ids = sorted({int(q["i"][k]) for k in pick}) if q["i"] else []
     bounds = sorted(set(s_all))
     heavy = sorted({x for x in bounds if s_all.count(x) > 1})
     sc = F.col(score).cast("double")
-    ge = sum([F.when(sc >= F.lit(b), 1).otherwise(0) for b in bounds], F.lit(0))
-    gt = sum([F.when(sc > F.lit(b), 1).otherwise(0) for b in bounds], F.lit(0))
-    coarse = F.lit(2 * len(bounds)) - (ge + gt)          # equal-to-a-bound is its own slice
+    # equal-to-a-bound is its own slice
+    coarse = F.lit(2 * len(bounds)) - (_at_most(bounds, sc) + _at_most(bounds, sc, strict=True))
     if heavy and ids:
-        fine = sum([F.when(F.col(row_id) >= F.lit(i), 1).otherwise(0) for i in ids], F.lit(0))
+        fine = _at_most(ids, F.col(row_id))
         coarse = coarse * F.lit(len(ids) + 1) + F.when(sc.isin(heavy), fine).otherwise(F.lit(0))
     return df.withColumn(SLICE, coarse.cast("bigint"))
 

@@ -8,8 +8,8 @@ tells its layout by its number of fields, so one pass reads all capture generati
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,17 +199,19 @@ def curation_tables(spark: SparkSession, data: dict) -> tuple[DataFrame, DataFra
 
 
 def read_curation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Curation file (YAML when a parser is installed, else JSON); a missing file is empty."""
-    p = Path(path)
-    if not p.exists():
-        return curation_tables(spark, {})
-    text = p.read_text()
+    """Curation file from any store Spark reads: JSON where the name ends in ``.json``, else
+    YAML, for which a parser must be installed.  A missing file is empty."""
     try:
-        import yaml
-        data = yaml.safe_load(text)
-    except ImportError:
-        data = json.loads(text or "{}")
-    return curation_tables(spark, data or {})
+        text = (spark.read.option("wholetext", True).text(path).first() or [""])[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return curation_tables(spark, {})
+    if path.endswith(".json"):
+        return curation_tables(spark, json.loads(text or "{}"))
+    import yaml
+
+    return curation_tables(spark, yaml.safe_load(text) or {})
 
 
 def boat_fixes(rows: DataFrame, max_age_s: float | None = None, now_epoch_s: float | None = None) -> DataFrame:

@@ -19,7 +19,8 @@ def write_features(bins: DataFrame, frames: DataFrame, meta: DataFrame, root: st
     for name, df in (("bins", bins), ("frames", frames)):
         part = F.floor(F.col("frame_index") / 5000)
         _by_clip(df.repartition("clip_id", part)).parquet(f"{root}/{name}")
-    _by_clip(meta).parquet(f"{root}/meta")
+    # a partitioned table needs a column of its own
+    _by_clip(meta if len(meta.columns) > 1 else meta.withColumn("version", F.lit(None).cast("string"))).parquet(f"{root}/meta")
 
 
 def _by_clip(df: DataFrame):
