@@ -82,7 +82,9 @@ def recommend_heading(records: DataFrame, hp: HeadingPolicy = HeadingPolicy(), *
     amps = F.transform(zipped, lambda b: F.struct(
         b["centers"].alias("c"),
         amplitudes(b["scores"], b["min_range_m"], b["ttc_s"], b[free] if free else None, hp).alias("a")))
-    d = records.withColumn("__amps", amps)
+    terms = ("block", "close", "ttc")
+    # bins without any amplitude cannot raise a maximum over 0
+    d = records.withColumn("__amps", F.filter(amps, lambda b: F.greatest(*[b["a"][t] for t in terms]) > 0))
     lo, hi = F.element_at("centers", 1), F.element_at("centers", -1)
     n = F.greatest(F.lit(0), F.round((hi - lo) / hp.step_deg).cast("int"))
     ref = course if course is not None else F.lit(0.0)
@@ -90,19 +92,20 @@ def recommend_heading(records: DataFrame, hp: HeadingPolicy = HeadingPolicy(), *
     def costed(i):
         th = lo + i * F.lit(hp.step_deg)
 
-        def field(term):
-            worst = F.aggregate("__amps", F.lit(0.0), lambda acc, b: F.greatest(
-                acc, b["a"][term] * F.exp(-F.pow(th - b["c"], 2) / (2.0 * hp.sigma_deg ** 2))))
-            return F.least(worst, F.lit(1.0))
-
-        return F.struct(i.alias("i"), th.alias("th"), (hp.w_block * field("block")).alias("block"),
-                        (hp.w_close * field("close")).alias("close"), (hp.w_ttc * field("ttc")).alias("ttc"),
+        # the kernel is worked out once per bin and serves all three terms
+        spread = F.transform("__amps", lambda b: F.struct(
+            F.exp(-F.pow(th - b["c"], 2) / (2.0 * hp.sigma_deg ** 2)).alias("k"), b["a"].alias("a")))
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in terms])
+        worst = F.aggregate(spread, zero, lambda acc, b: F.struct(*[F.greatest(acc[c], b["a"][c] * b["k"]).alias(c) for c in terms]))
+        return F.struct(i.alias("i"), th.alias("th"), worst.alias("w"),
                         (hp.w_course * F.least(F.abs(th - ref) / hp.max_swing_deg, F.lit(1.0))).alias("course"))
 
     d = d.withColumn("__terms", F.transform(F.sequence(F.lit(0), n), costed))
+    weight = dict(zip(terms, (hp.w_block, hp.w_close, hp.w_ttc)))
+    part = lambda c, t: weight[t] * F.least(c["w"][t], F.lit(1.0))
     d = d.withColumn("__curve", F.transform("__terms", lambda c: F.struct(
-        (c["block"] + c["close"] + c["ttc"] + c["course"]).alias("cost"), c["i"].alias("i"), c["th"].alias("th"),
-        c["block"].alias("block"), c["close"].alias("close"), c["ttc"].alias("ttc"), c["course"].alias("course"))))
+        (part(c, "block") + part(c, "close") + part(c, "ttc") + c["course"]).alias("cost"), c["i"].alias("i"), c["th"].alias("th"),
+        *[part(c, t).alias(t) for t in terms], c["course"].alias("course"))))
     d = d.withColumn("__best", F.array_min("__curve"))
     best = F.col("__best.cost")
     limit = F.when(best == 0, F.lit(1e-9)).otherwise(best * (1 + hp.tied_frac))
