@@ -257,7 +257,7 @@ class IdentityMachine:
     """Pairs radar targets with camera tracks by sustained shared evidence.
 
     Rows of a frame: kind ``t`` (target seen: rid, bearing), ``c`` (camera track seen: cid,
-    bearing) and ``o`` (shared returns: rid, cid)."""
+    bearing) and ``o`` (shared returns: rid, cid, their number in place of a bearing)."""
 
     SCHEMA = "clip_id string, frame_index bigint, track_id bigint, camera_id bigint, offset_deg double, formed bigint, broken bigint, switches bigint"
 
@@ -271,14 +271,14 @@ class IdentityMachine:
         now = int(rows["frame_index"][0])
         gap = 1 if self.frame is None else now - self.frame
         self.frame = now
-        rb, cb, both = {}, {}, set()
+        rb, cb, both = {}, {}, {}
         for kind, r, c, bearing in zip(rows["kind"], rows["track_id"].tolist(), rows["camera_id"].tolist(), rows["bearing"].tolist()):
             if kind == "t":
                 rb[r] = bearing
             elif kind == "c":
                 cb[c] = bearing
             else:
-                both.add((r, c))
+                both[r, c] = bearing
         for c in cb:
             self.cam_seen[c] = now
         self.cam_seen = {c: s for c, s in self.cam_seen.items() if now - s < self.camera_age}
@@ -305,7 +305,7 @@ class IdentityMachine:
                     q[0].append((rid, cid) in both)
                     q[1] = now
         self.cand = {k: q for k, q in self.cand.items() if k[1] in self.cam_seen and k[0] not in self.pairs and k[1] not in taken and now - q[1] <= self.stale}
-        ready = sorted(((sum(q[0]), k in both, k) for k, q in self.cand.items() if sum(q[0]) >= self.need), reverse=True)
+        ready = sorted(((sum(q[0]), both.get(k, 0), k) for k, q in self.cand.items() if sum(q[0]) >= self.need), reverse=True)
         for _, agree, (rid, cid) in ready:
             if rid in self.pairs or cid in taken:
                 continue
@@ -319,12 +319,16 @@ class IdentityMachine:
         return [(*head, r, p["cid"], float(p["off"]), self.formed, self.broken, self.switches) for r, p in self.pairs.items()]
 
 
-def pair_identities(targets: DataFrame, cameras: DataFrame, evidence: DataFrame, **limits) -> DataFrame:
+def pair_identities(targets: DataFrame, cameras: DataFrame, evidence: DataFrame, min_overlap: int = 1, **limits) -> DataFrame:
     """Live pairs per frame.  ``targets``: frame, track_id, bearing; ``cameras``: frame,
-    camera_id, bearing; ``evidence``: frame, track_id, camera_id."""
+    camera_id, bearing; ``evidence``: frame, track_id, camera_id, shared (1 where absent); frames
+    with fewer than ``min_overlap`` shared returns do not agree."""
+    if "shared" not in evidence.columns:
+        evidence = evidence.withColumn("shared", F.lit(1))
+    evidence = evidence.filter(F.col("shared") >= min_overlap)
     t = targets.select(*FRAME, F.lit("t").alias("kind"), "track_id", F.lit(-1).cast("bigint").alias("camera_id"), "bearing")
     c = cameras.select(*FRAME, F.lit("c").alias("kind"), F.lit(-1).cast("bigint").alias("track_id"), "camera_id", "bearing")
-    o = evidence.select(*FRAME, F.lit("o").alias("kind"), "track_id", "camera_id", F.lit(None).cast("double").alias("bearing"))
+    o = evidence.select(*FRAME, F.lit("o").alias("kind"), "track_id", "camera_id", F.col("shared").cast("double").alias("bearing"))
     return ordered_map(t.unionByName(c).unionByName(o), ["clip_id"], "frame_index", ["kind", "track_id", "camera_id"], lambda: IdentityMachine(**limits), IdentityMachine.SCHEMA)
 
 

@@ -130,7 +130,7 @@ def identity(spark, sf):
     m = m.join(cams.select("clip_id", "frame_index", "box_id", "camera_id"), ["clip_id", "frame_index", "box_id"])
     ev = K.overlap_evidence(pts, m)
     t = trk.select("clip_id", "frame_index", "track_id", M.azimuth(F.col("x"), F.col("y")).alias("bearing"))
-    return tidy(K.pair_identities(t, cams.select("clip_id", "frame_index", "camera_id", F.col("angle_deg").alias("bearing")), ev, need=1, window=5))
+    return tidy(K.pair_identities(t, cams.select("clip_id", "frame_index", "camera_id", F.col("angle_deg").alias("bearing")), ev))
 
 
 @query("P43_motion_fields", "fx_scores", sql=SC + """, k AS (SELECT row_id, min_range_m * sin(radians(bin_center_deg)) AS x, min_range_m * cos(radians(bin_center_deg)) AS y, -(closing_mps + 0.03e0) AS vr, CASE WHEN free_m IS NOT NULL AND closing_mps IS NOT NULL THEN p - 0.5e0 END AS vt FROM sc WHERE min_range_m IS NOT NULL),
