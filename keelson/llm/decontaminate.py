@@ -5,8 +5,8 @@ frequencies of hashed words, counted over the whole corpus).  A randomised SVD f
 latent space: a random sign sketch adds every passage of the corpus to one of ``SKETCH`` rows,
 the rows are summed over all tasks, the items of the benchmark are put below them, and the
 leading right singular vectors of that small matrix span the space.  Passages and items are
-compared by cosine there; a passage whose share of weight on the items' words is below the
-cosine looked for cannot reach it and is not projected.  Candidates are then checked word by
+compared by cosine there; a passage whose share of weight on the items' words, or whose words'
+largest products with any item, stay below the cosine looked for cannot reach it and is left out.  Candidates are then checked word by
 word: the longest common subsequence of the item with the words around the passage, and, for
 paraphrases (``LOOSE`` up to ``TIGHT`` of the item's words), also the item's answer, its last
 quarter.  The item set is the query set: it is read in blocks of ``BLOCK`` items, each with its
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.staging import staged
-from keelson.llm.text import NOT_ALNUM, SLICE_BYTES, list_array, mix, slices, word_hashes, words
+from keelson.llm.text import NOT_ALNUM, list_array, mix, slices, word_hashes, words
 
 BUCKETS = 1 << 18
 PASSAGE, STRIDE = 32, 16
@@ -36,7 +36,7 @@ COSINE = 0.35
 TIGHT, LOOSE, ANSWER = 0.8, 0.6, 0.75
 EXACT_BELOW = 13
 _PARTS = 64
-SLICE = SLICE_BYTES // 2
+SLICE = 1 << 20
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -163,6 +163,9 @@ def leaked(item: list[int], text: list[int]) -> float:
     n = len(item)
     if n < EXACT_BELOW:
         return 1.0 if any(text[k:k + n] == item for k in range(len(text) - n + 1)) else 0.0
+    there = set(text)
+    if sum(x in there for x in item) < LOOSE * n:       # no subsequence is longer than that
+        return 0.0
     share = common_subsequence(item, text) / n
     if share >= TIGHT:
         return share
@@ -175,11 +178,12 @@ def leaked(item: list[int], text: list[int]) -> float:
 
 def search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray) -> DataFrame:
     """doc_id, item ids and the best share, of rows that hold an item."""
-    latent = items.matrix @ space
-    given = docs.sparkSession.sparkContext.broadcast((items.term_of, idf, space, latent, items.ids, items.words))
+    # a term's share of every item's latent product, so that a passage's products are plain sums
+    share = (space @ (items.matrix @ space).T).astype(np.float32)
+    given = docs.sparkSession.sparkContext.broadcast((items.term_of, idf, share, np.abs(share).max(1), items.ids, items.words))
 
     def run(batches):
-        term_of, weight, space, latent, ids, texts = given.value
+        term_of, weight, share, most, ids, texts = given.value
         plain = [t.tolist() for t in texts]
         for b in slices(batches, "text", SLICE):
             w = words(b.column("text"), NOT_ALNUM)
@@ -190,19 +194,21 @@ def search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray) ->
             square = weight[bucket] ** 2
             norm, own = np.concatenate([[0], np.cumsum(square)]), np.concatenate([[0], np.cumsum(square * (term >= 0))])
             length, mine = norm[end] - norm[start], own[end] - own[start]
-            may = np.flatnonzero((mine >= COSINE * COSINE * length) & (mine > 0))
+            # neither the weight on the items' words nor the largest share of each word may rule it out
+            best = np.concatenate([[0], np.cumsum(weight[bucket] * np.where(term >= 0, most[term], 0))])
+            may = np.flatnonzero((mine > 0) & (mine >= COSINE * COSINE * length) & (best[end] - best[start] >= (COSINE - 1e-4) * np.sqrt(length)))
             hits: dict[int, dict[int, float]] = {}
             tried: dict[tuple[int, int], int] = {}
-            for lo in range(0, len(may), 4096):
-                p = may[lo:lo + 4096]
+            for lo in range(0, len(may), 1024):
+                p = may[lo:lo + 1024]
                 n = end[p] - start[p]
                 at = np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 owner = np.repeat(np.arange(len(p)), n)
                 known = term[at] >= 0
                 at, owner = at[known], owner[known]
                 first = np.searchsorted(owner, np.arange(len(p)))
-                z = np.add.reduceat(space[term[at]] * weight[bucket[at]].astype(np.float32)[:, None], first, axis=0)
-                cosine = (z @ latent.T) / np.sqrt(length[p]).astype(np.float32)[:, None]
+                cosine = np.add.reduceat(share[term[at]] * weight[bucket[at]].astype(np.float32)[:, None], first, axis=0)
+                cosine /= np.sqrt(length[p]).astype(np.float32)[:, None]
                 for k, j in zip(*np.nonzero(cosine >= COSINE)):
                     r, s = int(row[p[k]]), int(start[p[k]])
                     found = hits.setdefault(r, {})
@@ -212,9 +218,9 @@ def search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray) ->
                         continue
                     a, z_ = max(int(w.first[r]), s - size), min(int(w.first[r + 1]), s + PASSAGE + size + STRIDE)
                     tried[r, int(j)] = s + STRIDE + 1
-                    share = leaked(plain[j], h[a:z_].tolist())
-                    if share:
-                        found[int(j)] = share
+                    part = leaked(plain[j], h[a:z_].tolist())
+                    if part:
+                        found[int(j)] = part
             got = sorted(r for r, x in hits.items() if x)
             lists = [sorted(ids[j] for j in hits[r]) for r in got]
             cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
