@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             value, cut = shingle_sets(b.column("text"), size)
             n = np.diff(cut)
             full = np.flatnonzero(n)
@@ -131,12 +131,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree.  A bucket is cut
-    into blocks by doc_id hash; each pair of blocks is one small group."""
+    """Pairs of different components in one bucket whose signatures agree, once for all buckets
+    they share.  A bucket is cut into blocks by doc_id hash; each pair of blocks is one small
+    group."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "n_shingles", "signature")
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "n_shingles", "signature", "keys")
     floor = percent / 100 - MARGIN
     order = ["key", "lo", "hi"]
 
@@ -152,6 +153,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             stop = len(cut) - 1 - (not last)
             own, doc, comp, size = (table.column(c).to_numpy() for c in ("own", "doc_id", "component", "n_shingles"))
             sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+            bands = table.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
             u, v = [], []
             for a, b in zip(cut[:stop], cut[1:stop + 1]):
                 if b - a < 2:
@@ -163,6 +165,10 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     j = np.flatnonzero(ok) + i + 1
                     if len(j):
                         j = j[_agree(sig[i], sig[j]) >= floor]
+                    if len(j):
+                        # of the buckets two documents share, the first alone hands them out
+                        j = j[bands[i, (bands[i] == bands[j]).argmax(1)] == key[i]]
+                    if len(j):
                         u.append(np.full(len(j), doc[i]))
                         v.append(doc[j])
             out = None
@@ -205,8 +211,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
     placed = bucket.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n_shingles", "signature"), "doc_id")
-    more = staged(confirmed(across(rest.select("key", "n", "doc_id", "component", "n_shingles", "signature"), percent), texts, size, percent), "more_links")
+    rest = placed.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n_shingles", "signature", "keys"), "doc_id")
+    more = staged(confirmed(across(rest.select("key", "n", "doc_id", "component", "n_shingles", "signature", "keys"), percent), texts, size, percent), "more_links")
     # classes that share a repeated doc_id are one document
     least = member.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("v"))
     ties = member.join(least, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
