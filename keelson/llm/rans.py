@@ -49,7 +49,7 @@ class Coder:
         self.below = (np.cumsum(freq) - freq).astype(np.uint64)
         self.full = self.freq << (np.uint64(63) - self.bits)
         self.gap = np.uint64(1 << bits) - self.freq
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq) if freq.any() else np.zeros(1 << bits, np.uint32)
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         """One payload per block of ids; the blocks are coded side by side."""

@@ -29,9 +29,10 @@ from keelson.llm.staging import discard, staged
 from keelson.llm.text import slices, text_bytes
 
 END_ID = 1
+SLICE = 2 << 20
 BLOCK_IDS = 1 << 17
 SIDE_BY_SIDE = 16
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_STEMS = 300_000, 600_000
 _MARKS = b".,;:!?|%&*#$"
 _END = b"end of text"
 ENCODED = "doc_id long, ids binary, n_tokens long"
@@ -62,20 +63,24 @@ class WordEncoder(dict):
         if self.suffix:
             size = self.tokenizer.get_vocab_size()
             self.closes = np.array([str(self.tokenizer.id_to_token(i)).endswith(self.suffix) for i in range(size)])
-        self.tails: dict[bytes, list[int]] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}        # ids of stems as raw bytes, kept longer than words
+        self.kind = id_type(self.tokenizer.get_vocab_size())
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.stems: dict[bytes, int] = {}          # the first word with this stem, once learned
-        self.stem_size = np.empty(1 << 14, np.int32)
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        self.tails.clear()
         self.fresh: list[tuple[bytes, bytes]] = []
-        self.flat, self.used = np.empty(1 << 16, id_type(self.tokenizer.get_vocab_size())), 0
+        self.flat, self.used = np.empty(1 << 16, self.kind), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
-        stem = word if self.special(word) else word.lower()
+        low = word.lower()
+        stem = word if self.special(low) else low
         body = stem.rstrip(_MARKS)
         tail = b""
         if len(body) < len(stem) and body and body[-1] < 128 and chr(body[-1]).isalnum():
@@ -88,50 +93,42 @@ class WordEncoder(dict):
         if _END not in self:
             at = self[_END] = len(self)
             self.fresh.append((b"", b"\0 end"))
-            self.tails[b"\0 end"] = np.array([end_id], self.flat.dtype)
+            self.tails[b"\0 end"] = np.array([end_id], self.kind).tobytes()
             assert self[_END] == at
 
     def one_by_one(self, items: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)]
 
     def learn(self) -> None:
         """Encodes new stems and tails.  Stems of letters only are encoded many in one string
         and told apart by word-end tokens; where these do not add up, one by one."""
-        new: dict[bytes, np.ndarray] = {}
+        stems, kind = self.stems, self.kind
         plain, other = [], []
         for s in {s for s, _ in self.fresh}:
-            if s not in self.stems:
+            if s not in stems:
                 (plain if s.decode().isalpha() else other).append(s)
+        width = kind.itemsize
         for lo in range(0, len(plain), 512):
             group = plain[lo:lo + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, self.flat.dtype)
+            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group):
-                new.update(zip(group, map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+                raw, at = ids.tobytes(), (ends * width).tolist()
+                stems.update(zip(group, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
             else:
                 other += group
-        new.update(zip(other, self.one_by_one(other)))
+        stems.update((s, ids.tobytes()) for s, ids in zip(other, self.one_by_one(other)))
         tails = [t for t in {t for _, t in self.fresh} if t not in self.tails]
-        self.tails.update(zip(tails, self.one_by_one(tails)))
+        self.tails.update((t, ids.tobytes()) for t, ids in zip(tails, self.one_by_one(tails)))
         while len(self) > len(self.start):
-            self.start, self.size, self.stem_size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size, self.stem_size))
-        known = len(self) - len(self.fresh)
-        pieces, stem_size = [], []
-        for at, (stem, tail) in enumerate(self.fresh, known):
-            ids = new.get(stem)
-            if ids is None:
-                first = self.stems[stem]
-                ids = self.flat[self.start[first]:self.start[first] + self.stem_size[first]]
-            pieces += ids, self.tails[tail]
-            stem_size.append(len(ids))
-        for at, (stem, _) in enumerate(self.fresh, known):
-            self.stems.setdefault(stem, at)
-        self.stem_size[known:len(self)] = stem_size
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(1)
+            self.start, self.size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size))
+        known, tails = len(self) - len(self.fresh), self.tails
+        spelled = [stems[s] + tails[t] for s, t in self.fresh]
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // width
         total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used:self.used + total] = np.concatenate(pieces)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(spelled), kind)
         self.start[known:len(self)] = self.used + np.cumsum(size) - size
         self.size[known:len(self)] = size
         self.used += total
@@ -162,7 +159,7 @@ class WordEncoder(dict):
             at = np.repeat(shift, size)
             at += np.arange(len(at))
             return self.flat[at], ends[np.concatenate([[0], np.cumsum(n)])]
-        close = np.array([] if end_id is None else [end_id], self.flat.dtype)
+        close = np.array([] if end_id is None else [end_id], self.kind)
         each = [np.concatenate([x, close]) for x in self.one_by_one([data[a:b] for a, b in zip(at, at[1:])])]
         return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
@@ -177,7 +174,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     """doc_id, ids (little-endian, of ``id_type`` width) and n_tokens of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             ids, cut = encoder.encode(b.column("text"), end_id)
             ids = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((cut * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(np.diff(cut))], ["doc_id", "ids", "n_tokens"])
