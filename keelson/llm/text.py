@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -44,7 +44,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES * 2
+    """Powers of the hash base and of its inverse, at least ``n`` of each; kept for the largest
+    slice so far, as every slice of a task needs them."""
+    size = SLICE_BYTES + (1 << 16)
     while size < n:
         size *= 2
     return _powers(size)
