@@ -1,16 +1,15 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-Documents are cut into overlapping passages of words and weighted by TF-IDF (document
-frequencies of hashed words, counted over the whole corpus).  A randomised SVD finds the
-latent space: a random sign sketch adds every passage of the corpus to one of ``SKETCH`` rows,
-the rows are summed over all tasks, the items of the benchmark are put below them, and the
-leading right singular vectors of that small matrix span the space.  Passages and items are
-compared by cosine there; a passage whose share of weight on the items' words, or whose words'
-largest products with any item, stay below the cosine looked for cannot reach it and is left out.  Candidates are then checked word by
-word: the longest common subsequence of the item with the words around the passage, and, for
+"""Benchmark decontamination by an exact bound on common words.
+
+Documents are cut into overlapping passages of words.  Around each passage, as far as an item is
+long, the item's words that occur there are counted (one matrix product for all items of about one
+length).  No common subsequence is longer than that count, so a passage that could hold the item
+is always a candidate, however long it is, and no latent space or cosine is needed to find it; a
+paraphrase must also keep ``WEIGHT`` of the item's TF-IDF weight (document frequencies of hashed
+words, counted over the whole corpus).  Candidates are then checked word by word: the longest common
+subsequence of the item with the words around the passage, and, for
 paraphrases (``LOOSE`` up to ``TIGHT`` of the item's words), also the item's answer, its last
-quarter.  The item set is the query set: it is read in blocks of ``BLOCK`` items, each with its
-own space, against all documents.
+quarter.  The item set is the query set: it is read in blocks of ``BLOCK`` items, each
+against all documents.
 
 Cases: null and empty texts are clean; null, empty and repeated items are looked for once or
 not at all; items under ``EXACT_BELOW`` words count only word for word; an empty benchmark
@@ -27,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.staging import staged
-from keelson.llm.text import NOT_ALNUM, list_array, mix, slices, word_hashes, words
+from keelson.llm.text import NOT_ALNUM, list_array, slices, word_hashes, words
 
 BUCKETS = 1 << 18
 PASSAGE, STRIDE = 32, 16
-SKETCH, EXTRA, BLOCK = 128, 64, 256
-COSINE = 0.35
+BLOCK = 256
 TIGHT, LOOSE, ANSWER = 0.8, 0.6, 0.75
-EXACT_BELOW = 13
+#: share of an item's TF-IDF weight that a paraphrase must keep, so that stop words alone are none
+WEIGHT = 0.5
+#: parts that document frequencies are summed in
 _PARTS = 64
+EXACT_BELOW = 13
+#: windows counted at a time
+WINDOWS = 512
 SLICE = 1 << 20
 
 
@@ -79,21 +82,54 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return whole[:, :-1].ravel(), int(whole[:, -1].sum())
 
 
+class Class:
+    """Items of about one length: how often each of their terms is in each item and its answer."""
+
+    def __init__(self, members: list[int], texts: list[np.ndarray], idf: np.ndarray):
+        self.members = members
+        self.longest = max(len(texts[j]) for j in members)
+        self.terms = np.unique(np.concatenate([_buckets(texts[j]) for j in members]))
+        self.term_of = np.full(BUCKETS, -1, np.int32)
+        self.term_of[self.terms] = np.arange(len(self.terms))
+        self.whole, self.answer = (np.zeros((len(self.terms), len(members)), np.float32) for _ in range(2))
+        for k, j in enumerate(members):
+            at = self.term_of[_buckets(texts[j])]
+            np.add.at(self.whole[:, k], at, 1)
+            np.add.at(self.answer[:, k], at[-_answer(len(at)):], 1)
+        weight = idf[self.terms].astype(np.float32)[:, None]
+        self.weights = self.whole * weight
+        self.heavy = WEIGHT * self.weights.sum(0) * (1 - 1e-4)
+        n = np.array([len(texts[j]) for j in members])
+        # small slack for the rounding of products
+        short = n < EXACT_BELOW
+        self.tight = np.where(short, n, TIGHT * n) - 1e-3
+        self.loose = np.where(short, n, LOOSE * n) - 1e-3
+        self.asked = np.array([ANSWER * _answer(x) for x in n.tolist()]) - 1e-3
+
+    def possible(self, there: np.ndarray) -> np.ndarray:
+        """Which items the words of each window (windows x terms, 0 or 1) could hold."""
+        found = there @ self.whole
+        return (found >= self.tight) | (found >= self.loose) & (there @ self.answer >= self.asked) & (there @ self.weights >= self.heavy)
+
+
 class Items:
-    """A block of benchmark items: their words, weights on known terms, and answers."""
+    """A block of benchmark items: their words, in classes of about one length."""
 
     def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray):
         w = words(pa.array(texts, pa.string()), NOT_ALNUM)
         h = word_hashes(w, lower=True)
         self.ids = ids
         self.words = [h[a:b] for a, b in zip(w.first, w.first[1:])]
-        self.terms = np.unique(_buckets(h))
-        self.term_of = np.full(BUCKETS, -1, np.int32)
-        self.term_of[self.terms] = np.arange(len(self.terms))
-        at = self.term_of[_buckets(h)]
-        self.matrix = np.zeros((len(ids), len(self.terms)), np.float32)
-        np.add.at(self.matrix, (w.doc, at), idf[self.terms[at]].astype(np.float32))
-        self.matrix /= np.maximum(np.linalg.norm(self.matrix, axis=1, keepdims=True), 1e-9)
+        sized: dict[int, list[int]] = {}
+        for j, t in enumerate(self.words):
+            if len(t):
+                sized.setdefault(max(4, (2 * len(t) - 1).bit_length()), []).append(j)
+        self.classes = [Class(m, self.words, idf) for _, m in sorted(sized.items())]
+
+
+def _answer(n: int) -> int:
+    """Words of the answer of an item of n words."""
+    return max(3, n // 4)
 
 
 def _passages(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,45 +140,6 @@ def _passages(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.minimum(start + PASSAGE, w.first[row + 1])
 
 
-def latent_space(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the sketched corpus over the items."""
-    width = len(items.terms)
-    given = docs.sparkSession.sparkContext.broadcast((items.term_of, idf))
-
-    def run(batches):
-        term_of, weight = given.value
-        total = np.zeros(SKETCH * width)
-        for b in slices(batches, "text", SLICE):
-            w = words(b.column("text"), NOT_ALNUM)
-            h = word_hashes(w, lower=True)
-            bucket = _buckets(h)
-            term = term_of[bucket]
-            row, start, end = _passages(w, h)
-            if not len(row):
-                continue
-            # the sketch row and sign of a passage follow from its words
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-            code = mix(sums[end] - sums[start])
-            norm = np.concatenate([[0], np.cumsum(weight[bucket] ** 2)])
-            scale = (1.0 - 2.0 * (code >> np.uint64(63)).astype(np.float64)) / np.sqrt(np.maximum(norm[end] - norm[start], 1e-9))
-            at = np.repeat(start - (np.cumsum(end - start) - (end - start)), end - start) + np.arange((end - start).sum())
-            owner = np.repeat(np.arange(len(row)), end - start)
-            known = term[at] >= 0
-            at, owner = at[known], owner[known]
-            slot = (code[owner] % np.uint64(SKETCH)).astype(np.int64) * width + term[at]
-            total += np.bincount(slot, weights=weight[bucket[at]] * scale[owner], minlength=len(total))
-        yield _vectors(np.split(total, SKETCH))
-
-    got = _summed(docs.select("text").mapInArrow(run, "part int, values binary"), np.float64)
-    given.unpersist()
-    sketch = np.stack([got[p] for p in range(SKETCH)]) if got else np.zeros((SKETCH, width))
-    # items weigh as much as the corpus, so that their own directions stay in the space
-    heavy = max(1.0, float(np.linalg.norm(sketch, 2)))
-    _, s, v = np.linalg.svd(np.concatenate([sketch, heavy * items.matrix]).astype(np.float64), full_matrices=False)
-    rank = min(len(items.ids) + EXTRA, int((s > 1e-6 * s[:1].max(initial=0)).sum()))
-    return np.ascontiguousarray(v[:rank].T.astype(np.float32))
-
-
 def common_subsequence(item: Sequence[int], text: Sequence[int]) -> int:
     """Length of the longest common subsequence, by bit vectors over the item's words."""
     where: dict[int, int] = {}
@@ -170,57 +167,49 @@ def leaked(item: list[int], text: list[int]) -> float:
     if share >= TIGHT:
         return share
     if share >= LOOSE:
-        answer = item[-max(3, n // 4):]
+        answer = item[-_answer(n):]
         if common_subsequence(answer, text) >= ANSWER * len(answer):
             return share
     return 0.0
 
 
-def search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray) -> DataFrame:
+def search(docs: DataFrame, items: Items) -> DataFrame:
     """doc_id, item ids and the best share, of rows that hold an item."""
-    # a term's share of every item's latent product, so that a passage's products are plain sums
-    share = (space @ (items.matrix @ space).T).astype(np.float32)
-    given = docs.sparkSession.sparkContext.broadcast((items.term_of, idf, share, np.abs(share).max(1), items.ids, items.words))
+    given = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        term_of, weight, share, most, ids, texts = given.value
-        plain = [t.tolist() for t in texts]
+        ids, plain = given.value.ids, [t.tolist() for t in given.value.words]
         for b in slices(batches, "text", SLICE):
             w = words(b.column("text"), NOT_ALNUM)
             h = word_hashes(w, lower=True)
             bucket = _buckets(h)
-            term = term_of[bucket]
-            row, start, end = _passages(w, h)
-            square = weight[bucket] ** 2
-            norm, own = np.concatenate([[0], np.cumsum(square)]), np.concatenate([[0], np.cumsum(square * (term >= 0))])
-            length, mine = norm[end] - norm[start], own[end] - own[start]
-            # neither the weight on the items' words nor the largest share of each word may rule it out
-            best = np.concatenate([[0], np.cumsum(weight[bucket] * np.where(term >= 0, most[term], 0))])
-            may = np.flatnonzero((mine > 0) & (mine >= COSINE * COSINE * length) & (best[end] - best[start] >= (COSINE - 1e-4) * np.sqrt(length)))
+            row, start, _ = _passages(w, h)
             hits: dict[int, dict[int, float]] = {}
-            tried: dict[tuple[int, int], int] = {}
-            for lo in range(0, len(may), 1024):
-                p = may[lo:lo + 1024]
-                n = end[p] - start[p]
-                at = np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                owner = np.repeat(np.arange(len(p)), n)
-                known = term[at] >= 0
-                at, owner = at[known], owner[known]
-                first = np.searchsorted(owner, np.arange(len(p)))
-                cosine = np.add.reduceat(share[term[at]] * weight[bucket[at]].astype(np.float32)[:, None], first, axis=0)
-                cosine /= np.sqrt(length[p]).astype(np.float32)[:, None]
-                for k, j in zip(*np.nonzero(cosine >= COSINE)):
-                    r, s = int(row[p[k]]), int(start[p[k]])
-                    found = hits.setdefault(r, {})
-                    size = len(plain[j])
-                    # words around this passage; passages next to it see nearly the same
-                    if j in found or not size or s < tried.get((r, int(j)), -1):
-                        continue
-                    a, z_ = max(int(w.first[r]), s - size), min(int(w.first[r + 1]), s + PASSAGE + size + STRIDE)
-                    tried[r, int(j)] = s + STRIDE + 1
-                    part = leaked(plain[j], h[a:z_].tolist())
-                    if part:
-                        found[int(j)] = part
+            for c in given.value.classes:
+                term = c.term_of[bucket]
+                known = np.flatnonzero(term >= 0)               # words that any item of the class has
+                spot = np.concatenate([[0], np.cumsum(term >= 0)])
+                begin = np.maximum(w.first[row], start - c.longest)
+                end = np.minimum(w.first[row + 1], start + PASSAGE + c.longest + STRIDE)
+                first, count = spot[begin], spot[end] - spot[begin]
+                may = np.flatnonzero(count > 0)
+                for lo in range(0, len(may), WINDOWS):
+                    p = may[lo:lo + WINDOWS]
+                    n = count[p]
+                    owner = np.repeat(np.arange(len(p)), n)
+                    at = np.arange(n.sum()) + np.repeat(first[p] - (np.cumsum(n) - n), n)
+                    there = np.zeros((len(p), len(c.terms)), np.float32)
+                    there[owner, term[known[at]]] = 1
+                    for k, m in zip(*np.nonzero(c.possible(there))):
+                        j, r, s = c.members[m], int(row[p[k]]), int(start[p[k]])
+                        found = hits.setdefault(r, {})
+                        if j in found:
+                            continue
+                        size = len(plain[j])
+                        a, z = max(int(w.first[r]), s - size), min(int(w.first[r + 1]), s + PASSAGE + size + STRIDE)
+                        part = leaked(plain[j], h[a:z].tolist())
+                        if part:
+                            found[j] = part
             got = sorted(r for r, x in hits.items() if x)
             lists = [sorted(ids[j] for j in hits[r]) for r in got]
             cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
@@ -243,9 +232,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def finish():
         items = Items([r["item_id"] for r in block], [r["text"] for r in block], idf)
-        if not len(items.terms):
+        if not items.classes:
             return None
-        return staged(search(docs, items, latent_space(docs, items, idf), idf), "leaks")
+        return staged(search(docs, items), "leaks")
 
     for r in wanted.orderBy("item_id").toLocalIterator():
         block.append(r)

@@ -53,3 +53,20 @@ def test_empty_tables_and_null_ids(spark, docs):
     assert sorted((r.doc_id or 0, r.contaminated) for r in out if r.doc_id != 1) == [(0, True), (2, False)] and [r["items"] for r in out if r.doc_id == 1] == [[5], [5]]
     assert not any(r.contaminated for r in D.contamination(rows, table(spark, [(5, item)]).limit(0)).collect())
     assert D.contamination(rows.limit(0), table(spark, [(5, item)])).collect() == []
+
+
+def test_long_short_and_common_items(spark, docs):
+    """Copies and paraphrases of items of any length are candidates, common words or not."""
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(60)]
+    lengths = (4, 40, 100, 200, 500)
+    items = [[rng.choice(common) for _ in range(n)] for n in lengths]
+    rows = [(k, " ".join(f"r{rng.randrange(10**6)}" for _ in range(120))) for k in range(60)]
+    fill = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    for i, item in enumerate(items):
+        rows.append((100 + i, " ".join(fill(100) + item + fill(100))))
+        if len(item) > 13:                      # every third word but those of the answer replaced
+            loose = [x if k % 3 or k >= len(item) * 3 // 4 else "other" for k, x in enumerate(item)]
+            rows.append((200 + i, " ".join(fill(100) + loose + fill(100))))
+    got = {r.doc_id: r["items"] for r in D.contamination(docs(*rows), table(spark, [(i, " ".join(x)) for i, x in enumerate(items)])).collect() if r.contaminated}
+    assert all(k % 100 in x for k, x in got.items()) and set(got) == {100, 101, 102, 103, 104, 201, 202, 203, 204}
