@@ -1,12 +1,13 @@
 """Quality rules with cutoffs whose false rejections are bounded by exact binomial tests.
 
-Each rule rejects a document when one of its figures passes a cutoff.  Cutoffs come from a
-fixed grid, tried from lenient to strict on labelled good documents of one stratum; a cutoff
-holds if the exact binomial test rejects "more than ``risk`` of good documents fall" and all
-more lenient ones held (fixed-sequence testing).  The level is divided among all strata and
-rules (Bonferroni), and ``risk`` among the rules, so with probability 1 - ``level`` every
+Each rule rejects a document when one of its figures passes a cutoff.  Vectors of cutoffs, one for
+each rule, come in a fixed sequence from lenient to strict (``SEQUENCE``: all rules at their mildest
+cutoff, then one rule after the other a step stricter) and are tried on the labelled good
+documents of one stratum; a vector holds if the exact binomial test rejects "more than ``risk`` of
+good documents fall to any rule" and all more lenient ones held (fixed-sequence testing).  The
+level is divided among all strata (Bonferroni), so with probability 1 - ``level`` every
 stratum loses at most ``risk`` of its good documents to all rules together.  A stratum with
-too few labels gets no cutoff: the rule is off there.
+too few labels gets no cutoffs: the rules are off there.
 
 Cases: null or empty texts have no words and fail the base; a null stratum is a stratum of
 its own; a null doc_id has no label; repeated rows are judged each on their own text, and
@@ -39,6 +40,21 @@ RULES = {
     "long_words": ("word_chars / greatest(n_words, 1)", [20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0]),
 }
 
+def _sequence() -> list[tuple[float, ...]]:
+    grids = [grid for _, grid in RULES.values()]
+    at = [0] * len(grids)
+    out = [tuple(g[0] for g in grids)]
+    for step in range(1, max(map(len, grids))):
+        for k, g in enumerate(grids):
+            if step < len(g):
+                at[k] = step
+                out.append(tuple(g[i] for g, i in zip(grids, at)))
+    return out
+
+
+#: vectors of cutoffs, in order of RULES
+SEQUENCE = _sequence()
+
 
 def _per_doc(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype(np.int64)
@@ -90,8 +106,8 @@ def binomial_below(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(log).sum()))
 
 
-def certified(n: int, rejected: list[int], cutoffs: list[float], risk: float, level: float) -> float | None:
-    """The strictest cutoff reached before the first that fails its test."""
+def certified(n: int, rejected: list[int], cutoffs: list, risk: float, level: float):
+    """The strictest cutoff (or vector of cutoffs) reached before the first that fails its test."""
     best = None
     for k, c in zip(rejected, cutoffs):
         if n == 0 or binomial_below(k, n, risk) > level:
@@ -104,19 +120,20 @@ def cutoffs(rows: DataFrame, labels: DataFrame, *, risk: float = RISK, level: fl
     """One row per stratum with a cutoff (or null) for each rule."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     held = rows.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.array(*(F.count_if(F.expr(figure) > c) for c in grid)).alias(name) for name, (figure, grid) in RULES.items()]
+    falls = [" OR ".join(f"({figure}) > {c}D" for (figure, _), c in zip(RULES.values(), vector)) for vector in SEQUENCE]
+    counts = F.array(*(F.count_if(F.expr(x)) for x in falls)).alias("rejected")
     # strata without good labels count in the correction too, so the level does not depend on the labels
-    table = rows.select("stratum").distinct().join(held.groupBy(F.col("stratum").alias("s")).agg(F.count(F.lit(1)).alias("n"), *counts), F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
+    table = rows.select("stratum").distinct().join(held.groupBy(F.col("stratum").alias("s")).agg(F.count(F.lit(1)).alias("n"), counts), F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
     table = table.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("strata"))))   # one row with one number
-    names, share = list(RULES), risk / len(RULES)
+    names = list(RULES)
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in names}
             for r in b.to_pylist():
-                for k in names:
-                    n = r["n"] or 0
-                    out[k].append(certified(n, r[k] or [], RULES[k][1], share, level / (r["strata"] * len(names))))
+                best = certified(r["n"] or 0, r["rejected"] or [], SEQUENCE, risk, level / r["strata"])
+                for k, c in zip(names, best or [None] * len(names)):
+                    out[k].append(c)
             yield pa.RecordBatch.from_arrays([b.column("stratum"), pa.array([r or 0 for r in b.column("n").to_pylist()], pa.int64()), *(pa.array(out[k], pa.float64()) for k in names)], ["stratum", "n_good", *(f"cut_{k}" for k in names)])
 
     return table.mapInArrow(run, "stratum string, n_good long, " + ", ".join(f"cut_{k} double" for k in names))

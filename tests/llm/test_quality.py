@@ -56,3 +56,16 @@ def test_rules_keep_good_documents(spark):
     plain = Q.judged(figures, Q.cutoffs(figures, labels.limit(0))).collect()
     assert all(r.kept != r.base_failed for r in plain)
     assert Q.judged(figures.limit(0), Q.cutoffs(figures.limit(0), labels)).collect() == []
+
+
+def test_few_hundred_labels_certify_a_stratum(spark):
+    clean = " ".join(f"word{k}" for k in range(80))
+    junk = " ".join(f"w{k}###$$$" for k in range(80))
+    langs = ["en", "fr", "de", "es"]
+    rows = [(k, clean + f" v{k}", langs[k % 4] if k < 200 else "en", "s", 0) for k in range(400)] + [(1000 + k, junk, langs[k], "s", 0) for k in range(4)]
+    docs = spark.createDataFrame(rows, FULL)
+    figures = Q.figures(docs, "lang")
+    cuts = Q.cutoffs(figures, spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id: r.kept for r in Q.judged(figures, cuts).collect()}
+    # 250 good documents of en are enough, 50 of each other language are not
+    assert all(kept[k] for k in range(400)) and [kept[1000 + k] for k in range(4)] == [False, True, True, True]
