@@ -28,6 +28,8 @@ ORDERS = 3
 SMOOTH = 0.5
 MAX_MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
+#: share of a language's training documents that may lie below its floor, and steps a nat of the histogram
+LOW_SHARE, FINE, LEAST = 0.001, 50, -20.0
 SLICE = 1 << 20
 
 
@@ -96,15 +98,49 @@ class Model:
         self.prior = np.log((table[:, BUCKETS] + SMOOTH) / (table[:, BUCKETS] + SMOOTH).sum()) if langs else None
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        return self.measure(column)[:2]
+
+    def measure(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score, and the mean log-probability of an n-gram in that
+        language."""
         bucket, row, has = grams(column)
         n = len(column)
         if not self.langs:
-            return [UNKNOWN] * n, np.zeros(n)
-        total = np.stack([np.bincount(row, weights=self.log[bucket, k], minlength=n) for k in range(len(self.langs))], 1) + self.prior
+            return [UNKNOWN] * n, np.zeros(n), np.full(n, LEAST)
+        raw = np.stack([np.bincount(row, weights=self.log[bucket, k], minlength=n) for k in range(len(self.langs))], 1)
+        total = raw + self.prior
         best = total.argmax(1)
         odds = np.exp(total - total.max(1, keepdims=True))
         score = np.where(has > 0, 1 / odds.sum(1), 0.0)
-        return [self.langs[k] if h else UNKNOWN for k, h in zip(best.tolist(), (has > 0).tolist())], score
+        many = np.bincount(row, minlength=n)
+        mean = raw[np.arange(n), best] / np.maximum(many, 1)
+        return [self.langs[k] if h else UNKNOWN for k, h in zip(best.tolist(), (has > 0).tolist())], score, mean
+
+
+def floors(docs: DataFrame, model: Model) -> dict[str, float]:
+    """Per language, the mean log-probability of an n-gram that all but ``LOW_SHARE`` of the
+    training documents reach which are taken for the language they name; counted over all of them
+    in steps of 1 / ``FINE`` (the driver gets a row per language and step).  The floor lies
+    below that by the distance of the quantile from the median, for what training has not seen."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in slices(batches, "text", SLICE):
+            lang, _, mean = shared.value.measure(b.column("text"))
+            ok = np.array([x == y and x != UNKNOWN for x, y in zip(lang, b.column("lang").to_pylist())], bool)
+            step = np.floor(np.maximum(mean, LEAST) * FINE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()).filter(pa.array(ok)), pa.array(step[ok])], ["lang", "step"])
+
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.mapInArrow(run, "lang string, step long").groupBy("lang", "step").count().sort("lang", "step").collect():
+        seen.setdefault(r["lang"], []).append((r["step"], r["count"]))
+    out = {}
+    for lang, steps in seen.items():
+        total = np.cumsum([n for _, n in steps])
+        low, middle = (steps[int(np.searchsorted(total, share * total[-1], "right"))][0] / FINE for share in (LOW_SHARE, 0.5))
+        out[lang] = low - (middle - low)
+    return out
 
 
 def fit(docs: DataFrame) -> Model:
@@ -136,15 +172,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def likely(docs: DataFrame, model: Model, score: float) -> DataFrame:
-    """Rows whose text has a language at least this likely; all columns stay, nothing is moved."""
+def likely(docs: DataFrame, model: Model, score: float, floor: dict[str, float] | None = None) -> DataFrame:
+    """Rows whose text has a language at least this likely, and whose n-grams are as likely in it
+    as its ``floor``; all columns stay, nothing is moved."""
+    floor = floor or {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pa.Array) -> pa.Array:
         out = []
         for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", SLICE):
-            lang, p = shared.value.predict(b.column("text"))
-            out += [x != UNKNOWN and y >= score for x, y in zip(lang, p.tolist())]
+            lang, p, mean = shared.value.measure(b.column("text"))
+            out += [x != UNKNOWN and y >= score and m >= floor.get(x, LEAST) for x, y, m in zip(lang, p.tolist(), mean.tolist())]
         return pa.array(out, pa.bool_())
 
     return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))

@@ -32,3 +32,20 @@ def test_odd_rows(spark):
     assert L.identify(docs.limit(0), nothing).collect() == []
     kept = L.likely(docs, L.fit(docs), 0.5)
     assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_unlearned_language_and_junk_go(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    junk = [(-1, " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(80)), None), (-2, "".join(rng.choice(letters + "0123456789+/") for _ in range(900)), None),
+            (-3, "Привет мир, это текст на русском языке. " * 12, None), (-4, "Hyvää päivää, tämä on suomenkielinen teksti jota kukaan ei ole opettanut. " * 8, None)]
+    table = docs.union(spark.createDataFrame(junk, docs.schema))
+    known = table.select("text", "lang")
+    model = L.fit(known)
+    kept = {r.doc_id for r in L.likely(table, model, 0.5, L.floors(known, model)).collect()}
+    lettered = {r.doc_id for r in L.likely(docs, model, 0.5).collect()}
+    assert not kept & {-1, -2, -3, -4}
+    assert len(kept) >= 0.98 * len(lettered)
