@@ -1,0 +1,26 @@
+"""Training queries do the operators' whole default work."""
+
+from unittest.mock import MagicMock
+
+import keelson.queries.training as T
+
+
+def test_training_queries_do_not_cut_the_work(monkeypatch):
+    m = MagicMock()
+    monkeypatch.setattr(T, "M", m)
+    monkeypatch.setattr(T, "dataset", lambda spark, sf: (MagicMock(), MagicMock()))
+    monkeypatch.setattr(T, "load", MagicMock())
+    f = MagicMock()
+    f.col.return_value.__mod__.return_value.__gt__.return_value = MagicMock()
+    f.col.return_value.__lt__.return_value = MagicMock()
+    monkeypatch.setattr(T, "F", f)
+    monkeypatch.setattr(T, "Q", MagicMock())
+    m.fit_isotonic.return_value = ([], [])
+    m.fit_gated_mixture.return_value = [MagicMock(sensors=["a"]) for _ in range(3)]
+    from keelson.queries import CATALOG
+
+    for name in ("M01_gated_mixture_fit", "M02_M03_trees_isotonic", "M04_out_of_fold", "M05_bake_off", "M07_crop_classifier"):
+        CATALOG[name].build(None, "")
+    for call in (m.fit_gated_mixture, m.fit_trees, m.out_of_fold, m.bake_off, m.crop_classifier):
+        assert call.call_count == 1 and not call.call_args.kwargs
+    assert len(m.bake_off.call_args.args[3]) == 11
