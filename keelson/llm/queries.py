@@ -111,15 +111,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op11_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """The rounds one after the other, as one table expression each."""
     def nearest(at: int) -> str:
-        return (f"a{at} AS MATERIALIZED (SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.q, m.c, list_sum(list_transform(range(1, {dim + 1}), i -> (v.q[i] - m.q[i]) * (v.q[i] - m.q[i])))::BIGINT AS d "
+        return (f"a{at} AS MATERIALIZED (SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.q, m.c, list_sum(list_transform(range(1, {dim + 1}), lambda i: (v.q[i] - m.q[i]) * (v.q[i] - m.q[i])))::BIGINT AS d "
                 f"FROM v, m{at} m) GROUP BY 1, 2)")
 
     steps = []
     for r in range(rounds):
         steps += [nearest(r), f"m{r + 1} AS MATERIALIZED (SELECT m.c, coalesce(n.q, m.q) AS q FROM m{r} m LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q "
                   f"FROM (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(q) AS x, unnest(range(1, {dim + 1})) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1) n ON n.c = m.c)"]
-    return f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-WHERE len(embedding) = {dim} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dim}),
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
 m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q FROM v ORDER BY sha256('3:' || vec_id), q LIMIT {k}),
 {', '.join(steps)}, {nearest(rounds)}
 SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
