@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import clusters, decontaminate, html, language, minhash, passages, pieces, quality, suffixes, token_store, urls
+from keelson.llm import clusters, decontaminate, html, language, minhash, packing, passages, pieces, prefix_trie, quality, suffixes, token_store, urls
 from keelson.llm.catalog import QUERIES, SQL, query, table  # noqa: F401
 from keelson.llm.staging import shared_path, staged
 
@@ -130,3 +130,33 @@ FROM a{rounds} a JOIN m{rounds} m ON m.c = a.c"""
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster and exact distance of every vector after ten rounds from eight seeds."""
     return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_least_squares_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 ids, and its checksum."""
+    pieces, _ = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return pieces.drop("part", "row")
+
+
+OP12_SQL = """WITH b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM b)),
+t AS (SELECT c.conv_id, 0 AS own, b.i, b.role, b.text FROM c JOIN b ON b.conv_id = c.conv_id - c.conv_id % 5 AND b.i <= c.h UNION ALL SELECT c.conv_id, 1, b.i, b.role, b.text FROM c JOIN b ON b.conv_id = c.conv_id AND b.i > c.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d, role, text FROM t),
+p AS (SELECT conv_id, d, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY d) AS pre, strlen(text) AS bytes FROM r UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT d, pre, min(conv_id) AS m, count(*) AS n, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS sha FROM e GROUP BY d, pre),
+o AS (SELECT e.conv_id, e.d, n.m FROM e JOIN n ON n.d = e.d AND n.pre = e.pre),
+k AS (SELECT n.d, n.m, n.n, n.bytes, n.sha, o.m AS parent FROM n LEFT JOIN o ON o.conv_id = n.m AND o.d = n.d - 1),
+f AS (SELECT d - 1 AS d, parent AS m, count(*) AS children FROM k WHERE d > 0 GROUP BY 1, 2),
+s AS (SELECT o.d, o.m, sum((k.n - 1) * k.bytes)::BIGINT AS saved, sum((f.m IS NULL)::INT)::BIGINT AS leaves FROM k LEFT JOIN f ON f.d = k.d AND f.m = k.m JOIN o ON o.conv_id = k.m AND o.d <= k.d GROUP BY 1, 2)
+SELECT k.m AS conv_id, k.d AS depth, k.parent AS parent_conv_id, k.n AS n_convs, coalesce(f.children, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, k.sha AS ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.m = k.m LEFT JOIN f ON f.d = k.d AND f.m = k.m"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations with the figures of its subtree."""
+    lists = prefix_trie.with_shared_heads(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")), group=5, most=9)
+    return prefix_trie.prefix_nodes(prefix_trie.paths(lists))
