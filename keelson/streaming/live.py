@@ -1,4 +1,4 @@
-"""Live recordings with Structured Streaming.
+"""Batch-side steps of live recordings: latest-wins, latency and sessions.
 
 Spark cannot follow a file that still grows, so the recorder lands closed files; every
 operator below is the streaming form of a batch operator and gives the same rows.
@@ -6,84 +6,32 @@ operator below is the streaming form of a batch operator and gives the same rows
 
 from __future__ import annotations
 
-import json
-import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from keelson.functions import motion as M
-from keelson.operators import radar as R
-from keelson.session import ensure_checkpoint_dir
 from keelson.sources.scans import clip_of, radar_rows
 
 
 def radar_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Radar points of landed chunk files, oldest first."""
+    """Radar points of landed chunk files, oldest first, with the session and chunk of their file."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", "false").load(folder)
-    return radar_rows(lines.select(clip_of(F.col("_metadata.file_path")).alias("clip_id"), F.col("value").alias("line")))
+    rows = radar_rows(lines.select(clip_of(F.col("_metadata.file_path")).alias("clip_id"), F.col("value").alias("line")))
+    name = F.split("clip_id", "/")
+    return rows.withColumns({"session": name[0], "chunk": name[1]})
 
 
 IDLE_MS = 600_000
-_MERGE = {"count": "sum", "min": "min", "max": "max"}
-
-
-def complete_groups(rows: DataFrame, by: list[str], figures: dict[str, tuple[str, str]], width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Aggregates of complete time groups of each recording.  A group is complete when a row of
-    a later group of the same recording arrives, so recordings with different clocks do not
-    wait for, or cut off, each other.  State holds the newest group only; a recording silent for
-    ``idle_ms`` hands out its last group and is forgotten (None, for a run over landed files
-    that ends: no timer, which would keep such a run alive).
-
-    ``rows``: clip_id, ts and what is aggregated; ``figures``: name -> (column, count | min |
-    max); ``by``: integer columns grouped with the time."""
-    keys = ["t_ms", *by]
-    names = ["clip_id", *keys, *figures]
-    ready = rows.select("clip_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / width_ms) * width_ms).alias("t_ms"),
-                        *[F.col(c).cast("bigint") for c in by], *[F.col(c).cast("double").alias(f"__{n}") for n, (c, _) in figures.items()])
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pd.DataFrame(json.loads(state.get[0]), columns=[*keys, *figures])] if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            yield parts[0].assign(clip_id=key[0])[names]
-            return
-        for pdf in batches:       # each batch shrinks to its groups before the next is read
-            parts.append(pdf.groupby(keys, sort=False).agg(**{n: (f"__{n}", how) for n, (_, how) in figures.items()}).reset_index())
-        whole = pd.concat([p for p in parts if len(p)]).groupby(keys, sort=True).agg(**{n: (n, _MERGE[how]) for n, (_, how) in figures.items()}).reset_index()
-        newest = whole["t_ms"] == whole["t_ms"].max()
-        open_rows = whole[newest].astype(object)
-        state.update((json.dumps(open_rows.where(open_rows.notna(), None).values.tolist()),))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield whole[~newest].assign(clip_id=key[0])[names]
-
-    schema = "clip_id string, " + ", ".join(f"{k} bigint" for k in keys) + ", " + ", ".join(f"{n} {'bigint' if how == 'count' else 'double'}" for n, (_, how) in figures.items())
-    return ready.groupBy("clip_id").applyInPandasWithState(advance, schema, "newest string", "append", _timer(idle_ms))
 
 
 def _timer(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def radar_groups(points: DataFrame, width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Complete radar groups: returns and nearest range."""
-    return complete_groups(points, [], {"n_points": ("x", "count"), "min_range_m": ("y", "min")}, width_ms, idle_ms)
-
-
-def live_bins(points: DataFrame, width_ms: int = 100, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Filtered radar into bearing bins per complete group: returns, nearest range and fastest
-    closing speed."""
-    p = R.with_polar(R.filter_points(points.filter("x IS NOT NULL"))).filter("bin_index IS NOT NULL").withColumn("closing_mps", M.closing_speed(F.col("vy")))
-    return complete_groups(p, ["bin_index"], {"radar_n_points": ("range_m", "count"), "min_range_m": ("range_m", "min"), "fastest_closing_mps": ("closing_mps", "max")}, width_ms, idle_ms)
-
-
 def latest_wins(batch: DataFrame, keys: tuple[str, ...] = ("clip_id",), order: str = "ts") -> DataFrame:
     """For ``foreachBatch``: the newest row per key and how many were skipped."""
     rest = [c for c in batch.columns if c not in keys]
@@ -91,22 +39,6 @@ def latest_wins(batch: DataFrame, keys: tuple[str, ...] = ("clip_id",), order: s
     return g.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest], "skipped_rows")
 
 
-def with_freshness(frames: DataFrame, results: DataFrame, max_age_s: float = 2.0, delay: str = "5 seconds") -> DataFrame:
-    """Frames with any mask or detector result of at most ``max_age_s`` age; a frame without
-    one is kept with its evidence absent.  ``results``: clip_id, result_ts, result_id."""
-    f = frames.withWatermark("ts", delay)
-    r = results.withColumnRenamed("clip_id", "r_clip").withWatermark("result_ts", delay)
-    age = F.expr(f"r_clip = clip_id AND result_ts <= ts AND result_ts >= ts - INTERVAL {max_age_s} SECONDS")
-    return f.join(r, age, "left_outer").withColumn("fresh", F.col("result_id").isNotNull()).withColumn(
-        "age_s", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("result_ts").cast("timestamp"))) / 1e6)
-
-
-def freshest(joined: DataFrame, keys: tuple[str, ...] = ("clip_id", "ts")) -> DataFrame:
-    """One row per frame with its newest result (batch side of :func:`with_freshness`)."""
-    return joined.groupBy(*keys).agg(F.max_by(F.struct("result_id", "age_s"), "result_ts").alias("r"), F.bool_or("fresh").alias("fresh")).select(
-        *keys, "r.result_id", "r.age_s", "fresh")
-
-
 def with_latency(rows: DataFrame, now: str | None = None, budget_ms: float = 333.0) -> DataFrame:
     """Source latency (never negative) and the tick-budget flag."""
     t = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
@@ -142,56 +74,3 @@ def live_sessions(rows: DataFrame, gap_s: float = 45.0, idle_ms: int | None = ID
     s = rows.select("scene", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return s.groupBy("scene").applyInPandasWithState(
         advance, "scene string, start_s double, end_s double, rows bigint", "start_s double, end_s double, rows bigint", "append", _timer(idle_ms))
-
-
-SMOOTH_OUT = "clip_id string, frame_index bigint, bin_index bigint, p_smooth double, confirmed boolean"
-
-
-def smooth_stream(bins: DataFrame, tau: float = 2.0, gap_s: float = 5.0, min_hits: int = 3, max_age: int = 5, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """Score persistence and sector confirmation as stream state per clip; a late or
-    backward step or a long gap restarts the score, and a silent clip is forgotten.  ``bins``: clip_id, frame_index,
-    bin_index, t_s, p, hit."""
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        mem = json.loads(state.get[0]) if state.exists else {}
-        pdf = pd.concat(list(batches)).sort_values(["frame_index", "bin_index"], kind="stable")
-        out = []
-        for f, b, t, p, hit in zip(*(pdf[c].tolist() for c in ("frame_index", "bin_index", "t_s", "p", "hit"))):
-            m = mem.get(str(b)) or {"t": None, "p": 0.0, "h": 0, "m": 0, "c": False}
-            step = None if m["t"] is None else t - m["t"]
-            keep = math.exp(-step / tau) if step is not None and 0 < step <= gap_s else 0.0
-            m["t"], m["p"] = t, max(p, keep * m["p"])
-            if hit:
-                m["h"], m["m"] = m["h"] + 1, 0
-                m["c"] = m["c"] or m["h"] >= min_hits
-            else:
-                m["m"] += 1
-                if m["m"] >= max_age:
-                    m["h"], m["c"] = 0, False
-            mem[str(b)] = m
-            out.append((key[0], f, b, m["p"], m["c"]))
-        state.update((json.dumps(mem),))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["clip_id", "frame_index", "bin_index", "p_smooth", "confirmed"])
-
-    return bins.groupBy("clip_id").applyInPandasWithState(advance, SMOOTH_OUT, "mem string", "append", _timer(idle_ms))
-
-
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what has landed and returns the written table."""
-    spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def newest_group_first(points: DataFrame, keep: int = 8) -> DataFrame:
-    """For ``foreachBatch``: the newest ``keep`` radar groups per clip."""
-    g = points.groupBy("clip_id", "rounded_time").agg(F.max("ts").alias("ts"))
-    w = W.partitionBy("clip_id").orderBy(F.desc("ts"))
-    return g.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep).drop("__n")

@@ -236,21 +236,6 @@ def test_feature_batches_keep_other_clips(spark, tmp_path):
     assert read_features(spark, str(tmp_path), "meta").count() == 2
 
 
-def test_offset_clocks_lose_no_group(spark, tmp_path):
-    """Two recordings, one an hour behind, landed file by file: all groups but the last of each."""
-    from pyspark.sql import functions as F
-
-    from keelson.streaming import live
-
-    rows = [(clip, base + 100 * g + 20 * k, g + k / 10, float(g)) for clip, base in (("a", 3_600_000), ("b", 0)) for g in range(6) for k in range(3)]
-    for f in range(6):
-        part = [r for r in rows if (r[1] % 3_600_000) // 100 == f]
-        spark.createDataFrame(part, "clip_id string, t bigint, x double, y double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("clip_id string, t bigint, x double, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = live.run_to_table(live.radar_groups(src.withColumn("ts", F.timestamp_millis("t")), idle_ms=None), "offset").collect()
-    assert sorted((r.clip_id, r.t_ms, r.n_points, r.min_range_m) for r in out) == sorted((c, b + 100 * g, 3, float(g)) for c, b in (("a", 3_600_000), ("b", 0)) for g in range(5))
-
-
 def test_camera_sustains_a_lost_target():
     x, y = K.sustain_by_camera(0.0, 5.0, -1.0, 10.0, 0.5)
     assert math.hypot(x, y) == pytest.approx(4.5) and math.degrees(math.atan2(x, y)) == pytest.approx(5.0)
