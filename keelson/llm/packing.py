@@ -41,6 +41,8 @@ WINDOW = 4096
 MAX_WINDOW = 1 << 14
 ITERATIONS = 400
 SLICE = 1 << 20
+#: words and stems that a worker remembers; results do not depend on them
+WORDS, STEMS = 150_000, 400_000
 ENCODED = "part int, row long, doc_id long, n_tokens long, rest int, rank long, windows_before long, crcs array<long>, ids binary"
 PLACED = "part int, row long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
 
@@ -55,7 +57,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, window: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = word_encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = word_encoder(tokenizer_path, WORDS, STEMS), TaskContext.get().partitionId()
         row, windows, seen = 0, 0, np.zeros(window, np.int64)
         for b in slices(batches, "text", SLICE):
             ids, cut = encoder.encode(b.column("text"), end_id)

@@ -52,10 +52,12 @@ class WordEncoder(dict):
     two never share a token either.  Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, stems: int = CACHE_STEMS):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_stems = words, stems
+
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())
         self.suffix = model["model"].get("end_of_word_suffix")
@@ -70,7 +72,7 @@ class WordEncoder(dict):
 
     def reset(self) -> None:
         self.clear()
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.stems) > self.most_stems:
             self.stems.clear()
         self.tails.clear()
         self.fresh: list[tuple[bytes, bytes]] = []
@@ -139,7 +141,7 @@ class WordEncoder(dict):
         data, at = text_bytes(column)
         data = data.tobytes()
         if self.suffix:
-            if len(self) > CACHE_WORDS:
+            if len(self) > self.most_words:
                 self.reset()
             parts = [data[a:b].split() for a, b in zip(at, at[1:])]
             if end_id is not None:
@@ -165,9 +167,9 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, words: int = CACHE_WORDS, stems: int = CACHE_STEMS) -> WordEncoder:
     """One per Python worker, so tasks that follow each other share the words seen."""
-    return WordEncoder(path)
+    return WordEncoder(path, words, stems)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
