@@ -1,26 +1,27 @@
 """Targets and tracks.
 
-Clustering, observations, bearing rates and motion fields are relational; only the
-frame-to-frame association is a state machine, run over sorted rows with bounded state
-and restarted at exact reset points, so long recordings split into parallel stretches.
+Clustering, observations, bearing rates and motion fields are relational.  The association of
+frames is a fold over blocks of frames (``plans/fold.py``): candidate pairs of a frame are sorted
+and taken one to one, the rest is one expression per track.  Recordings are cut at exact reset
+points, so long ones split into parallel stretches.
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from keelson.functions import motion as M
 from keelson.params import MOTION, Motion
+from keelson.plans.fold import fold_frames, let, one_to_one, only
 from keelson.plans.joins import near_pairs
 from keelson.plans.ordered import SLICE, haloed, scan, time_slices
-from keelson.plans.stateful import ordered_map
+from keelson.session import cut_lineage
 
 FRAME = ["clip_id", "frame_index"]
 
@@ -64,60 +65,6 @@ def observations(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy(*FRAME, "cluster_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n_points"), F.median(rad).alias("v_radial"))
 
 
-def _greedy(cost: np.ndarray, gate: float):
-    """One-to-one pairs, cheapest first (ties by row, then column)."""
-    if cost.size == 0:
-        return
-    rows, cols = set(), set()
-    for k in np.argsort(cost, axis=None, kind="stable"):
-        i, j = divmod(int(k), cost.shape[1])
-        if cost[i, j] > gate:
-            return
-        if i not in rows and j not in cols:
-            rows.add(i)
-            cols.add(j)
-            yield i, j
-
-
-class TargetMachine:
-    """Nearest association of cluster observations to smoothed tracks, one frame a step.
-    Emits every matched or new track with its state after the frame."""
-
-    SCHEMA = ("clip_id string, stretch bigint, frame_index bigint, t_ms bigint, cluster_id bigint, track_id bigint, x double, y double, "
-              "v_radial double, hits bigint, n_points bigint")
-
-    def __init__(self, m: Motion = MOTION):
-        self.m, self.tracks, self.next_id = m, [], 0
-
-    def step(self, rows: dict) -> list[tuple]:
-        m = self.m
-        head = (rows["clip_id"][0], int(rows["stretch"][0]), int(rows["frame_index"][0]), int(rows["t_ms"][0]))
-        seen = ~np.isnan(rows["cx"])
-        pos = np.column_stack([rows["cx"][seen], rows["cy"][seen]])
-        have = np.array([[t["x"], t["y"]] for t in self.tracks]).reshape(-1, 2)
-        cost = np.hypot(have[:, None, 0] - pos[None, :, 0], have[:, None, 1] - pos[None, :, 1])
-        pairs = {j: i for i, j in _greedy(cost, m.assoc_gate_m)}
-        out = []
-        for t in self.tracks:
-            t["age"] += 1
-        obs = zip(pos, rows["v_radial"][seen], rows["cluster_id"][seen], rows["n_points"][seen])
-        for j, ((cx, cy), v, cluster, n) in enumerate(obs):
-            v = None if np.isnan(v) else float(v)
-            if j in pairs:
-                t, a = self.tracks[pairs[j]], m.ema_alpha
-                t["x"], t["y"] = a * cx + (1 - a) * t["x"], a * cy + (1 - a) * t["y"]
-                t["v"] = t["v"] if v is None else v if t["v"] is None else a * v + (1 - a) * t["v"]
-                t["hits"] += 1
-                t["age"] = 0
-            else:
-                t = {"id": self.next_id, "x": float(cx), "y": float(cy), "v": v, "hits": 1, "age": 0}
-                self.next_id += 1
-                self.tracks.append(t)
-            out.append((*head, int(cluster), t["id"], t["x"], t["y"], t["v"], t["hits"], int(n)))
-        self.tracks = [t for t in self.tracks if t["age"] < m.max_age]
-        return out
-
-
 def stretches(frames: DataFrame, max_dt_s: float) -> DataFrame:
     """Numbers the stretches between resets: a step that is not positive or too long."""
     d = scan(time_slices(frames, "frame_index", 1000), ["clip_id"], ["frame_index"], lag={"__p": F.col("t_ms")})
@@ -127,14 +74,93 @@ def stretches(frames: DataFrame, max_dt_s: float) -> DataFrame:
     return d.withColumn("stretch", F.col("stretch").cast("bigint")).drop("__p", "__new", SLICE)
 
 
-def track_targets(obs: DataFrame, frames: DataFrame, m: Motion = MOTION) -> DataFrame:
-    """Track ids and smoothed state per observation.  Frames without returns also age the
-    tracks; tracks restart after a gap, which starts a new stretch."""
+_TRACK = "struct<id:bigint,x:double,y:double,v:double,hits:bigint,missed:int,cluster_id:bigint,n_points:bigint,radar_ms:bigint,camera_ms:bigint,moved_ms:bigint>"
+_TARGET = "struct<frame_index:bigint,t_ms:bigint,cluster_id:bigint,track_id:bigint,x:double,y:double,v_radial:double,hits:bigint,n_points:bigint>"
+NO_CLUSTER = -1
+
+
+def _blend(new: Column, old: Column, a: float) -> Column:
+    """Average with the old value; what is unknown does not count."""
+    return F.coalesce(a * new + (1 - a) * old, new, old)
+
+
+def _struct(t: Column, names: Sequence[str], **changed: Column) -> Column:
+    return F.struct(*[(changed[n] if n in changed else t[n]).alias(n) for n in names])
+
+
+def _target_step(m: Motion):
+    names = [x.split(":")[0] for x in _TRACK[7:-1].split(",")]
+    null_ms = F.lit(None).cast("bigint")
+
+    def step(acc: Column, f: Column) -> Column:
+        tracks, now = acc["tracks"], f["t_ms"]
+
+        def near(t: Column) -> Column:
+            away = F.transform(f["obs"], lambda o: F.struct(F.hypot(t["x"] - o["cx"], t["y"] - o["cy"]).alias("d"), t["id"].alias("track"), o["cluster_id"].alias("cluster")))
+            return F.filter(away, lambda p: p["d"] <= m.assoc_gate_m)
+
+        def follow(t: Column, o: Column) -> Column:
+            """The track with the observation it took, or one frame older."""
+            a = m.ema_alpha
+            hit = _struct(t, names, x=_blend(o["cx"], t["x"], a), y=_blend(o["cy"], t["y"], a), v=_blend(o["v_radial"], t["v"], a), hits=t["hits"] + 1, missed=F.lit(0),
+                          cluster_id=o["cluster_id"], n_points=o["n_points"], radar_ms=now, moved_ms=now)
+            return F.when(o.isNotNull(), hit).otherwise(_struct(t, names, missed=t["missed"] + 1, cluster_id=F.lit(NO_CLUSTER).cast("bigint"), n_points=F.lit(0).cast("bigint")))
+
+        def born(o: Column, k: Column) -> Column:
+            return F.struct((acc["next"] + k).alias("id"), o["cx"].alias("x"), o["cy"].alias("y"), o["v_radial"].alias("v"), F.lit(1).cast("bigint").alias("hits"), F.lit(0).alias("missed"),
+                            o["cluster_id"].alias("cluster_id"), o["n_points"].alias("n_points"), now.alias("radar_ms"), null_ms.alias("camera_ms"), now.alias("moved_ms"))
+
+        def sustain(t: Column) -> Column:
+            """A paired camera bearing: noted, and for a track without a return its new position."""
+            def seen(c: Column) -> Column:
+                held = (t["missed"] > 0) & ((now - t["radar_ms"]) <= m.camera_sustain_max_s * 1000)
+                b = F.radians(_blend(c["bearing"], M.azimuth(t["x"], t["y"]), m.ema_alpha))
+                r = F.greatest(F.lit(0.1), F.hypot(t["x"], t["y"]) + F.coalesce(t["v"], F.lit(0.0)) * (now - t["moved_ms"]) / 1000.0)
+                moved = _struct(t, names, x=r * F.sin(b), y=r * F.cos(b), camera_ms=now, moved_ms=now)
+                return F.when(c.isNull(), t).when(held, moved).otherwise(_struct(t, names, camera_ms=now))
+
+            return let(only(f["cameras"], lambda c: c["track_id"] == t["id"]), seen)
+
+        def alive(t: Column) -> Column:
+            by_camera = (now - t["camera_ms"] <= m.camera_fresh_s * 1000) & (now - t["radar_ms"] <= m.camera_sustain_max_s * 1000)
+            return (t["missed"] < m.max_age) | F.coalesce(by_camera, F.lit(False))
+
+        def after(won: Column) -> Column:
+            taken = lambda t: let(only(won, lambda w: w["track"] == t["id"]), lambda w: only(f["obs"], lambda o: o["cluster_id"] == w["cluster"]))
+            old = F.transform(tracks, lambda t: let(taken(t), lambda o: follow(t, o)))
+            fresh = F.transform(F.filter(f["obs"], lambda o: ~F.exists(won, lambda w: w["cluster"] == o["cluster_id"])), born)
+            # a track survives on what the camera showed up to the frame before, and is moved by this frame's bearing
+            return let(F.transform(F.concat(F.filter(old, alive), fresh), sustain), lambda now_live: F.struct(
+                now_live.alias("tracks"), (acc["next"] + F.size(fresh)).alias("next"),
+                F.concat(acc["out"], F.transform(F.filter(now_live, lambda t: (t["missed"] == 0) | (t["moved_ms"] == now)), lambda t: F.struct(
+                    f["frame_index"].alias("frame_index"), now.alias("t_ms"), t["cluster_id"].alias("cluster_id"), t["id"].alias("track_id"), t["x"].alias("x"), t["y"].alias("y"),
+                    t["v"].alias("v_radial"), t["hits"].alias("hits"), t["n_points"].alias("n_points")))).alias("out")))
+
+        return let(one_to_one(F.flatten(F.transform(tracks, near)), "track", "cluster"), after)
+
+    return step
+
+
+def track_targets(obs: DataFrame, frames: DataFrame, m: Motion = MOTION, cameras: DataFrame | None = None) -> DataFrame:
+    """Track ids and smoothed state per observation: cheapest pairs of track and observation first
+    (ties by track, then cluster), smoothed position and radial speed, ``max_age`` frames without
+    an observation end a track.  Frames without returns also age the tracks; tracks restart after
+    a gap, which starts a new stretch.
+
+    ``cameras`` (clip, frame, track_id within the stretch, bearing) are bearings of paired camera
+    tracks: while they are fresh they carry a track through a radar dropout, as rows with
+    ``n_points`` 0 and no cluster."""
     f = stretches(frames.select(*FRAME, "t_ms"), m.max_dt_s)
-    rows = f.join(obs, FRAME, "left")
-    # an id column with nulls would reach Python as floating point: empty frames carry -1
-    rows = rows.withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "n_points": F.coalesce("n_points", F.lit(0))})
-    return ordered_map(rows, ["clip_id", "stretch"], "frame_index", ["cluster_id"], lambda: TargetMachine(m), TargetMachine.SCHEMA)
+    o = obs.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "cx", "cy", "v_radial", F.col("n_points").cast("bigint").alias("n_points")))).alias("obs"))
+    rows = f.join(o, FRAME, "left")
+    if cameras is None:
+        rows = rows.withColumn("cameras", F.expr("cast(array() as array<struct<track_id:bigint,bearing:double>>)"))
+    else:
+        c = cameras.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("track_id", "bearing"))).alias("cameras"))
+        rows = rows.join(c, FRAME, "left").withColumn("cameras", F.coalesce("cameras", F.expr("cast(array() as array<struct<track_id:bigint,bearing:double>>)")))
+    rows = rows.withColumn("obs", F.coalesce("obs", F.expr("cast(array() as array<struct<cluster_id:bigint,cx:double,cy:double,v_radial:double,n_points:bigint>>)")))
+    zero = f"named_struct('tracks', cast(array() as array<{_TRACK}>), 'next', 0L, 'out', cast(array() as array<{_TARGET}>))"
+    return fold_frames(rows, ["clip_id", "stretch"], "frame_index", zero, _target_step(m))
 
 
 def unwrap(df: DataFrame, keys: list[str], pos: str, bearing: str, slice_len: float) -> DataFrame:
@@ -167,10 +193,27 @@ def rate_source(radar_rate, radar_age_s, camera_rate, window_s: float = 2.0):
     return F.when(fresh, r(radar_rate, "radar")).when(camera_rate.isNotNull(), r(camera_rate, "camera")).when(radar_rate.isNotNull(), r(radar_rate, "radar_stale"))
 
 
-def motion_fields(tracks: DataFrame, m: Motion = MOTION) -> DataFrame:
-    """Bearing, range, speeds, closest approach and motion state of every track row."""
+def stabilised(tracks: DataFrame, bearing: str, yaw: str, keys: list[str], sign: float = 1.0, slice_ms: float = 60_000) -> DataFrame:
+    """Adds ``stable_deg`` (the bearing plus the boat's yaw where it is known), ``ego_corrected`` and
+    ``fit``, the number of the run of rows with or without yaw: a slope never mixes the two."""
+    known = F.col(yaw).isNotNull()
+    d = tracks.withColumns({"stable_deg": F.coalesce(F.col(bearing) + sign * F.col(yaw), F.col(bearing)), "ego_corrected": known})
+    d = scan(time_slices(d, "t_ms", slice_ms), keys, ["t_ms"], lag={"__was": known})
+    d = d.withColumn("__flip", (F.col("__was") != known).cast("bigint"))
+    return scan(d, keys, ["t_ms"], run_sum={"fit": F.coalesce("__flip", F.lit(0))}).drop("__was", "__flip", SLICE)
+
+
+def motion_fields(tracks: DataFrame, m: Motion = MOTION, yaw: str | None = None) -> DataFrame:
+    """Bearing, range, speeds, closest approach and motion state of every track row.  With ``yaw``
+    (degrees per row, null where unknown) bearing rates are those of the turning boat's surroundings,
+    not of its bow."""
     d = tracks.withColumns({"bearing_deg": M.azimuth(F.col("x"), F.col("y")), "range_m": F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))})
-    d = bearing_rate(d, ["clip_id", "stretch", "track_id"], window_ms=int(m.rate_window_s * 1000), min_samples=m.rate_min_samples)
+    keys = ["clip_id", "stretch", "track_id"]
+    window = {"window_ms": int(m.rate_window_s * 1000), "min_samples": m.rate_min_samples}
+    if yaw is None:
+        d = bearing_rate(d, keys, **window)
+    else:
+        d = bearing_rate(stabilised(d, "bearing_deg", yaw, keys), [*keys, "fit"], "stable_deg", **window).drop("stable_deg", "fit")
     d = d.withColumn("v_tangential", F.col("range_m") * F.radians("rate_dps"))
     c = M.closest_approach(F.col("x"), F.col("y"), F.col("v_radial"), F.col("v_tangential"), m.closing_min_mps, m.ttc_cap_s)
     d = d.withColumn("__c", c).select("*", "__c.*").drop("__c").withColumn("closing_mps", -F.col("v_radial"))
@@ -178,74 +221,69 @@ def motion_fields(tracks: DataFrame, m: Motion = MOTION) -> DataFrame:
 
 
 def reported(tracks: DataFrame, m: Motion = MOTION) -> DataFrame:
-    """Targets reported to consumers: enough hits and matched this frame, nearest first."""
-    return tracks.filter(F.col("hits") >= m.min_hits)
-
-
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    i = w * h
-    return i / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - i)
-
-
-class BoxMachine:
-    """Two-stage overlap tracker: confident boxes first, weak ones only continue tracks."""
-
-    SCHEMA = "clip_id string, stretch bigint, frame_index bigint, box_id bigint, track_id bigint, hits bigint, confirmed boolean"
-
-    def __init__(self, min_hits=3, max_age=5, high=0.3, low=0.1, conf=0.5):
-        self.p = (min_hits, max_age, high, low, conf)
-        self.tracks, self.next_id, self.frame = [], 0, None
-
-    def assign(self, boxes, scores, frame):
-        """Track index per box (None: weak and unmatched)."""
-        min_hits, max_age, high, low, conf = self.p
-        if self.frame is not None:      # frames without boxes age the tracks
-            for t in self.tracks:
-                t["age"] += max(0, frame - self.frame - 1)
-            self.tracks = [t for t in self.tracks if t["age"] < max_age]
-        self.frame = frame
-        got, used = {}, set()
-        for strong, floor in ((True, high), (False, low)):
-            for k, box in enumerate(boxes):
-                if (scores[k] >= conf) != strong:
-                    continue
-                best, at = floor, None
-                for n, t in enumerate(self.tracks):
-                    if n not in used and (v := _iou(t["box"], box)) > best:
-                        best, at = v, n
-                if at is not None:
-                    used.add(at)
-                    got[k] = self.tracks[at]
-                    self.tracks[at].update(box=box, hits=self.tracks[at]["hits"] + 1)
-        for n, t in enumerate(self.tracks):
-            t["age"] = 0 if n in used else t["age"] + 1
-        for k, box in enumerate(boxes):
-            if k not in got and scores[k] >= conf:
-                got[k] = {"id": self.next_id, "box": box, "hits": 1, "age": 0}
-                self.next_id += 1
-                self.tracks.append(got[k])
-        self.tracks = [t for t in self.tracks if t["age"] < max_age]
-        return got
-
-    def step(self, rows: dict) -> list[tuple]:
-        frame = int(rows["frame_index"][0])
-        boxes = list(zip(rows["x0"].tolist(), rows["y0"].tolist(), rows["x1"].tolist(), rows["y1"].tolist()))
-        got = self.assign(boxes, rows["confidence"].tolist(), frame)
-        head = (rows["clip_id"][0], int(rows["stretch"][0]), frame)
-        return [(*head, int(rows["box_id"][k]), got[k]["id"], got[k]["hits"], got[k]["hits"] >= self.p[0]) for k in sorted(got)]
-
-
-def track_boxes(boxes: DataFrame, max_age: int = 5) -> DataFrame:
-    """Track ids per box.  After ``max_age`` frames without any box every track is dead, so
-    a new stretch starts there."""
-    f = boxes.select(*FRAME).distinct()
+    """Targets reported to consumers: enough hits and matched this frame; ``place`` counts a
+    frame's targets from the nearest (ties by track)."""
+    d = tracks.filter(F.col("hits") >= m.min_hits)
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return d.withColumn("place", F.row_number().over(W.partitionBy(*FRAME).orderBy(r, "track_id")))
+
+
+_BOX_TRACK = "struct<id:bigint,x0:double,y0:double,x1:double,y1:double,hits:bigint,missed:bigint,box_id:bigint>"
+_BOX_OUT = "struct<frame_index:bigint,box_id:bigint,track_id:bigint,hits:bigint,confirmed:boolean>"
+_CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes."""
+    w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+    h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    area = lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
+    return F.when((w > 0) & (h > 0), w * h / (area(a) + area(b) - w * h)).otherwise(F.lit(0.0))
+
+
+def _box_step(min_hits: int, max_age: int, high: float, low: float, strong: float):
+    names = [x.split(":")[0] for x in _BOX_TRACK[7:-1].split(",")]
+
+    def step(acc: Column, f: Column) -> Column:
+        frame, boxes = f["frame_index"], f["boxes"]
+        # frames without boxes have aged the tracks
+        gone = F.greatest(F.lit(0), frame - acc["frame"] - 1)
+        tracks = F.filter(F.transform(acc["tracks"], lambda t: _struct(t, names, missed=t["missed"] + gone)), lambda t: t["missed"] < max_age)
+
+        def pairs(tracks: Column) -> Column:
+            """Confident boxes choose first, then weak ones; each in turn its best track."""
+            of = lambda b: F.transform(tracks, lambda t: F.struct((b["confidence"] < strong).alias("weak"), b["box_id"].alias("box"), (-_overlap(t, b)).alias("cost"), t["id"].alias("track")))
+            return F.filter(F.flatten(F.transform(boxes, of)), lambda p: -p["cost"] > F.when(p["weak"], low).otherwise(high))
+
+        def after(tracks: Column, won: Column) -> Column:
+            def follow(t: Column, b: Column) -> Column:
+                hit = _struct(t, names, **{c: b[c] for c in _CORNERS}, hits=t["hits"] + 1, missed=F.lit(0).cast("bigint"), box_id=b["box_id"])
+                return F.when(b.isNotNull(), hit).otherwise(_struct(t, names, missed=t["missed"] + 1, box_id=F.lit(None).cast("bigint")))
+
+            taken = lambda t: let(only(won, lambda w: w["track"] == t["id"]), lambda w: only(boxes, lambda b: b["box_id"] == w["box"]))
+            old = F.transform(tracks, lambda t: let(taken(t), lambda b: follow(t, b)))
+            new = F.filter(boxes, lambda b: (b["confidence"] >= strong) & ~F.exists(won, lambda w: w["box"] == b["box_id"]))
+            fresh = F.transform(new, lambda b, k: F.struct((acc["next"] + k).alias("id"), *[b[c].alias(c) for c in _CORNERS], F.lit(1).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("missed"), b["box_id"].alias("box_id")))
+            return let(F.concat(F.filter(old, lambda t: t["missed"] < max_age), fresh), lambda live: F.struct(
+                live.alias("tracks"), (acc["next"] + F.size(fresh)).alias("next"), frame.alias("frame"),
+                F.concat(acc["out"], F.transform(F.filter(live, lambda t: t["box_id"].isNotNull()), lambda t: F.struct(
+                    frame.alias("frame_index"), t["box_id"].alias("box_id"), t["id"].alias("track_id"), t["hits"].alias("hits"), (t["hits"] >= min_hits).alias("confirmed")))).alias("out")))
+
+        return let(tracks, lambda t: let(one_to_one(pairs(t), "box", "track"), lambda won: after(t, won)))
+
+    return step
+
+
+def track_boxes(boxes: DataFrame, max_age: int = 5, *, min_hits: int = 3, high: float = 0.3, low: float = 0.1, strong: float = 0.5) -> DataFrame:
+    """Track ids per box by overlap.  Boxes of confidence ``strong`` or more choose first and may
+    start a track; weaker ones only continue one.  After ``max_age`` frames without any box every
+    track is dead, so a new stretch starts there."""
+    f = boxes.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("box_id", "confidence", *_CORNERS))).alias("boxes"))
     d = scan(time_slices(f, "frame_index", 1000), ["clip_id"], ["frame_index"], lag={"__p": F.col("frame_index")})
     d = d.withColumn("__new", F.when(F.col("frame_index") - F.col("__p") <= max_age, 0).otherwise(1))
-    d = scan(d, ["clip_id"], ["frame_index"], run_sum={"stretch": F.col("__new")}).select(*FRAME, F.col("stretch").cast("bigint").alias("stretch"))
-    return ordered_map(boxes.join(d, FRAME), ["clip_id", "stretch"], "frame_index", ["box_id"], lambda: BoxMachine(max_age=max_age), BoxMachine.SCHEMA)
+    d = scan(d, ["clip_id"], ["frame_index"], run_sum={"stretch": F.col("__new")}).select(*FRAME, F.col("stretch").cast("bigint").alias("stretch"), "boxes")
+    zero = f"named_struct('tracks', cast(array() as array<{_BOX_TRACK}>), 'next', 0L, 'frame', cast(null as bigint), 'out', cast(array() as array<{_BOX_OUT}>))"
+    return fold_frames(d, ["clip_id", "stretch"], "frame_index", zero, _box_step(min_hits, max_age, high, low, strong))
 
 
 def overlap_evidence(target_points: DataFrame, matches: DataFrame) -> DataFrame:
@@ -253,88 +291,129 @@ def overlap_evidence(target_points: DataFrame, matches: DataFrame) -> DataFrame:
     return target_points.join(matches, FRAME + ["point_id"]).groupBy(*FRAME, "track_id", "camera_id").agg(F.count("*").alias("shared"))
 
 
-class IdentityMachine:
-    """Pairs radar targets with camera tracks by sustained shared evidence.
-
-    Rows of a frame: kind ``t`` (target seen: rid, bearing), ``c`` (camera track seen: cid,
-    bearing) and ``o`` (shared returns: rid, cid, their number in place of a bearing)."""
-
-    SCHEMA = "clip_id string, frame_index bigint, track_id bigint, camera_id bigint, offset_deg double, formed bigint, broken bigint, switches bigint"
-
-    def __init__(self, need=3, window=5, misses=5, stale=15, alpha=0.3, camera_age=5):
-        self.need, self.window, self.misses, self.stale, self.alpha, self.camera_age = need, window, misses, stale, alpha, camera_age
-        self.pairs, self.cand, self.cam_seen, self.last_r, self.last_c = {}, {}, {}, {}, {}
-        self.formed = self.broken = self.switches = 0
-        self.frame = None
-
-    def step(self, rows: dict) -> list[tuple]:
-        now = int(rows["frame_index"][0])
-        gap = 1 if self.frame is None else now - self.frame
-        self.frame = now
-        rb, cb, both = {}, {}, {}
-        for kind, r, c, bearing in zip(rows["kind"], rows["track_id"].tolist(), rows["camera_id"].tolist(), rows["bearing"].tolist()):
-            if kind == "t":
-                rb[r] = bearing
-            elif kind == "c":
-                cb[c] = bearing
-            else:
-                both[r, c] = bearing
-        for c in cb:
-            self.cam_seen[c] = now
-        self.cam_seen = {c: s for c, s in self.cam_seen.items() if now - s < self.camera_age}
-        for rid, p in list(self.pairs.items()):
-            p["absent"] = 0 if rid in rb else p["absent"] + gap
-            dead = p["cid"] not in self.cam_seen or p["absent"] >= self.stale
-            if not dead and rid in rb and p["cid"] in cb:      # only co-observed frames count
-                if (rid, p["cid"]) in both:
-                    p["miss"] = 0
-                    p["off"] = self.alpha * (rb[rid] - cb[p["cid"]]) + (1 - self.alpha) * p["off"]
-                else:
-                    p["miss"] += 1
-                    dead = p["miss"] >= self.misses
-            if dead:
-                del self.pairs[rid]
-                self.broken += 1
-        taken = {p["cid"] for p in self.pairs.values()}
-        for rid in rb:
-            if rid in self.pairs:
-                continue
-            for cid in cb:
-                if cid not in taken:
-                    q = self.cand.setdefault((rid, cid), [deque(maxlen=self.window), now])
-                    q[0].append((rid, cid) in both)
-                    q[1] = now
-        self.cand = {k: q for k, q in self.cand.items() if k[1] in self.cam_seen and k[0] not in self.pairs and k[1] not in taken and now - q[1] <= self.stale}
-        ready = sorted(((sum(q[0]), both.get(k, 0), k) for k, q in self.cand.items() if sum(q[0]) >= self.need), reverse=True)
-        for _, agree, (rid, cid) in ready:
-            if rid in self.pairs or cid in taken:
-                continue
-            self.pairs[rid] = {"cid": cid, "off": rb[rid] - cb[cid] if agree else 0.0, "miss": 0, "absent": 0}
-            taken.add(cid)
-            self.formed += 1
-            self.switches += (self.last_r.get(rid, cid) != cid) + (self.last_c.get(cid, rid) != rid)
-            self.last_r[rid], self.last_c[cid] = cid, rid
-            self.cand = {k: q for k, q in self.cand.items() if k[0] != rid and k[1] != cid}
-        head = (rows["clip_id"][0], now)
-        return [(*head, r, p["cid"], float(p["off"]), self.formed, self.broken, self.switches) for r, p in self.pairs.items()]
-
-
-def pair_identities(targets: DataFrame, cameras: DataFrame, evidence: DataFrame, min_overlap: int = 1, **limits) -> DataFrame:
-    """Live pairs per frame.  ``targets``: frame, track_id, bearing; ``cameras``: frame,
-    camera_id, bearing; ``evidence``: frame, track_id, camera_id, shared (1 where absent); frames
-    with fewer than ``min_overlap`` shared returns do not agree."""
+_PAIR = "struct<track:bigint,camera:bigint,offset:double,apart:bigint,absent:bigint,agreed:bigint>"
+_CANDIDATE = "struct<track:bigint,camera:bigint,seen:array<int>,at:bigint>"
+_IDENTITY = "struct<frame_index:bigint,track_id:bigint,camera_id:bigint,offset_deg:double,frames_paired:bigint,camera_bearing:double,event:string>"
+
+
+def _identity_step(need: int, window: int, misses: int, stale: int, alpha: float, camera_age: int):
+    long = lambda n: F.lit(n).cast("bigint")
+
+    def step(acc: Column, f: Column) -> Column:
+        now, targets, cameras = f["frame_index"], f["targets"], f["cameras"]
+        gap = F.coalesce(now - acc["frame"], long(1))
+        target = lambda k: only(targets, lambda x: x["track_id"] == k)
+        camera = lambda k: only(cameras, lambda x: x["camera_id"] == k)
+        overlap = lambda t, c: F.coalesce(F.array_max(F.transform(F.filter(f["shared"], lambda x: (x["track_id"] == t) & (x["camera_id"] == c)), lambda x: x["shared"])), long(0))
+        holds = lambda items, name, k: F.exists(items, lambda x: x[name] == k)
+
+        def judged(p: Column, alive: Column) -> Column:
+            """A pair after this frame, and whether it is over."""
+            def seen(t: Column, c: Column, n: Column) -> Column:
+                both, agree = t.isNotNull() & c.isNotNull(), n > 0
+                apart = F.when(both & agree, long(0)).when(both, p["apart"] + 1).otherwise(p["apart"])
+                absent = F.when(t.isNull(), p["absent"] + gap).otherwise(long(0))
+                offset = F.when(both & agree, alpha * (t["bearing"] - c["bearing"]) + (1 - alpha) * p["offset"]).otherwise(p["offset"])
+                pair = F.struct(p["track"].alias("track"), p["camera"].alias("camera"), offset.alias("offset"), apart.alias("apart"), absent.alias("absent"), (p["agreed"] + (both & agree).cast("bigint")).alias("agreed"))
+                return F.struct(pair.alias("pair"), (~holds(alive, "camera", p["camera"]) | (absent >= stale) | (apart >= misses)).alias("over"))
+
+            return let(target(p["track"]), lambda t: let(camera(p["camera"]), lambda c: let(overlap(p["track"], p["camera"]), lambda n: seen(t, c, n))))
+
+        def row(p: Column, event: str) -> Column:
+            c = camera(p["camera"])
+            return F.struct(now.alias("frame_index"), p["track"].alias("track_id"), p["camera"].alias("camera_id"), p["offset"].alias("offset_deg"), p["agreed"].alias("frames_paired"),
+                            (c["bearing"] + p["offset"]).alias("camera_bearing"), F.lit(event).alias("event"))
+
+        def after(alive: Column, all_pairs: Column) -> Column:
+            kept = F.transform(F.filter(all_pairs, lambda x: ~x["over"]), lambda x: x["pair"])
+            broken = F.transform(F.filter(all_pairs, lambda x: x["over"]), lambda x: row(x["pair"], "broken"))
+            return let(kept, lambda kept: matched(alive, kept, broken))
+
+        def matched(alive: Column, kept: Column, broken: Column) -> Column:
+            free_t = F.filter(targets, lambda t: ~holds(kept, "track", t["track_id"]))
+            free_c = F.filter(cameras, lambda c: ~holds(kept, "camera", c["camera_id"]))
+            # both seen, neither paired: whether they shared returns counts for or against them
+            met = F.flatten(F.transform(free_t, lambda t: F.transform(free_c, lambda c: F.struct(t["track_id"].alias("track"), c["camera_id"].alias("camera"), (overlap(t["track_id"], c["camera_id"]) > 0).cast("int").alias("agree")))))
+
+            def counted(met: Column) -> Column:
+                def noted(q: Column) -> Column:
+                    hit = only(met, lambda x: (x["track"] == q["track"]) & (x["camera"] == q["camera"]))
+                    return let(hit, lambda h: F.when(h.isNull(), q).otherwise(F.struct(q["track"].alias("track"), q["camera"].alias("camera"), last(F.array_append(q["seen"], h["agree"])).alias("seen"), now.alias("at"))))
+
+                last = lambda xs: F.slice(xs, F.greatest(F.lit(1), F.size(xs) - window + 1), F.lit(window))
+                new = F.filter(met, lambda x: ~F.exists(acc["candidates"], lambda q: (q["track"] == x["track"]) & (q["camera"] == x["camera"])))
+                first = F.transform(new, lambda x: F.struct(x["track"].alias("track"), x["camera"].alias("camera"), F.array(x["agree"]).alias("seen"), now.alias("at")))
+                standing = F.filter(F.concat(F.transform(acc["candidates"], noted), first), lambda q: holds(alive, "camera", q["camera"]) & ~holds(kept, "track", q["track"])
+                                    & ~holds(kept, "camera", q["camera"]) & (now - q["at"] <= stale))
+                return let(standing, lambda s: let(one_to_one(ready(s), "track", "camera"), lambda won: done(s, won)))
+
+            def ready(standing: Column) -> Column:
+                """Candidates with enough agreement, the most agreement first, then the larger overlap, then the later ids."""
+                ranked = F.transform(standing, lambda q: F.struct((-F.aggregate(q["seen"], F.lit(0), lambda a, x: a + x)).alias("votes"), (-overlap(q["track"], q["camera"])).alias("n"), (-q["track"]).alias("t"), (-q["camera"]).alias("c"),
+                                                                  q["track"].alias("track"), q["camera"].alias("camera")))
+                return F.filter(ranked, lambda q: q["votes"] <= -need)
+
+            def done(standing: Column, won: Column) -> Column:
+                formed = F.transform(won, lambda w: F.struct(w["track"].alias("track"), w["camera"].alias("camera"), F.when(w["n"] < 0, target(w["track"])["bearing"] - camera(w["camera"])["bearing"]).otherwise(F.lit(0.0)).alias("offset"),
+                                                             long(0).alias("apart"), long(0).alias("absent"), long(0).alias("agreed")))
+                return let(formed, lambda formed: let(F.concat(kept, formed), lambda live: F.struct(
+                    live.alias("pairs"), F.filter(standing, lambda q: ~holds(won, "track", q["track"]) & ~holds(won, "camera", q["camera"])).alias("candidates"), alive.alias("cameras"), now.alias("frame"),
+                    F.concat(acc["out"], broken, F.transform(formed, lambda p: row(p, "formed")), F.transform(live, lambda p: row(p, "live"))).alias("out"))))
+
+            return let(met, counted)
+
+        seen_now = F.transform(cameras, lambda c: F.struct(c["camera_id"].alias("camera"), now.alias("at")))
+        before = F.filter(acc["cameras"], lambda c: ~holds(cameras, "camera_id", c["camera"]) & (now - c["at"] < camera_age))
+        return let(F.concat(before, seen_now), lambda alive: let(F.transform(acc["pairs"], lambda p: judged(p, alive)), lambda pairs: after(alive, pairs)))
+
+    return step
+
+
+def pair_identities(targets: DataFrame, cameras: DataFrame, evidence: DataFrame, min_overlap: int = 1, *, need: int = 3, window: int = 5, misses: int = 5, stale: int = 15,
+                    alpha: float = 0.3, camera_age: int = 5) -> DataFrame:
+    """Live pairs of radar target and camera track per frame.  A pair forms when ``need`` of the
+    last ``window`` frames that saw both, unpaired, had shared returns; it ends after ``misses`` such
+    frames in a row without, after ``stale`` frames without the target, or with the camera track.
+
+    ``targets``: frame, track_id, bearing; ``cameras``: frame, camera_id, bearing; ``evidence``:
+    frame, track_id, camera_id, shared (1 where absent); frames with fewer than ``min_overlap`` shared
+    returns do not agree.  Adds the learned bearing offset, the frames that agreed, the camera's bearing
+    corrected by the offset (null where it is not seen), and the recording's counts so far of pairs
+    formed, broken and switched.  Where no camera track has been seen for more than ``camera_age``
+    frames nothing is left to carry, so recordings are cut there."""
     if "shared" not in evidence.columns:
         evidence = evidence.withColumn("shared", F.lit(1))
-    evidence = evidence.filter(F.col("shared") >= min_overlap)
-    t = targets.select(*FRAME, F.lit("t").alias("kind"), "track_id", F.lit(-1).cast("bigint").alias("camera_id"), "bearing")
-    c = cameras.select(*FRAME, F.lit("c").alias("kind"), F.lit(-1).cast("bigint").alias("track_id"), "camera_id", "bearing")
-    o = evidence.select(*FRAME, F.lit("o").alias("kind"), "track_id", "camera_id", F.col("shared").cast("double").alias("bearing"))
-    return ordered_map(t.unionByName(c).unionByName(o), ["clip_id"], "frame_index", ["kind", "track_id", "camera_id"], lambda: IdentityMachine(**limits), IdentityMachine.SCHEMA)
-
-
-def sustain_by_camera(x: float, y: float, v_radial: float, camera_bearing: float, dt_s: float, alpha: float = 0.5) -> tuple[float, float]:
-    """Position of a target the radar missed, from its paired camera bearing: the bearing is
-    smoothed, the range dead-reckoned."""
-    b = math.radians(alpha * camera_bearing + (1 - alpha) * math.degrees(math.atan2(x, y)))
-    r = max(0.1, math.hypot(x, y) + v_radial * dt_s)
-    return r * math.sin(b), r * math.cos(b)
+    parts = {
+        "targets": (targets.select(*FRAME, F.struct(F.col("track_id").cast("bigint").alias("track_id"), F.col("bearing").cast("double").alias("bearing")).alias("x")), "struct<track_id:bigint,bearing:double>"),
+        "cameras": (cameras.select(*FRAME, F.struct(F.col("camera_id").cast("bigint").alias("camera_id"), F.col("bearing").cast("double").alias("bearing")).alias("x")), "struct<camera_id:bigint,bearing:double>"),
+        "shared": (evidence.filter(F.col("shared") >= min_overlap).select(*FRAME, F.struct(F.col("track_id").cast("bigint").alias("track_id"), F.col("camera_id").cast("bigint").alias("camera_id"), F.col("shared").cast("bigint").alias("shared")).alias("x")),
+                   "struct<track_id:bigint,camera_id:bigint,shared:bigint>"),
+    }
+    rows = None
+    for name, (df, _) in parts.items():
+        part = df.select(*FRAME, *[(F.col("x") if n == name else F.lit(None).cast(kind)).alias(n) for n, (_, kind) in parts.items()])
+        rows = part if rows is None else rows.unionByName(part)
+    frames = rows.groupBy(*FRAME).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in parts])
+    # cut where the cameras have been silent for long
+    seen = F.when(F.size("cameras") > 0, F.col("frame_index"))
+    d = scan(time_slices(frames, "frame_index", 1000), ["clip_id"], ["frame_index"], fill={"__last": seen})
+    d = scan(d, ["clip_id"], ["frame_index"], lag={"__before": F.col("__last")})
+    d = scan(d, ["clip_id"], ["frame_index"], run_sum={"part": F.coalesce((F.col("frame_index") - F.col("__before") > camera_age).cast("bigint"), F.lit(0))})
+    d = cut_lineage(d.select(*FRAME, F.col("part").cast("bigint").alias("part"), *parts))
+    zero = f"named_struct('pairs', cast(array() as array<{_PAIR}>), 'candidates', cast(array() as array<{_CANDIDATE}>), 'cameras', cast(array() as array<struct<camera:bigint,at:bigint>>), 'frame', cast(null as bigint), 'out', cast(array() as array<{_IDENTITY}>))"
+    made = cut_lineage(fold_frames(d, ["clip_id", "part"], "frame_index", zero, _identity_step(need, window, misses, stale, alpha, camera_age)))
+    live, events = made.filter("event = 'live'"), made.filter("event <> 'live'").select(*FRAME, "track_id", "camera_id", "event")
+    # pairs alive where a part ends are broken where the next one begins
+    spans = d.groupBy("clip_id", "part").agg(F.min("frame_index").alias("__first"), F.max("frame_index").alias("frame_index"))
+    spans = spans.withColumn("__next", F.lead("__first").over(W.partitionBy("clip_id").orderBy("part"))).filter("__next IS NOT NULL").drop("__first")
+    cut = live.join(spans, ["clip_id", "part", "frame_index"]).select("clip_id", F.col("__next").alias("frame_index"), "track_id", "camera_id", F.lit("broken").alias("event"))
+    events = events.unionByName(cut)
+    formed = events.filter("event = 'formed'")
+    other = lambda key, value: F.coalesce((F.lag(value).over(W.partitionBy("clip_id", key).orderBy("frame_index")) != F.col(value)).cast("bigint"), F.lit(0))
+    switched = formed.withColumn("switches", other("track_id", "camera_id") + other("camera_id", "track_id"))
+    zero_long = F.lit(0).cast("bigint")
+    steps = events.select(*FRAME, (F.col("event") == "formed").cast("bigint").alias("formed"), (F.col("event") == "broken").cast("bigint").alias("broken"), zero_long.alias("switches"))
+    steps = steps.unionByName(switched.select(*FRAME, zero_long.alias("formed"), zero_long.alias("broken"), "switches")).unionByName(live.select(*FRAME, zero_long.alias("formed"), zero_long.alias("broken"), zero_long.alias("switches")))
+    counts = steps.groupBy(*FRAME).agg(*[F.sum(c).alias(f"__{c}") for c in ("formed", "broken", "switches")])
+    totals = scan(time_slices(counts, "frame_index", 1000), ["clip_id"], ["frame_index"], run_sum={c: F.col(f"__{c}") for c in ("formed", "broken", "switches")})
+    return live.join(totals.select(*FRAME, "formed", "broken", "switches"), FRAME).select(*FRAME, "track_id", "camera_id", "offset_deg", "frames_paired", "camera_bearing", "formed", "broken", "switches")

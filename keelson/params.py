@@ -47,6 +47,8 @@ class Motion:
     rate_min_samples: int = 5
     closing_min_mps: float = 0.15
     crossing_min_mps: float = 0.3
+    camera_sustain_max_s: float = 6.0
+    camera_fresh_s: float = 1.0
 
 
 @dataclass(frozen=True)

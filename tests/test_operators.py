@@ -234,8 +234,3 @@ def test_feature_batches_keep_other_clips(spark, tmp_path):
     got = read_features(spark, str(tmp_path), "bins").groupBy("clip_id").agg({"p": "max", "frame_index": "count"}).collect()
     assert {r.clip_id: (r["max(p)"], r["count(frame_index)"]) for r in got} == {"a": (0.3, 3), "b": (0.2, 3)}
     assert read_features(spark, str(tmp_path), "meta").count() == 2
-
-
-def test_camera_sustains_a_lost_target():
-    x, y = K.sustain_by_camera(0.0, 5.0, -1.0, 10.0, 0.5)
-    assert math.hypot(x, y) == pytest.approx(4.5) and math.degrees(math.atan2(x, y)) == pytest.approx(5.0)
