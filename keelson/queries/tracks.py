@@ -12,6 +12,7 @@ from keelson.operators import motion_eval as ME
 from keelson.operators import radar as R
 from keelson.operators import targets as T
 from keelson.operators import tracking as K
+from keelson.plans.ordered import nearest_asof
 from keelson.queries.catalog import query
 from keelson.queries.radar import GATED, _kept
 from keelson.queries.sectors import SC, scored
@@ -31,20 +32,110 @@ def clusters(spark, sf):
     return tidy(K.observations(clustered(spark, sf)))
 
 
+def fold_sql(name: str, source: str, keys: str, order: str, frame: str, state: str, step: str) -> str:
+    """A fold in SQL: each frame becomes a one-element list, and ``step`` appends the next state
+    (``a[-1]`` is the one before, ``x[1]`` the frame)."""
+    return f"""{name}_l AS (SELECT {keys}, list({{{frame}, {state}}} ORDER BY {order}) AS xs FROM {source} GROUP BY {keys}),
+{name} AS (SELECT {keys}, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda a, x: list_append(a, {step}), xs[1:0])) AS z FROM {name}_l)"""
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def greedy_sql(pairs: str, left: str, right: str) -> str:
+    """Sorted pairs taken one to one."""
+    free = f"len(list_filter(b, lambda z: z.{left} = q[1].{left} OR z.{right} = q[1].{right})) = 0"
+    return let_sql(f"list_sort({pairs})", "ps", f"list_reduce(list_transform(ps, lambda q: [q]), lambda b, q: CASE WHEN {free} THEN list_concat(b, q) ELSE b END, ps[1:0])")
+
+
+_TR = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, v DOUBLE, h BIGINT, m BIGINT, c BIGINT, n BIGINT)"
+_NEAR = "sqrt((t.x - o.cx) * (t.x - o.cx) + (t.y - o.cy) * (t.y - o.cy))"
+_MOVE = (f"""{{'f': x[1].f, 't': x[1].t, 'ob': x[1].ob, 'tr': list_concat(list_filter(list_transform(a[-1].tr, lambda t: """
+         + let_sql("list_filter(x[1].ob, lambda o: len(list_filter(w, lambda z: z.t = t.id AND z.o = o.c)) > 0)", "k", """CASE WHEN len(k) > 0
+ THEN {'id': t.id, 'x': 0.5e0 * k[1].cx + 0.5e0 * t.x, 'y': 0.5e0 * k[1].cy + 0.5e0 * t.y, 'v': coalesce(0.5e0 * k[1].v + 0.5e0 * t.v, k[1].v, t.v), 'h': t.h + 1, 'm': 0, 'c': k[1].c, 'n': k[1].n}
+ ELSE {'id': t.id, 'x': t.x, 'y': t.y, 'v': t.v, 'h': t.h, 'm': t.m + 1, 'c': -1, 'n': 0} END""") + """), lambda t: t.m < 5),
+ list_transform(list_filter(x[1].ob, lambda o: len(list_filter(w, lambda z: z.o = o.c)) = 0), lambda o, i: {'id': a[-1].nx + i - 1, 'x': o.cx, 'y': o.cy, 'v': o.v, 'h': 1, 'm': 0, 'c': o.c, 'n': o.n})),
+ 'nx': a[-1].nx + len(list_filter(x[1].ob, lambda o: len(list_filter(w, lambda z: z.o = o.c)) = 0))}""")
+_PAIRED = f"flatten(list_transform(a[-1].tr, lambda t: list_transform(list_filter(x[1].ob, lambda o: {_NEAR} <= 1.5e0), lambda o: {{'d': {_NEAR}, 't': t.id, 'o': o.c}})))"
+# the first frame has no state before it: it is reduced against an empty one
+TARGETS = CLUSTER + f""", ob AS (SELECT clip_id, frame_index, list({{'c': cluster_id, 'cx': cx, 'cy': cy, 'v': v, 'n': n}} ORDER BY cluster_id) AS ob FROM
+ (SELECT clip_id, frame_index, cluster_id, avg(x) AS cx, avg(y) AS cy, median((x * vx + y * vy) / sqrt(x*x + y*y)) AS v, count(*) AS n FROM cl JOIN pol USING (clip_id, frame_index, point_id) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ft AS (SELECT clip_id, frame_index, min(t_ms) AS t_ms FROM fx_radar GROUP BY 1, 2), fs AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY clip_id ORDER BY frame_index) AS dt FROM ft),
+sg AS (SELECT clip_id, frame_index, t_ms, CAST(sum(CASE WHEN dt > 0 AND dt <= 500 THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY frame_index) AS BIGINT) AS stretch FROM fs),
+fo AS (SELECT sg.clip_id, stretch, frame_index, t_ms, coalesce(ob, []) AS ob FROM sg LEFT JOIN ob USING (clip_id, frame_index) UNION ALL SELECT clip_id, stretch, -1, 0, [] FROM sg GROUP BY 1, 2),
+""" + fold_sql("fw", "fo", "clip_id, stretch", "frame_index", "'f': frame_index, 't': t_ms, 'ob': ob", f"'tr': []::{_TR}[], 'nx': 0::BIGINT",
+               let_sql(greedy_sql(_PAIRED, "t", "o"), "w", _MOVE)).replace("list_transform(xs, lambda x: [x])", "list_transform(xs[2:], lambda x: [x])").replace("xs[1:0])) AS z", "xs[1:1])) AS z") + """,
+tk AS (SELECT clip_id, stretch, z.f AS frame_index, z.t AS t_ms, unnest(z.tr) AS q FROM fw WHERE z.f >= 0),
+tr AS (SELECT clip_id, stretch, frame_index, t_ms, q.id AS track_id, q.x AS x, q.y AS y, q.v AS v, q.h AS hits, q.n AS n_points, degrees(atan2(q.x, q.y)) AS bearing_deg, sqrt(q.x * q.x + q.y * q.y) AS range_m FROM tk WHERE q.m = 0)"""
+
+
+def motion_sql(bearing: str = "bearing_deg", keys: str = "clip_id, stretch, track_id") -> str:
+    """Rates, speeds, closest approach and state of ``tr``."""
+    return f""", bd AS (SELECT *, {bearing} - lag({bearing}) OVER (PARTITION BY {keys} ORDER BY t_ms) AS raw FROM tr),
+bu AS (SELECT *, sum(CASE WHEN raw IS NULL THEN {bearing} ELSE raw - 360 * ceil((raw - 180) / 360) END) OVER (PARTITION BY {keys} ORDER BY t_ms) AS un FROM bd),
+bs AS (SELECT *, count(*) OVER w AS cnt, t_ms - min(t_ms) OVER w AS sp, regr_slope(un, t_ms / 1000e0) OVER w AS sl FROM bu WINDOW w AS (PARTITION BY {keys} ORDER BY t_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW)),
+br AS (SELECT *, CASE WHEN cnt >= 5 AND sp >= 1000 THEN sl END AS rate_dps FROM bs), bv AS (SELECT *, range_m * radians(rate_dps) AS vt FROM br),
+bw AS (SELECT *, coalesce(v, 0) * sin(atan2(x, y)) + coalesce(vt, 0) * cos(atan2(x, y)) AS vx, coalesce(v, 0) * cos(atan2(x, y)) - coalesce(vt, 0) * sin(atan2(x, y)) AS vy FROM bv),
+mo AS (SELECT *, sqrt(vx*vx + vy*vy) AS sq, -(x*vx + y*vy) / nullif(vx*vx + vy*vy, 0) AS tc, v IS NOT NULL OR vt IS NOT NULL AS known,
+ CASE WHEN v IS NULL AND vt IS NULL THEN 'unknown' WHEN abs(vt) >= 0.3 THEN 'crossing' WHEN -v >= 0.15 THEN 'closing' WHEN -v <= -0.15 THEN 'diverging' ELSE 'static' END AS motion_state FROM bw)"""
+
+
+#: speeds are often exactly half way between two fourth decimals: both engines round them up
+HALF = "13e-8"
+MOTION_COLS = ", ".join(f"round({x} + {HALF}, 4) + 0.0 AS {n}" for x, n in (
+    ("range_m", "range_m"), ("bearing_deg", "bearing_deg"), ("rate_dps", "rate_dps"), ("v", "v_radial"), ("vt", "v_tangential"), ("CASE WHEN known THEN sq END", "speed"))) + ", motion_state"
+
+
 def targets(spark, sf):
     return K.track_targets(K.observations(clustered(spark, sf)), R.frame_counts(view(spark, sf, "fx_radar")))
 
 
-@query("W19_P43_target_motion")
-def target_motion(spark, sf):
-    t = K.reported(K.motion_fields(targets(spark, sf)))
-    return tidy(t.select("clip_id", "stretch", "frame_index", "track_id", "hits", "range_m", "bearing_deg", "rate_dps", "v_radial", "v_tangential", "speed", "cpa_m", "t_cpa_s", "motion_state"))
+def four(*names):
+    return [(F.round(F.col(n) + float(HALF), 4) + F.lit(0.0)).alias(n) for n in names]
 
 
-@query("A07_target_bins")
+@query("W19_P43_target_motion", "fx_radar", sql=TARGETS + motion_sql() + f"""
+SELECT clip_id, stretch, frame_index, track_id, hits, {MOTION_COLS}, round(CASE WHEN known AND sq >= 0.15 AND tc > 1e-9 THEN sqrt(pow(x + vx*tc, 2) + pow(y + vy*tc, 2)) END + {HALF}, 4) AS cpa_m, round(CASE WHEN known AND sq >= 0.15 AND tc > 1e-9 THEN least(tc, 60e0) END + {HALF}, 4) AS t_cpa_s
+FROM mo WHERE hits >= 3""")
+def target_motion(spark, sf):
+    t = K.reported(K.motion_fields(targets(spark, sf)))
+    # a target that moves across the line of sight is nearest now: the sign of the last bit does not count
+    now = F.col("t_cpa_s") <= 1e-9
+    t = t.withColumns({c: F.when(~now, F.col(c)) for c in ("cpa_m", "t_cpa_s")})
+    return t.select("clip_id", "stretch", "frame_index", "track_id", "hits", *four("range_m", "bearing_deg", "rate_dps", "v_radial", "v_tangential", "speed", "cpa_m", "t_cpa_s"), "motion_state")
+
+
+@query("T07_targets_by_range", "fx_radar", sql=TARGETS + """
+SELECT clip_id, frame_index, CAST(row_number() OVER (PARTITION BY clip_id, frame_index ORDER BY range_m, track_id) AS INTEGER) AS place, track_id, round(range_m + 13e-8, 4) AS range_m FROM tr WHERE hits >= 3""")
+def targets_by_range(spark, sf):
+    t = K.reported(targets(spark, sf)).withColumn("range_m", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    return t.select("clip_id", "frame_index", "place", "track_id", *four("range_m"))
+
+
+@query("W19_W10_stabilised_motion", "fx_radar", "fx_imu", sql=TARGETS.replace("tr AS (SELECT clip_id, stretch", "t0 AS (SELECT clip_id, stretch") + """,
+ya AS (SELECT t.clip_id, t.frame_index, arg_max(yaw, i.t_ms) AS yaw FROM (SELECT DISTINCT clip_id, frame_index, t_ms FROM t0) t JOIN fx_imu i ON i.clip_id = t.clip_id AND i.t_ms <= t.t_ms AND i.t_ms >= t.t_ms - 300 GROUP BY 1, 2),
+yt AS (SELECT t0.*, yaw, coalesce(bearing_deg + yaw, bearing_deg) AS stable, yaw IS NOT NULL AS ego FROM t0 LEFT JOIN ya USING (clip_id, frame_index)),
+yf AS (SELECT *, lag(ego) OVER (PARTITION BY clip_id, stretch, track_id ORDER BY t_ms) AS was FROM yt),
+tr AS (SELECT *, sum(CASE WHEN was <> ego THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, stretch, track_id ORDER BY t_ms) AS fit FROM yf)""" + motion_sql("stable", "clip_id, stretch, track_id, fit") + f"""
+SELECT clip_id, stretch, frame_index, track_id, ego AS ego_corrected, {MOTION_COLS} FROM mo WHERE hits >= 3""")
+def stabilised_motion(spark, sf):
+    t = targets(spark, sf)
+    yaw = view(spark, sf, "fx_imu").select("clip_id", "t_ms", "yaw")
+    near = nearest_asof(t.select("clip_id", "frame_index", "t_ms").distinct(), yaw, ["clip_id"], t="t_ms", payload=["yaw"], max_age=300.0, side="backward")
+    d = K.motion_fields(t.join(near.select("clip_id", "frame_index", "yaw"), ["clip_id", "frame_index"]), yaw="yaw")
+    d = K.reported(d)
+    return d.select("clip_id", "stretch", "frame_index", "track_id", "ego_corrected", *four("range_m", "bearing_deg", "rate_dps", "v_radial", "v_tangential", "speed"), "motion_state")
+
+
+@query("A07_target_bins", "fx_radar", sql=TARGETS + motion_sql() + """,
+tb AS (SELECT *, CAST(floor((bearing_deg + 52.5) / 15) AS BIGINT) AS bin_index FROM mo WHERE hits >= 3 AND bearing_deg >= -52.5 AND bearing_deg < 52.5),
+tn AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_index, bin_index ORDER BY range_m, track_id) AS rn FROM tb)
+SELECT clip_id, frame_index, bin_index, track_id, round(range_m + 13e-8, 4) AS range_m, round(bearing_deg + 13e-8, 4) + 0.0 AS bearing_deg, round(-v + 13e-8, 4) + 0.0 AS closing_mps, motion_state FROM tn WHERE rn = 1""")
 def target_bins(spark, sf):
     t = K.reported(K.motion_fields(targets(spark, sf)))
-    return tidy(T.targets_by_bin(t.select("clip_id", "frame_index", "track_id", "range_m", "bearing_deg", "closing_mps", "motion_state")))
+    b = T.targets_by_bin(t.select("clip_id", "frame_index", "track_id", "range_m", "bearing_deg", "closing_mps", "motion_state"))
+    return b.select("clip_id", "frame_index", "bin_index", "track_id", *four("range_m", "bearing_deg", "closing_mps"), "motion_state")
 
 
 @query("W10_bearing_rate", "fx_imu", sql=""", b AS (SELECT clip_id, t_ms, yaw AS b FROM fx_imu), d AS (SELECT *, b - lag(b) OVER (PARTITION BY clip_id ORDER BY t_ms) AS raw FROM b),
@@ -112,7 +203,31 @@ def camera_boxes(spark, sf):
     return d.select("clip_id", "frame_index", F.col("det_id").alias("box_id"), "confidence", "angle_deg", (F.col("u") - h).alias("x0"), (F.col("v") - h).alias("y0"), (F.col("u") + h).alias("x1"), (F.col("v") + h).alias("y1"))
 
 
-@query("W18_box_tracks")
+def _iou_sql(t: str, b: str) -> str:
+    w, h = (f"greatest(0e0, least({t}.{p}1, {b}.{p}1) - greatest({t}.{p}0, {b}.{p}0))" for p in "xy")
+    area = lambda q: f"({q}.x1 - {q}.x0) * ({q}.y1 - {q}.y0)"
+    return f"({w} * {h} / ({area(t)} + {area(b)} - {w} * {h}))"
+
+
+_BT = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, h BIGINT, m BIGINT, b BIGINT)"
+_BSTEP = let_sql(
+    f"list_filter(list_transform(a[-1].tr, lambda t: {{'id': t.id, 'x0': t.x0, 'y0': t.y0, 'x1': t.x1, 'y1': t.y1, 'h': t.h, 'm': t.m + greatest(0, x[1].f - a[-1].f - 1), 'b': t.b}}), lambda t: t.m < 5)", "tr",
+    let_sql(greedy_sql(f"list_filter(flatten(list_transform(x[1].bx, lambda b: list_transform(tr, lambda t: {{'w': b.c < 0.5, 'b': b.b, 's': -{_iou_sql('t', 'b')}, 't': t.id}}))), lambda p: -p.s > CASE WHEN p.w THEN 0.1e0 ELSE 0.3e0 END)", "b", "t"), "w", """{
+ 'f': x[1].f, 'bx': x[1].bx, 'tr': list_concat(list_filter(list_transform(tr, lambda t: """ + let_sql("list_filter(x[1].bx, lambda b: len(list_filter(w, lambda z: z.t = t.id AND z.b = b.b)) > 0)", "k", """CASE WHEN len(k) > 0
+ THEN {'id': t.id, 'x0': k[1].x0, 'y0': k[1].y0, 'x1': k[1].x1, 'y1': k[1].y1, 'h': t.h + 1, 'm': 0, 'b': k[1].b} ELSE {'id': t.id, 'x0': t.x0, 'y0': t.y0, 'x1': t.x1, 'y1': t.y1, 'h': t.h, 'm': t.m + 1, 'b': NULL} END""") + """), lambda t: t.m < 5),
+ list_transform(list_filter(x[1].bx, lambda b: b.c >= 0.5 AND len(list_filter(w, lambda z: z.b = b.b)) = 0), lambda b, i: {'id': a[-1].nx + i - 1, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'h': 1, 'm': 0, 'b': b.b})),
+ 'nx': a[-1].nx + len(list_filter(x[1].bx, lambda b: b.c >= 0.5 AND len(list_filter(w, lambda z: z.b = b.b)) = 0))}"""))
+BOXES = f""", bo AS (SELECT clip_id, frame_index, det_id AS box_id, confidence, u - size * 4e0 AS x0, v - size * 4e0 AS y0, u + size * 4e0 AS x1, v + size * 4e0 AS y1 FROM fx_det WHERE sensor = 'fisheye'),
+fb AS (SELECT clip_id, frame_index, list({{'b': box_id, 'c': confidence, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY box_id) AS bx FROM bo GROUP BY 1, 2),
+fg AS (SELECT *, frame_index - lag(frame_index) OVER (PARTITION BY clip_id ORDER BY frame_index) AS gap FROM fb),
+fh AS (SELECT *, CAST(sum(CASE WHEN gap <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY frame_index) AS BIGINT) AS stretch FROM fg),
+fi AS (SELECT clip_id, stretch, frame_index, bx FROM fh UNION ALL SELECT clip_id, stretch, -1, [] FROM fh GROUP BY 1, 2),
+""" + fold_sql("bw", "fi", "clip_id, stretch", "frame_index", "'f': frame_index, 'bx': bx", f"'tr': []::{_BT}[], 'nx': 0::BIGINT", _BSTEP).replace("list_transform(xs, lambda x: [x])", "list_transform(xs[2:], lambda x: [x])").replace("xs[1:0])) AS z", "xs[1:1])) AS z") + """,
+bk AS (SELECT clip_id, stretch, z.f AS frame_index, unnest(z.tr) AS q FROM bw WHERE z.f >= 0),
+bt AS (SELECT clip_id, stretch, frame_index, q.b AS box_id, q.id AS track_id, q.h AS hits, q.h >= 3 AS confirmed FROM bk WHERE q.b IS NOT NULL)"""
+
+
+@query("W18_box_tracks", "fx_det", sql=BOXES + " SELECT * FROM bt")
 def box_tracks(spark, sf):
     return K.track_boxes(camera_boxes(spark, sf))
 
