@@ -16,7 +16,7 @@ from keelson.plans.ordered import nearest_asof
 from keelson.queries.catalog import query
 from keelson.queries.radar import GATED, _kept
 from keelson.queries.sectors import SC, scored
-from keelson.queries.vision import detections
+from keelson.queries.vision import PAIRS, detections
 
 CLUSTER = GATED + """, lab AS (SELECT clip_id, frame_index, point_id AS root, point_id FROM kept UNION SELECT l.clip_id, l.frame_index, l.root, q.point_id FROM lab l JOIN kept p ON p.clip_id = l.clip_id AND p.frame_index = l.frame_index AND p.point_id = l.point_id
  JOIN kept q ON q.clip_id = p.clip_id AND q.frame_index = p.frame_index AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) <= 1),
@@ -232,7 +232,42 @@ def box_tracks(spark, sf):
     return K.track_boxes(camera_boxes(spark, sf))
 
 
-@query("J18_W20_track_identity")
+_T = lambda k: f"list_filter(x[1].t, lambda u: u.k = {k})"
+_C = lambda c: f"list_filter(x[1].c, lambda u: u.c = {c})"
+_N = lambda k, c: f"coalesce(list_filter(x[1].o, lambda u: u.k = {k} AND u.c = {c})[1].n, 0)"
+_HAS = lambda items, field, v: f"len(list_filter({items}, lambda e: e.{field} = {v})) > 0"
+_JUDGED = "list_transform(a[-1].pr, lambda p: " + let_sql(_T("p.k"), "tt", let_sql(_C("p.c"), "cc", let_sql(_N("p.k", "p.c"), "nn", """{'k': p.k, 'c': p.c,
+ 'off': CASE WHEN len(tt) > 0 AND len(cc) > 0 AND nn > 0 THEN 0.3e0 * (tt[1].b - cc[1].b) + 0.7e0 * p.off ELSE p.off END,
+ 'ap': CASE WHEN len(tt) = 0 OR len(cc) = 0 THEN p.ap WHEN nn > 0 THEN 0 ELSE p.ap + 1 END, 'ab': CASE WHEN len(tt) = 0 THEN p.ab + x[1].f - a[-1].f ELSE 0 END,
+ 'n': p.n + CASE WHEN len(tt) > 0 AND len(cc) > 0 AND nn > 0 THEN 1 ELSE 0 END}"""))) + ")"
+_MET = f"flatten(list_transform(list_filter(x[1].t, lambda u: NOT {_HAS('kept', 'k', 'u.k')}), lambda u: list_transform(list_filter(x[1].c, lambda v: NOT {_HAS('kept', 'c', 'v.c')}), lambda v: {{'k': u.k, 'c': v.c, 'g': CASE WHEN len(list_filter(x[1].o, lambda e: e.k = u.k AND e.c = v.c)) > 0 THEN 1 ELSE 0 END}})))"
+_STANDING = "list_filter(list_concat(list_transform(a[-1].cd, lambda q: " + let_sql("list_filter(met, lambda e: e.k = q.k AND e.c = q.c)", "hh", "CASE WHEN len(hh) = 0 THEN q ELSE {'k': q.k, 'c': q.c, 'seen': list_append(q.seen, hh[1].g)[-5:], 'at': x[1].f} END") + f"""),
+ list_transform(list_filter(met, lambda m: len(list_filter(a[-1].cd, lambda e: e.k = m.k AND e.c = m.c)) = 0), lambda m: {{'k': m.k, 'c': m.c, 'seen': [m.g], 'at': x[1].f}})),
+ lambda q: {_HAS('al', 'c', 'q.c')} AND NOT {_HAS('kept', 'k', 'q.k')} AND NOT {_HAS('kept', 'c', 'q.c')} AND x[1].f - q.at <= 15)"""
+_READY = f"list_filter(list_transform(standing, lambda q: {{'v': -list_sum(q.seen), 'n': -{_N('q.k', 'q.c')}, 'nk': -q.k, 'nc': -q.c, 'k': q.k, 'c': q.c}}), lambda e: e.v <= -3)"
+_ISTEP = let_sql(f"list_concat(list_filter(a[-1].cm, lambda m: NOT {_HAS('x[1].c', 'c', 'm.c')} AND x[1].f - m.at < 5), list_transform(x[1].c, lambda u: {{'c': u.c, 'at': x[1].f}}))", "al", let_sql(
+    _JUDGED, "judged", let_sql(f"list_filter(judged, lambda p: {_HAS('al', 'c', 'p.c')} AND p.ab < 15 AND p.ap < 5)", "kept", let_sql(_MET, "met", let_sql(_STANDING, "standing", let_sql(greedy_sql(_READY, "k", "c"), "won", f"""{{
+ 'f': x[1].f, 't': x[1].t[1:0], 'c': x[1].c, 'o': x[1].o[1:0], 'pr': list_concat(kept, list_transform(won, lambda w: {{'k': w.k, 'c': w.c, 'off': CASE WHEN w.n < 0 THEN {_T('w.k')}[1].b - {_C('w.c')}[1].b ELSE 0e0 END, 'ap': 0, 'ab': 0, 'n': 0}})),
+ 'cd': list_filter(standing, lambda q: NOT {_HAS('won', 'k', 'q.k')} AND NOT {_HAS('won', 'c', 'q.c')}), 'cm': al, 'fm': list_transform(won, lambda w: {{'k': w.k, 'c': w.c}}), 'bk': len(judged) - len(kept)}}"""))))))
+IDENTITY = TARGETS + BOXES + PAIRS[len(GATED):] + """,
+it AS (SELECT clip_id, frame_index, stretch * 1000000 + track_id AS k, bearing_deg AS b FROM tr),
+ic AS (SELECT bt.clip_id, bt.frame_index, bt.stretch * 1000000 + bt.track_id AS c, dd.angle_deg AS b, box_id FROM bt JOIN dd ON dd.det_id = bt.box_id),
+io AS (SELECT p.clip_id, p.frame_index, tk.stretch * 1000000 + tk.q.id AS k, ic.c, count(*) AS n FROM pr p JOIN cl ON cl.clip_id = p.clip_id AND cl.frame_index = p.frame_index AND cl.point_id = p.point_id
+ JOIN tk ON tk.clip_id = cl.clip_id AND tk.frame_index = cl.frame_index AND tk.q.c = cl.cluster_id AND tk.q.m = 0 JOIN ic ON ic.clip_id = p.clip_id AND ic.frame_index = p.frame_index AND ic.box_id = p.det_id GROUP BY 1, 2, 3, 4),
+i1 AS (SELECT clip_id, frame_index, list({'k': k, 'b': b} ORDER BY k) AS t FROM it GROUP BY 1, 2), i2 AS (SELECT clip_id, frame_index, list({'c': c, 'b': b} ORDER BY c) AS c FROM ic GROUP BY 1, 2), i3 AS (SELECT clip_id, frame_index, list({'k': k, 'c': c, 'n': n} ORDER BY k, c) AS o FROM io GROUP BY 1, 2),
+i4 AS (SELECT clip_id, frame_index FROM i1 UNION SELECT clip_id, frame_index FROM i2 UNION SELECT clip_id, -1 FROM i1 UNION SELECT clip_id, -1 FROM i2),
+i5 AS (SELECT i4.clip_id, i4.frame_index, coalesce(t, []) AS t, coalesce(c, []) AS c, coalesce(o, []) AS o FROM i4 LEFT JOIN i1 USING (clip_id, frame_index) LEFT JOIN i2 USING (clip_id, frame_index) LEFT JOIN i3 USING (clip_id, frame_index)),
+""" + fold_sql("iw", "i5", "clip_id", "frame_index", "'f': frame_index, 't': t, 'c': c, 'o': o", """'pr': []::STRUCT(k BIGINT, c BIGINT, off DOUBLE, ap BIGINT, ab BIGINT, n BIGINT)[],
+ 'cd': []::STRUCT(k BIGINT, c BIGINT, seen INTEGER[], "at" BIGINT)[], 'cm': []::STRUCT(c BIGINT, "at" BIGINT)[], 'fm': []::STRUCT(k BIGINT, c BIGINT)[], 'bk': 0::BIGINT""", _ISTEP).replace("list_transform(xs, lambda x: [x])", "list_transform(xs[2:], lambda x: [x])").replace("xs[1:0])) AS z", "xs[1:1])) AS z") + """,
+ie AS (SELECT clip_id, z.f AS f, unnest(z.fm) AS e FROM iw), ig AS (SELECT clip_id, f, CAST(coalesce(lag(e.c) OVER (PARTITION BY clip_id, e.k ORDER BY f) <> e.c, false) AS INTEGER) + CAST(coalesce(lag(e.k) OVER (PARTITION BY clip_id, e.c ORDER BY f) <> e.k, false) AS INTEGER) AS sw FROM ie),
+ih AS (SELECT clip_id, f, sum(sw) AS sw FROM ig GROUP BY 1, 2),
+ii AS (SELECT iw.clip_id, z.f AS f, z.pr AS pr, z.c AS cams, sum(len(z.fm)) OVER w AS formed, sum(z.bk) OVER w AS broken, sum(coalesce(sw, 0)) OVER w AS switches FROM iw LEFT JOIN ih ON ih.clip_id = iw.clip_id AND ih.f = iw.z.f WINDOW w AS (PARTITION BY iw.clip_id ORDER BY iw.z.f)),
+ij AS (SELECT clip_id, f, cams, formed, broken, switches, unnest(pr) AS p FROM ii)
+SELECT clip_id, f AS frame_index, p.k AS track_id, p.c AS camera_id, round(p.off, 6) + 0.0 AS offset_deg, p.n AS frames_paired, round(list_filter(cams, lambda u: u.c = p.c)[1].b + p.off, 6) + 0.0 AS camera_bearing,
+ CAST(formed AS BIGINT) AS formed, CAST(broken AS BIGINT) AS broken, CAST(switches AS BIGINT) AS switches FROM ij"""
+
+
+@query("J18_W20_track_identity", "fx_radar", "fx_det", sql=IDENTITY)
 def identity(spark, sf):
     b = camera_boxes(spark, sf)
     # one camera id per recording: stretch and track together
