@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.sun import daypart_footage, position_short
 from keelson.operators.boxes import canonical
+from keelson.plans.ordered import nearest_asof
 
 # fixed values: band edges, instance targets and goal hours
 BANDS: dict[str, tuple[float, ...]] = {
@@ -80,6 +81,12 @@ def clip_weather(clips: DataFrame, hourly: DataFrame) -> DataFrame:
     return g.withColumn("wind_dir_deg", F.round(F.pmod(F.degrees(F.atan2("__s", "__c")), F.lit(360.0)))).drop("__s", "__c")
 
 
+def frame_sun(frames: DataFrame, samples: DataFrame, keys: list[str], max_age_s: float = 60.0) -> DataFrame:
+    """Frames with the elevation of the nearest sun sample, null where none is within ``max_age_s``.
+    ``samples``: keys, t_s (distinct), sun_elevation_deg; ``frames``: keys, t_s."""
+    return nearest_asof(frames, samples, keys, t="t_s", payload=["sun_elevation_deg"], max_age=max_age_s).withColumnRenamed("asof_gap", "sun_gap_s")
+
+
 # -- coverage -----------------------------------------------------------------
 
 def hourly_frames(samples: DataFrame) -> DataFrame:

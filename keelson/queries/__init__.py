@@ -4,7 +4,7 @@ from importlib import import_module
 
 from keelson.queries.catalog import CATALOG
 
-MODULES = ("radar", "align", "sectors", "vision", "evaluation", "labels", "reports", "corpus", "tracks", "training", "streams")
+MODULES = ("radar", "align", "sectors", "vision", "evaluation", "labels", "reports", "corpus", "tracks", "training", "streams", "files")
 
 for _m in MODULES:
     import_module(f"keelson.queries.{_m}")

@@ -151,6 +151,17 @@ def read_features(spark: SparkSession, root: str, table: str, clips: list[str] |
     return d.filter(F.col("clip_id").isin(list(clips))) if clips else d
 
 
+def read_dataset(spark: SparkSession, root: str, require_targets: bool = True, clips: list[str] | None = None) -> DataFrame:
+    """Bins with their frame's columns and, where there are any, their targets, of the clips that
+    have meta.  ``require_targets`` leaves out clips and bins without a target."""
+    bins, frames, meta, targets = (read_features(spark, root, t, clips) for t in ("bins", "frames", "meta", "targets"))
+    frame, place = ["clip_id", "frame_index"], ["clip_id", "frame_index", "bin_index"]
+    d = bins.join(meta.select("clip_id").distinct(), "clip_id", "left_semi")
+    d = d.join(frames.drop(*[c for c in frames.columns if c in bins.columns and c not in frame]), frame, "left")
+    rest = targets.drop(*[c for c in targets.columns if c in d.columns and c not in place])
+    return d.join(rest, place, "inner" if require_targets else "left")
+
+
 STREAMS = ("fisheye", "thermal", "mmwave", "imu", "frames", "gps")
 
 

@@ -12,11 +12,13 @@ from keelson.plans.joins import checked_join
 FRAME = ["clip_id", "frame_index"]
 
 
-def write_features(bins: DataFrame, frames: DataFrame, meta: DataFrame, root: str) -> None:
+def write_features(bins: DataFrame, frames: DataFrame, meta: DataFrame, root: str, targets: DataFrame | None = None) -> None:
     """Feature tables by clip; a missing modality stays null.  Rows are gathered by clip
     and a frame slice, so one long clip is written by many tasks.  Only the clips at hand are
     replaced; those written before stay.  ``meta`` names its clip in ``clip_id``."""
-    for name, df in (("bins", bins), ("frames", frames)):
+    for name, df in (("bins", bins), ("frames", frames), ("targets", targets)):
+        if df is None:
+            continue
         part = F.floor(F.col("frame_index") / 5000)
         _by_clip(df.repartition("clip_id", part)).parquet(f"{root}/{name}")
     # a partitioned table needs a column of its own
