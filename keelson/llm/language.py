@@ -31,6 +31,8 @@ UNKNOWN = "und"
 #: share of a language's training documents that may lie below its floor, and steps a nat of the histogram
 LOW_SHARE, FINE, LEAST = 0.001, 50, -20.0
 SLICE = 1 << 20
+#: slices of the measures that a pipeline keeps beside other stages in the same workers
+SMALL_SLICE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -125,7 +127,7 @@ def floors(docs: DataFrame, model: Model) -> dict[str, float]:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, "text", SLICE):
+        for b in slices(batches, "text", SMALL_SLICE):
             lang, _, mean = shared.value.measure(b.column("text"))
             ok = np.array([x == y and x != UNKNOWN for x, y in zip(lang, b.column("lang").to_pylist())], bool)
             step = np.floor(np.maximum(mean, LEAST) * FINE).astype(np.int64)
@@ -180,7 +182,7 @@ def likely(docs: DataFrame, model: Model, score: float, floor: dict[str, float]
 
     def run(text: pa.Array) -> pa.Array:
         out = []
-        for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", SLICE):
+        for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", SMALL_SLICE):
             lang, p, mean = shared.value.measure(b.column("text"))
             out += [x != UNKNOWN and y >= score and m >= floor.get(x, LEAST) for x, y, m in zip(lang, p.tolist(), mean.tolist())]
         return pa.array(out, pa.bool_())

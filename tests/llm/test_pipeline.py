@@ -53,18 +53,57 @@ def test_empty_corpus(spark, folder, tmp_path):
 
 
 def test_registered_queries(spark):
-    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
     n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
     for name in ("op3_html_extraction", "op7_language_id"):
         assert QUERIES[name](spark, SF).count() in n.values()
 
 
-def test_minhash_against_sql(spark):
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op11_centroid_clusters", "op12_prefix_trie"])
+def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(SQL["op2_minhash_dedup"])
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]
-    got = QUERIES["op2_minhash_dedup"](spark, SF).select(*names).collect()
-    assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+    got = QUERIES[name](spark, SF).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(cur.fetchall(), key=str)
+
+
+def test_packing_query_against_the_tokenizer(spark):
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from keelson.llm.queries import tokenizer_file
+
+    t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    ids = {r.doc_id: np.array(t.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op13_least_squares_packing"](spark, SF).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(ids)
+    for parts, total in [(sorted(v), len(ids[k])) for k, v in pieces.items()] + [(sorted(v), None) for v in sequences.values()]:
+        end = 0
+        for start, n in parts:
+            assert start == end and n > 0
+            end += n
+        assert end == total if total is not None else end <= 4096 and end & (end - 1) == 0      # nothing is padded
+
+
+def test_dirty_rows_take_no_other_row_along(spark, folder):
+    """Rows without an id, or with the same one, of which one holds an item."""
+    path, rows, _ = folder
+    dirty = next(t for k, t, *_ in rows if k == 50)
+    docs = spark.createDataFrame([(None, dirty, "en", "s", 0), (None, "an innocent text without an id", "en", "s", 0), (7, dirty, "en", "s", 0), (7, "an innocent text of the same id", "en", "s", 0), (8, None, "en", "s", 0)], FULL)
+    got = C.decontaminate_benchmark(spark, docs, path).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("7", "an innocent text of the same id"), ("8", "None"), ("None", "an innocent text without an id")]
+    twice = docs.unionByName(docs)
+    kept = C.drop_near_duplicates(spark, twice, path).collect()
+    assert sum(r.doc_id is None for r in kept) == 4 and sum(r.doc_id == 8 for r in kept) == 1
