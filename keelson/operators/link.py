@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.plans.ordered import SLICE, scan, time_slices
+from keelson.plans.quantiles import with_quantiles
 
 HEADER = 17
 HAS_P, SCORER_OK, SEG_FRESH, HAS_LATENCY, YOLO_FRESH = 1, 2, 4, 8, 16
@@ -64,9 +65,10 @@ def sequence_audit(packets: DataFrame, keys: Sequence[str], slice_len: float = 1
     ``packets``: keys, pos, seq, latency_s."""
     d = scan(time_slices(packets, "pos", slice_len), list(keys), ["pos"], lag={"__p": F.col("seq")})
     gap = F.when(F.col("__p").isNotNull(), F.pmod(F.col("seq") - F.col("__p"), F.lit(65536)))
-    return d.groupBy(*keys).agg(
+    g = d.groupBy(*keys).agg(
         F.count("*").alias("received"), F.sum(F.coalesce(F.greatest(gap - 1, F.lit(0)), F.lit(0))).cast("bigint").alias("missing"), F.count_if(gap > 1).alias("gaps"),
-        F.count_if(gap == 0).alias("repeats"), F.percentile("latency_s", 0.5).alias("latency_p50"), F.percentile("latency_s", 0.95).alias("latency_p95"))
+        F.count_if(gap == 0).alias("repeats"))
+    return with_quantiles(g, packets, keys, {"latency_p50": (F.col("latency_s"), 0.5), "latency_p95": (F.col("latency_s"), 0.95)})
 
 
 def fragment_audit(fragments: DataFrame, keys: Sequence[str], slice_len: float = 10_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from keelson.operators.evaluate import ratio
 from keelson.plans.ordered import SLICE, haloed, scan, time_slices
+from keelson.plans.quantiles import with_quantiles
 
 FRAME = ["clip_id", "frame_index"]
 STATES = ("closing", "crossing", "diverging", "static", "unknown")
@@ -81,8 +82,8 @@ def tangential_spread(scored: DataFrame) -> DataFrame:
     v = F.abs("v_tangential_mps")
     rad = F.when(F.col("truth").isin("static", "closing", "diverging"), v)
     crs = F.when(F.col("truth") == "crossing", v)
-    return scored.agg(F.count(rad).alias("n_radial"), F.percentile(rad, 0.5).alias("radial_p50"), F.percentile(rad, 0.95).alias("radial_p95"),
-                      F.count(crs).alias("n_crossing"), F.percentile(crs, 0.5).alias("crossing_p50"))
+    g = scored.agg(F.count(rad).alias("n_radial"), F.count(crs).alias("n_crossing"))
+    return with_quantiles(g, scored, [], {"radial_p50": (rad, 0.5), "radial_p95": (rad, 0.95), "crossing_p50": (crs, 0.5)})
 
 
 def detrended_correlation(df: DataFrame, keys: list[str], t: str, a: str, b: str, min_n: int = 8) -> DataFrame:

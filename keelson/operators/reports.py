@@ -14,6 +14,7 @@ from keelson.operators import evaluate as E
 from keelson.operators.sectors import wrap_deg
 from keelson.params import GRID, THERMAL, BinGrid
 from keelson.plans.ordered import SLICE, nearest_asof, scan, time_slices
+from keelson.plans.quantiles import with_quantiles
 
 FRAME = ["clip_id", "frame_index"]
 DOPPLER_BIN = 0.1217
@@ -25,19 +26,19 @@ def range_errors(df: DataFrame, keys: Sequence[str], measured: str, truth: str)
     """n, median |relative|, mean signed, share within 20 %."""
     e = (F.col(measured) - F.col(truth)) / F.col(truth)
     d = df.filter(F.col(measured).isNotNull() & (F.col(truth) > 0)).withColumn("__e", e)
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.median(F.abs("__e")).alias("median_abs_rel"), F.avg("__e").alias("mean_signed_rel"),
-                                F.avg((F.abs("__e") <= 0.2).cast("double")).alias("within_20pct"))
+    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__e").alias("mean_signed_rel"), F.avg((F.abs("__e") <= 0.2).cast("double")).alias("within_20pct"))
+    return with_quantiles(g, d, keys, {"median_abs_rel": (F.abs("__e"), 0.5)}).select(*keys, "n", "median_abs_rel", "mean_signed_rel", "within_20pct")
 
 
 def range_change(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Range A/B of the same detections: pairs, changed, mean/median change, share farther."""
     d = df.filter(F.col(before).isNotNull() & F.col(after).isNotNull()).withColumn("__d", F.col(after) - F.col(before))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.abs("__d") > 1e-9).alias("changed"), F.avg("__d").alias("mean_delta_m"),
-                                F.median("__d").alias("median_delta_m"), F.avg((F.col("__d") > 0).cast("double")).alias("share_farther"))
+    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.abs("__d") > 1e-9).alias("changed"), F.avg("__d").alias("mean_delta_m"), F.avg((F.col("__d") > 0).cast("double")).alias("share_farther"))
+    return with_quantiles(g, d, keys, {"median_delta_m": (F.col("__d"), 0.5)}).select(*keys, "n", "changed", "mean_delta_m", "median_delta_m", "share_farther")
 
 
-def spread(c: Column, name: str) -> list[Column]:
-    return [F.median(c).alias(f"{name}_median"), F.avg(c).alias(f"{name}_mean"), F.percentile(c, 0.05).alias(f"{name}_p5"), F.percentile(c, 0.95).alias(f"{name}_p95")]
+def spread(c: Column, name: str) -> dict[str, tuple[Column, float]]:
+    return {f"{name}_median": (c, 0.5), f"{name}_p5": (c, 0.05), f"{name}_p95": (c, 0.95)}
 
 
 def association_report(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,18 +46,20 @@ def association_report(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
     hit = F.col("radar_range_m").isNotNull()
     res = F.when(hit, F.col("angle_deg") - F.col("radar_bearing_deg"))
     rel = F.when(hit & F.col("mono_range_m").isNotNull(), (F.col("mono_range_m") - F.col("radar_range_m")) / F.col("radar_range_m"))
-    return dets.groupBy(*keys).agg(F.count("*").alias("n_det"), F.count_if(hit).alias("n_matched"), *spread(res, "resid"), *spread(rel, "rel"),
-                                   F.avg((F.abs(rel) <= 0.2).cast("double")).alias("within_20pct"))
+    g = dets.groupBy(*keys).agg(F.count("*").alias("n_det"), F.count_if(hit).alias("n_matched"), F.avg(res).alias("resid_mean"), F.avg(rel).alias("rel_mean"), F.avg((F.abs(rel) <= 0.2).cast("double")).alias("within_20pct"))
+    figures = [f"{n}_{q}" for n in ("resid", "rel") for q in ("median", "mean", "p5", "p95")]
+    return with_quantiles(g, dets, keys, spread(res, "resid") | spread(rel, "rel")).select(*keys, "n_det", "n_matched", *figures, "within_20pct")
 
 
 def gate_report(dets: DataFrame, keys: Sequence[str], near: tuple[float, float] = (1.0, 8.0)) -> DataFrame:
     """Box-versus-instance A/B of one pass: gated, matched, ranged, rejected, vetoed, near."""
     rr, hits = F.col("radar_range_m"), F.col("radar_hits")
-    return dets.groupBy(*keys).agg(
+    g = dets.groupBy(*keys).agg(
         F.count("*").alias("n_det"), F.count_if(hits > 0).alias("n_matched"), F.count_if(rr.isNotNull()).alias("n_radar_ranged"),
         F.count_if(rr.isNull() & (hits > 0)).alias("n_compat_rejected"),
         F.count_if(F.col("range_m").isNull() & rr.isNull() & (hits == 0) & F.col("mono_range_m").between(*near)).alias("n_vetoed"),
-        F.median(rr).alias("median_radar_m"), F.count_if(F.col("range_m") < 3.0).alias("n_near"))
+        F.count_if(F.col("range_m") < 3.0).alias("n_near"))
+    return with_quantiles(g, dets, keys, {"median_radar_m": (rr, 0.5)})
 
 
 def margin_sweep(points: DataFrame, margins: Sequence[float]) -> DataFrame:
@@ -399,8 +402,8 @@ def attitude_mapping(pairs: DataFrame) -> DataFrame:
     p = F.col("c.sign_pitch") * F.when(F.col("c.swap"), F.col("imu_roll")).otherwise(F.col("imu_pitch"))
     r = F.col("c.sign_roll") * F.when(F.col("c.swap"), F.col("imu_pitch")).otherwise(F.col("imu_roll"))
     d = d.select("c.*", "ref_pitch", "ref_roll", p.alias("mp"), r.alias("mr"))
-    med = d.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_m") for c in ("ref_pitch", "ref_roll", "mp", "mr")],
-                               *[F.stddev_pop(c).alias(f"{c}_s") for c in ("ref_pitch", "ref_roll", "mp", "mr")])
+    four = ("ref_pitch", "ref_roll", "mp", "mr")
+    med = with_quantiles(d.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"{c}_s") for c in four]), d, keys, {f"{c}_m": (F.col(c), 0.5) for c in four})
     j = d.join(F.broadcast(med), keys)      # eight rows by construction
 
     def corr(a, b):
@@ -408,11 +411,11 @@ def attitude_mapping(pairs: DataFrame) -> DataFrame:
         sa, sb = F.first(f"{a}_s"), F.first(f"{b}_s")
         return F.when((sa < 1e-9) | (sb < 1e-9), 0.0).otherwise(cov / (sa * sb))
 
-    return j.groupBy(*keys).agg(
+    g = j.groupBy(*keys).agg(
         F.count("*").alias("n"), corr("ref_pitch", "mp").alias("corr_pitch"), corr("ref_roll", "mr").alias("corr_roll"),
-        F.median(F.col("ref_pitch") - F.col("mp")).alias("offset_pitch"), F.median(F.col("ref_roll") - F.col("mr")).alias("offset_roll"),
         F.stddev_pop(F.col("ref_pitch") - F.col("mp")).alias("resid_pitch"), F.stddev_pop(F.col("ref_roll") - F.col("mr")).alias("resid_roll")).withColumn(
         "score", F.col("corr_pitch") + F.col("corr_roll"))
+    return with_quantiles(g, d, keys, {"offset_pitch": (F.col("ref_pitch") - F.col("mp"), 0.5), "offset_roll": (F.col("ref_roll") - F.col("mr"), 0.5)})
 
 
 THERMAL_FOV = ((0 - THERMAL.lin_cx) / THERMAL.px_per_deg, (THERMAL.width - 1 - THERMAL.lin_cx) / THERMAL.px_per_deg)
