@@ -32,7 +32,7 @@ END_ID = 1
 SLICE = 2 << 20
 BLOCK_IDS = 1 << 17
 SIDE_BY_SIDE = 16
-CACHE_WORDS, CACHE_STEMS = 300_000, 600_000
+CACHE_WORDS, CACHE_STEMS = 150_000, 400_000
 _MARKS = b".,;:!?|%&*#$"
 _END = b"end of text"
 ENCODED = "doc_id long, ids binary, n_tokens long"
