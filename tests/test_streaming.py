@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from keelson.queries import CATALOG
 from keelson.streaming import groups as G
 from keelson.streaming import landing as L
 from keelson.streaming import live as X
@@ -83,3 +84,13 @@ def test_latest_wins_writes_each_batch_once(spark):
     out = L.run_to_table(L.land(rows, F.floor(F.col("t") / 30).cast("int"), 4), "latest", X.latest_wins, log)
     assert sorted((r.batch_id, r.clip_id, r.n, r.skipped_rows) for r in out.collect()) == [(0, "a", 2, 2), (1, "a", 5, 2), (1, "b", 100, 0), (2, "a", 8, 2), (3, "a", 9, 0)]
     assert sorted((r.batch_id, r.input_rows) for r in L.over_budget(spark, log, 1e9).filter("NOT over_budget").collect()) == [(0, 3), (1, 4), (2, 3), (3, 1)]
+
+
+def test_rolled_chunks_take_rows_one_landing_late(spark, tmp_path):
+    # one boat of 20,000 groups, 5,000 a landing
+    rows = spark.range(0, 400_000, 20).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") * 7 % 20_000).alias("l_partkey"), (F.col("id") % 1000).alias("l_suppkey"), F.lit(1).alias("l_linenumber"),
+        F.lit("A").alias("l_returnflag"), F.lit(1.0).alias("l_quantity"), F.lit(0.0).alias("l_tax"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = CATALOG["S15_X07_chunk_roll"].build(spark, str(tmp_path)).agg(F.count("*"), F.sum("n_points"), F.max("late_rows")).first()
+    assert tuple(out) == (19_999, 19_999, 0)
