@@ -94,3 +94,14 @@ def test_rolled_chunks_take_rows_one_landing_late(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     out = CATALOG["S15_X07_chunk_roll"].build(spark, str(tmp_path)).agg(F.count("*"), F.sum("n_points"), F.max("late_rows")).first()
     assert tuple(out) == (19_999, 19_999, 0)
+
+
+def test_large_landings_are_cut_into_files(spark, monkeypatch):
+    monkeypatch.setattr(L, "FILE_ROWS", 100, raising=False)
+    # landings of 450, 3 and 450 rows: the one in the middle fills fewer files than the others
+    rows = spark.range(903, numPartitions=3).withColumn("tick", F.when(F.col("id") < 450, 0).when(F.col("id") < 453, 1).otherwise(2))
+    stream = L.land(rows, F.col("tick"), 3)
+    out = L.run_to_table(stream.withColumn("file", F.input_file_name()), "files", lambda b: b.groupBy("tick").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")))
+    got = {(r["batch_id"], r["tick"]): (r["n"], r["files"]) for r in out.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {(0, 0): 450, (1, 1): 3, (2, 2): 450}
+    assert got[0, 0][1] == got[2, 2][1] == 5
