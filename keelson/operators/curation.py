@@ -28,7 +28,8 @@ def deleted_clip_keys(sets: DataFrame) -> DataFrame:
 def drop_deleted(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows whose clip is not deleted, directly or through its set."""
     keyed = rows.withColumn("clip_key", clock.clip_key(F.col("clip_id")))
-    return checked_join(keyed, deleted_clip_keys(sets), ["clip_key"], "left_anti").drop("clip_key")
+    # deleted keys can be as many as the clips: few salts, as each repeats all of them
+    return checked_join(keyed, deleted_clip_keys(sets), ["clip_key"], "left_anti", salts=4).drop("clip_key")
 
 
 def mark_cut(frames: DataFrame, cuts: DataFrame, t: str = "t_ms", width: float = 60_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators.evaluate import average_precision
 from keelson.plans import matching
+from keelson.plans.joins import checked_join
 from keelson.plans.ordered import inside_intervals, linear_recurrence, nearest_asof, scan, time_slices
 
 
@@ -84,3 +85,11 @@ def test_rounds_equal_fold(spark):
             if l not in ls and r not in rs:
                 ls.add(l), rs.add(r), want.add((g, l, r))
     assert {tuple(x) for x in a} == want == {tuple(x) for x in b}
+
+
+def test_a_side_counted_as_large_is_not_broadcast(spark):
+    big = spark.range(50).withColumnRenamed("id", "k")
+    small = spark.range(0, 50, 3).withColumnRenamed("id", "k")
+    j = checked_join(big, small, ["k"], "left_anti", max_rows=10)
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.k for r in j.collect()) == [k for k in range(50) if k % 3]
