@@ -197,10 +197,11 @@ def euler_mapping(pitch: Column, roll: Column, *, swap: bool = False, sign_pitch
 
 
 def polygon_pixels(flat: Column, width: float, height: float) -> Column:
-    """Flat normalised list to points; null below three vertices."""
+    """Flat normalised list to points; null below three vertices.  Points are taken to a millionth
+    of a pixel: the last bits of a quotient would decide between polygons of one size."""
     n = F.floor(F.size(flat) / 2).cast("int")
     pts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        (F.element_at(flat, i * 2 + 1) * width).alias("x"), (F.element_at(flat, i * 2 + 2) * height).alias("y")))
+        F.round(F.element_at(flat, i * 2 + 1) * width, 6).alias("x"), F.round(F.element_at(flat, i * 2 + 2) * height, 6).alias("y")))
     return F.when(F.size(flat) >= 6, pts)
 
 

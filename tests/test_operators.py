@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import clock, sun
 from keelson.functions import geometry as G
+from keelson.operators import association as AS
 from keelson.operators import boxes as B
 from keelson.operators import curation as C
 from keelson.operators import sectors as S
@@ -234,3 +235,12 @@ def test_feature_batches_keep_other_clips(spark, tmp_path):
     got = read_features(spark, str(tmp_path), "bins").groupBy("clip_id").agg({"p": "max", "frame_index": "count"}).collect()
     assert {r.clip_id: (r["max(p)"], r["count(frame_index)"]) for r in got} == {"a": (0.3, 3), "b": (0.2, 3)}
     assert read_features(spark, str(tmp_path), "meta").count() == 2
+
+
+def test_polygons_of_one_size_go_by_id(spark):
+    n = range(60)
+    flat = lambda u, v, s: [c / d for x, y in ((u - s, v), (u, v - s / 2), (u + s, v), (u, v + s / 2)) for c, d in ((x, 864.0), (y, 648.0))]
+    polys = spark.createDataFrame([("c", k, i, flat(100 + 7 * k + 3 * i, 320 + k + i, 38.0)) for k in n for i in (1, 2)], "clip_id string, frame_index long, poly_id long, polygon array<double>")
+    dets = spark.createDataFrame([("c", k, k, 105.0 + 7 * k, 321.0 + k, 10) for k in n], "clip_id string, frame_index long, det_id long, u double, v double, size int")
+    got = AS.cover_polygon(dets, AS.polygon_table(polys)).collect()
+    assert {r.det_id: r.poly_id for r in got} == {k: 1 for k in n}
