@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from keelson.llm.staging import staged
 from keelson.llm.text import list_array, slices, text_bytes
 from keelson.llm.token_store import word_encoder
+from keelson.llm.workers import tidy
 from keelson.plans.joins import checked_join
 
 WINDOW = 4096
@@ -79,7 +80,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, window: int
                 ["part", "row", "doc_id", "n_tokens", "rest", "rank", "windows_before", "crcs", "ids"])
             row, windows = row + len(n), windows + int(whole.sum())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), ENCODED)
 
 
 def combinations(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from keelson.llm import rans
 from keelson.llm.staging import discard, staged
 from keelson.llm.text import slices, text_bytes
+from keelson.llm.workers import tidy
 
 END_ID = 1
 SLICE = 2 << 20
 BLOCK_IDS = 1 << 17
 SIDE_BY_SIDE = 16
 CACHE_WORDS, CACHE_STEMS = 150_000, 400_000
+#: stems that are encoded in one string
+JOINED = 1024
 _MARKS = b".,;:!?|%&*#$"
 _END = b"end of text"
 ENCODED = "doc_id long, ids binary, n_tokens long"
@@ -68,6 +71,7 @@ class WordEncoder(dict):
         self.tails: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}        # ids of stems as raw bytes, kept longer than words
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.marked = True
         self.reset()
 
     def reset(self) -> None:
@@ -82,7 +86,7 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
         low = word.lower()
-        stem = word if self.special(low) else low
+        stem = word if self.marked and self.special(low) else low
         body = stem.rstrip(_MARKS)
         tail = b""
         if len(body) < len(stem) and body and body[-1] < 128 and chr(body[-1]).isalnum():
@@ -110,9 +114,9 @@ class WordEncoder(dict):
             if s not in stems:
                 (plain if s.decode().isalpha() else other).append(s)
         width = kind.itemsize
-        for lo in range(0, len(plain), 512):
-            group = plain[lo:lo + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, kind)
+        for lo in range(0, len(plain), JOINED):
+            group = plain[lo:lo + JOINED]
+            ids = self.one_by_one([b" ".join(group)])[0]
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group):
                 raw, at = ids.tobytes(), (ends * width).tolist()
@@ -141,6 +145,7 @@ class WordEncoder(dict):
         data, at = text_bytes(column)
         data = data.tobytes()
         if self.suffix:
+            self.marked = self.special(data.lower()) is not None       # else no word of these texts is looked at
             if len(self) > self.most_words:
                 self.reset()
             parts = [data[a:b].split() for a, b in zip(at, at[1:])]
@@ -181,12 +186,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             ids = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((cut * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(np.diff(cut))], ["doc_id", "ids", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), ENCODED)
 
 
 def id_counts(encoded: DataFrame, dtype: np.dtype) -> DataFrame:
     """How often each id occurs; each task sends one row per id."""
     def run(batches):
+        word_encoder.cache_clear()          # the words are no longer needed
         total = np.zeros(0, np.int64)
         for b in batches:
             n = np.bincount(np.frombuffer(text_bytes(b.column("ids"))[0], dtype), minlength=len(total))
@@ -195,7 +201,7 @@ def id_counts(encoded: DataFrame, dtype: np.dtype) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(encoded: DataFrame, path: str, dtype: np.dtype, *, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
@@ -212,6 +218,7 @@ def write_store(encoded: DataFrame, path: str, dtype: np.dtype, *, block_ids: in
     def run(batches):
         from pyspark import TaskContext
 
+        word_encoder.cache_clear()
         coder, part = rans.Coder(freq), TaskContext.get().partitionId()
         docs, size, seq, first, ready = [], 0, 0, 0, []
 
@@ -239,7 +246,7 @@ def write_store(encoded: DataFrame, path: str, dtype: np.dtype, *, block_ids: in
 
     order = ["doc_id", "ids"]
     ranged = encoded.repartitionByRange(partitions, "doc_id") if partitions else encoded.repartitionByRange("doc_id")
-    ranged.sortWithinPartitions(*order).mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    ranged.sortWithinPartitions(*order).mapInArrow(tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -249,6 +256,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     freq[model["id"]] = model["freq"]
 
     def run(batches):
+        word_encoder.cache_clear()
         coder = rans.Coder(freq)
         for b in batches:
             for lo in range(0, b.num_rows, SIDE_BY_SIDE):
@@ -265,7 +273,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     # one row per written part: as many as tasks that wrote the store
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    rows = blocks.select("part", "first", "doc_ids", "doc_lens", "payload").mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids binary")
+    rows = blocks.select("part", "first", "doc_ids", "doc_lens", "payload").mapInArrow(tidy(run), "doc_id long, part int, at long, n_tokens long, ids binary")
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 

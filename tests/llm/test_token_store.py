@@ -80,3 +80,19 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         for x in TEXTS:
             ids, cut = e.encode(pa.array([x], pa.string()), 1)
             assert ids.astype("<u4").tobytes() == expected([x], [1])[0] and cut.tolist() == [0, len(ids)]
+
+
+def test_special_tokens_are_looked_for_once_a_slice():
+    import pyarrow as pa
+
+    encoder = S.WordEncoder(PATH)
+    seen, find = [], encoder.special
+    encoder.special = lambda x: seen.append(len(x)) or find(x)
+    plain = [" ".join(f"word{chr(97 + k % 26)}{k} Abc{chr(97 + k % 26)}x" for k in range(700)), "Hello"]
+    marked = ["Hello a<|ENDOFTEXT|>b a<|endoftext|>b worda0"]
+    own = Tokenizer.from_file(PATH)
+    for texts in (plain, marked, plain):
+        ids, cut = encoder.encode(pa.array(texts), None)
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        assert texts is not plain or len(seen) == 1     # one search of the slice, none of its words
+        seen.clear()
