@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.staging import staged
 from keelson.llm.text import NOT_ALNUM, list_array, slices, word_hashes, words
+from keelson.llm.workers import tidy
 
 BUCKETS = 1 << 18
 PASSAGE, STRIDE = 32, 16
@@ -77,7 +78,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             total[BUCKETS] += np.count_nonzero(w.count)
         yield _vectors(np.split(np.concatenate([total[:BUCKETS].reshape(_PARTS, -1), total[BUCKETS:, None]], 1).ravel(), _PARTS))
 
-    got = _summed(docs.select("text").mapInArrow(run, "part int, values binary"), np.int64)
+    got = _summed(docs.select("text").mapInArrow(tidy(run), "part int, values binary"), np.int64)
     whole = np.stack([got[p] for p in range(_PARTS)]) if got else np.zeros((_PARTS, BUCKETS // _PARTS + 1), np.int64)
     return whole[:, :-1].ravel(), int(whole[:, -1].sum())
 
@@ -217,7 +218,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                 [b.column("doc_id").take(pa.array(got, pa.int64())), list_array(pa.array([i for x in lists for i in x], pa.int64()), cut), pa.array([max(hits[r].values()) for r in got], pa.float64())],
                 ["doc_id", "items", "share"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>, share double")
+    return docs.mapInArrow(tidy(run), "doc_id long, items array<long>, share double")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.text import slices, text_bytes
+from keelson.llm.workers import give_back, tidy
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -89,7 +90,7 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(seen), pa.string()), pa.array(seen), pa.array(v[seen])], ["lang", "bucket", "n"])
 
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    return rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -135,7 +136,7 @@ def floors(docs: DataFrame, model: Model) -> dict[str, float]:
 
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     seen: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.mapInArrow(run, "lang string, step long").groupBy("lang", "step").count().sort("lang", "step").collect():
+    for r in rows.mapInArrow(tidy(run), "lang string, step long").groupBy("lang", "step").count().sort("lang", "step").collect():
         seen.setdefault(r["lang"], []).append((r["step"], r["count"]))
     out = {}
     for lang, steps in seen.items():
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = shared.value.predict(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def likely(docs: DataFrame, model: Model, score: float, floor: dict[str, float] | None = None) -> DataFrame:
@@ -185,6 +186,7 @@ def likely(docs: DataFrame, model: Model, score: float, floor: dict[str, float]
         for b in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", SMALL_SLICE):
             lang, p, mean = shared.value.measure(b.column("text"))
             out += [x != UNKNOWN and y >= score and m >= floor.get(x, LEAST) for x, y, m in zip(lang, p.tolist(), mean.tolist())]
+        give_back()
         return pa.array(out, pa.bool_())
 
     return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))

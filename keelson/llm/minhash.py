@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from keelson.llm.components import components
 from keelson.llm.staging import staged
 from keelson.llm.text import long_array, mix, shingles, slices, word_hashes, words
+from keelson.llm.workers import tidy
 
 BANDS, ROWS = 32, 5
 BLOCK = 256
@@ -88,7 +89,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), long_array(keys.ravel()))],
                 ["doc_id", "n_shingles", "set_a", "set_b", "signature", "keys"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(tidy(run), SIGNED)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             s = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("s_u", "s_v")]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(_agree(*s) >= floor))
 
-    return both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "s_u", "s_v").mapInArrow(tidy(run), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,7 +128,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             union = np.diff(cu) + np.diff(cv) - both
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array((100 * both >= percent * union) & (both > 0)))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(tidy(run), "u long, v long")
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +189,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield out
 
-    return spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long").distinct()
+    return spread.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:

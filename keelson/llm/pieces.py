@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.text import mix, slices, text_bytes
+from keelson.llm.workers import tidy
 
 SHIFT = 10.0
 SHARPNESS = 1.0
@@ -276,7 +277,7 @@ def encode(docs: DataFrame, path: str, *, seed: int = 0, sharpness: float = SHAR
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id").alias("key"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
