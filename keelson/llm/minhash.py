@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.components import components
-from keelson.llm.staging import staged
+from keelson.llm.staging import release, staged
 from keelson.llm.text import long_array, mix, shingles, slices, word_hashes, words
 from keelson.llm.workers import tidy
 
@@ -204,16 +204,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     bucket = staged(keyed.join(shared, "key"), "bucket_members")
+    release(docs.sparkSession)
     texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi")
 
     star = bucket.filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
     links = staged(confirmed(alike(star, reps, percent), texts, size, percent), "links")
+    release(docs.sparkSession)          # shuffle files of the steps so far
     first = components(links)
 
     placed = bucket.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
     rest = placed.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n_shingles", "signature", "keys"), "doc_id")
     more = staged(confirmed(across(rest.select("key", "n", "doc_id", "component", "n_shingles", "signature", "keys"), percent), texts, size, percent), "more_links")
+    release(docs.sparkSession)
     # classes that share a repeated doc_id are one document
     least = member.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("v"))
     ties = member.join(least, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")

@@ -56,3 +56,13 @@ def test_null_ids_repeats_and_empty(spark, docs):
     by = {(r.doc_id, r.kept) for r in out}
     assert by == {(None, True), (3, True), (5, False), (7, True)} and len(out) == 5
     assert M.near_duplicates(docs((1, "a")).limit(0)).collect() == []
+
+
+def test_shuffle_files_are_released_between_steps(spark, docs, monkeypatch):
+    from keelson.llm import minhash
+
+    calls = []
+    monkeypatch.setattr(minhash, "release", lambda s: calls.append(s))
+    words = " ".join(f"w{k}" for k in range(60))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs((1, words), (2, words + " end"), (3, "other"))).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and calls == [spark] * 3
