@@ -17,6 +17,7 @@ from keelson.queries.catalog import query
 from keelson.queries.radar import GATED, _kept
 from keelson.queries.sectors import SC, scored
 from keelson.queries.vision import PAIRS, detections
+from keelson.session import cut_lineage
 
 CLUSTER = GATED + """, lab AS (SELECT clip_id, frame_index, point_id AS root, point_id FROM kept UNION SELECT l.clip_id, l.frame_index, l.root, q.point_id FROM lab l JOIN kept p ON p.clip_id = l.clip_id AND p.frame_index = l.frame_index AND p.point_id = l.point_id
  JOIN kept q ON q.clip_id = p.clip_id AND q.frame_index = p.frame_index AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) <= 1),
@@ -27,9 +28,13 @@ def clustered(spark, sf):
     return K.cluster_points(R.with_polar(_kept(spark, sf)))
 
 
+def observed(spark, sf):
+    return K.cluster_observations(R.with_polar(_kept(spark, sf)))
+
+
 @query("A13_A14_clusters", "fx_radar", sql=CLUSTER + """ SELECT clip_id, frame_index, cluster_id, count(*) AS n_points, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) AS cy, round(median((x * vx + y * vy) / sqrt(x*x + y*y)), 6) + 0.0 AS v_radial FROM cl JOIN pol USING (clip_id, frame_index, point_id) GROUP BY 1, 2, 3""")
 def clusters(spark, sf):
-    return tidy(K.observations(clustered(spark, sf)))
+    return tidy(observed(spark, sf))
 
 
 def fold_sql(name: str, source: str, keys: str, order: str, frame: str, state: str, step: str) -> str:
@@ -88,7 +93,7 @@ MOTION_COLS = ", ".join(f"round({x} + {HALF}, 4) + 0.0 AS {n}" for x, n in (
 
 
 def targets(spark, sf):
-    return K.track_targets(K.observations(clustered(spark, sf)), R.frame_counts(view(spark, sf, "fx_radar")))
+    return K.track_targets(observed(spark, sf), R.frame_counts(view(spark, sf, "fx_radar")))
 
 
 def four(*names):
@@ -120,7 +125,8 @@ yf AS (SELECT *, lag(ego) OVER (PARTITION BY clip_id, stretch, track_id ORDER BY
 tr AS (SELECT *, sum(CASE WHEN was <> ego THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, stretch, track_id ORDER BY t_ms) AS fit FROM yf)""" + motion_sql("stable", "clip_id, stretch, track_id, fit") + f"""
 SELECT clip_id, stretch, frame_index, track_id, ego AS ego_corrected, {MOTION_COLS} FROM mo WHERE hits >= 3""")
 def stabilised_motion(spark, sf):
-    t = targets(spark, sf)
+    # read twice: once for its frames
+    t = cut_lineage(targets(spark, sf))
     yaw = view(spark, sf, "fx_imu").select("clip_id", "t_ms", "yaw")
     near = nearest_asof(t.select("clip_id", "frame_index", "t_ms").distinct(), yaw, ["clip_id"], t="t_ms", payload=["yaw"], max_age=300.0, side="backward")
     d = K.motion_fields(t.join(near.select("clip_id", "frame_index", "yaw"), ["clip_id", "frame_index"]), yaw="yaw")
@@ -272,9 +278,11 @@ def identity(spark, sf):
     b = camera_boxes(spark, sf)
     # one camera id per recording: stretch and track together
     cid = (F.col("stretch") * 1_000_000 + F.col("track_id")).cast("bigint")
-    cams = K.track_boxes(b).select("clip_id", "frame_index", "box_id", cid.alias("camera_id")).join(b.select("clip_id", "frame_index", "box_id", "angle_deg"), ["clip_id", "frame_index", "box_id"])
-    cl = clustered(spark, sf)
+    # what several steps read is worked out once
+    cams = cut_lineage(K.track_boxes(b).select("clip_id", "frame_index", "box_id", cid.alias("camera_id")).join(b.select("clip_id", "frame_index", "box_id", "angle_deg"), ["clip_id", "frame_index", "box_id"]))
+    cl = cut_lineage(clustered(spark, sf))
     trk = K.track_targets(K.observations(cl), R.frame_counts(view(spark, sf, "fx_radar"))).withColumn("track_id", (F.col("stretch") * 1_000_000 + F.col("track_id")).cast("bigint"))
+    trk = cut_lineage(trk)
     pts = cl.select("clip_id", "frame_index", "point_id", "cluster_id").join(trk.select("clip_id", "frame_index", "cluster_id", "track_id"), ["clip_id", "frame_index", "cluster_id"])
     m = AS.box_gate(detections(spark, sf), AS.projected(_kept(spark, sf))).select("clip_id", "frame_index", F.col("det_id").alias("box_id"), "point_id")
     m = m.join(cams.select("clip_id", "frame_index", "box_id", "camera_id"), ["clip_id", "frame_index", "box_id"])
