@@ -14,7 +14,8 @@ from keelson.operators import evaluate as E
 from keelson.operators.sectors import wrap_deg
 from keelson.params import GRID, THERMAL, BinGrid
 from keelson.plans.ordered import SLICE, nearest_asof, scan, time_slices
-from keelson.plans.quantiles import with_quantiles
+from keelson.plans.quantiles import exact_quantiles, with_quantiles
+from keelson.session import cut_lineage
 
 FRAME = ["clip_id", "frame_index"]
 DOPPLER_BIN = 0.1217
@@ -395,27 +396,30 @@ def attitude_mapping(pairs: DataFrame) -> DataFrame:
     """The eight axis-swap and sign mappings of sensor pitch/roll against a reference:
     correlations about the medians, offsets and residual spread.  ``pairs``: ref_pitch,
     ref_roll, imu_pitch, imu_roll (radians)."""
-    combos = F.array(*[F.struct(F.lit(sw).alias("swap"), F.lit(sp).alias("sign_pitch"), F.lit(sr).alias("sign_roll"))
-                       for sw in (False, True) for sp in (1.0, -1.0) for sr in (1.0, -1.0)])
-    keys = ["swap", "sign_pitch", "sign_roll"]
-    d = pairs.withColumn("c", F.explode(combos))
-    p = F.col("c.sign_pitch") * F.when(F.col("c.swap"), F.col("imu_roll")).otherwise(F.col("imu_pitch"))
-    r = F.col("c.sign_roll") * F.when(F.col("c.swap"), F.col("imu_pitch")).otherwise(F.col("imu_roll"))
-    d = d.select("c.*", "ref_pitch", "ref_roll", p.alias("mp"), r.alias("mr"))
-    four = ("ref_pitch", "ref_roll", "mp", "mr")
-    med = with_quantiles(d.groupBy(*keys).agg(*[F.stddev_pop(c).alias(f"{c}_s") for c in four]), d, keys, {f"{c}_m": (F.col(c), 0.5) for c in four})
-    j = d.join(F.broadcast(med), keys)      # eight rows by construction
-
-    def corr(a, b):
-        cov = F.avg((F.col(a) - F.col(f"{a}_m")) * (F.col(b) - F.col(f"{b}_m")))
-        sa, sb = F.first(f"{a}_s"), F.first(f"{b}_s")
-        return F.when((sa < 1e-9) | (sb < 1e-9), 0.0).otherwise(cov / (sa * sb))
-
-    g = j.groupBy(*keys).agg(
-        F.count("*").alias("n"), corr("ref_pitch", "mp").alias("corr_pitch"), corr("ref_roll", "mr").alias("corr_roll"),
-        F.stddev_pop(F.col("ref_pitch") - F.col("mp")).alias("resid_pitch"), F.stddev_pop(F.col("ref_roll") - F.col("mr")).alias("resid_roll")).withColumn(
-        "score", F.col("corr_pitch") + F.col("corr_roll"))
-    return with_quantiles(g, d, keys, {"offset_pitch": (F.col("ref_pitch") - F.col("mp"), 0.5), "offset_roll": (F.col("ref_roll") - F.col("mr"), 0.5)})
+    refs, imus, signs = ("ref_pitch", "ref_roll"), ("imu_pitch", "imu_roll"), (1.0, -1.0)
+    axes = [(a, b) for a in refs for b in imus]
+    # a sign only turns a median, a covariance or a residual's partner round: the rows are not copied for the eight
+    rest = {(a, b, s): F.col(a) - s * F.col(b) for a, b in axes for s in signs}
+    label = lambda kind, a, b, s=0.0: f"{kind}_{a}_{b}_{int(s)}"
+    med = cut_lineage(exact_quantiles(pairs, [], {f"{c}_m": (F.col(c), 0.5) for c in refs + imus} | {label("offset", *k): (c, 0.5) for k, c in rest.items()}))
+    j = pairs.join(F.broadcast(med.select(*[f"{c}_m" for c in refs + imus])))      # one row
+    one = j.agg(
+        F.count("*").alias("n"), *[F.stddev_pop(c).alias(f"{c}_s") for c in refs + imus],
+        *[F.avg((F.col(a) - F.col(f"{a}_m")) * (F.col(b) - F.col(f"{b}_m"))).alias(label("cov", a, b)) for a, b in axes],
+        *[F.stddev_pop(c).alias(label("resid", *k)) for k, c in rest.items()]).filter("n > 0").join(F.broadcast(med))
+
+    def corr(a, b, s):
+        sa, sb = F.col(f"{a}_s"), F.col(f"{b}_s")
+        return F.when((sa < 1e-9) | (sb < 1e-9), 0.0).otherwise(s * F.col(label("cov", a, b)) / (sa * sb))
+
+    def mapped(swap, sp, sr):
+        pitch, roll = ("ref_pitch", imus[swap], sp), ("ref_roll", imus[not swap], sr)
+        return F.struct(
+            F.lit(swap).alias("swap"), F.lit(sp).alias("sign_pitch"), F.lit(sr).alias("sign_roll"), F.col("n").alias("n"), corr(*pitch).alias("corr_pitch"), corr(*roll).alias("corr_roll"),
+            F.col(label("resid", *pitch)).alias("resid_pitch"), F.col(label("resid", *roll)).alias("resid_roll"), (corr(*pitch) + corr(*roll)).alias("score"),
+            F.col(label("offset", *pitch)).alias("offset_pitch"), F.col(label("offset", *roll)).alias("offset_roll"))
+
+    return one.select(F.explode(F.array(*[mapped(sw, sp, sr) for sw in (False, True) for sp in signs for sr in signs])).alias("c")).select("c.*")
 
 
 THERMAL_FOV = ((0 - THERMAL.lin_cx) / THERMAL.px_per_deg, (THERMAL.width - 1 - THERMAL.lin_cx) / THERMAL.px_per_deg)

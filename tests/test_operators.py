@@ -244,3 +244,25 @@ def test_polygons_of_one_size_go_by_id(spark):
     dets = spark.createDataFrame([("c", k, k, 105.0 + 7 * k, 321.0 + k, 10) for k in n], "clip_id string, frame_index long, det_id long, u double, v double, size int")
     got = AS.cover_polygon(dets, AS.polygon_table(polys)).collect()
     assert {r.det_id: r.poly_id for r in got} == {k: 1 for k in n}
+
+
+def test_attitude_mapping_does_not_copy_rows(spark, monkeypatch):
+    import statistics
+
+    from keelson.operators import reports
+    rows = [(0.1 * ((7 * i) % 11), 0.2 * ((5 * i) % 13), 0.3 * ((3 * i) % 17), 0.1 * ((9 * i) % 19)) for i in range(40)]
+    d = spark.createDataFrame(rows, "ref_pitch double, ref_roll double, imu_pitch double, imu_roll double")
+    ranked = []
+    exact = reports.exact_quantiles
+    monkeypatch.setattr(reports, "exact_quantiles", lambda df, *a, **k: (ranked.append(df.count()), exact(df, *a, **k))[1])
+    got = reports.attitude_mapping(d).collect()
+    assert len(got) == 8 and ranked == [40]
+    for r in got:
+        mp = [r.sign_pitch * (x[3] if r.swap else x[2]) for x in rows]
+        mr = [r.sign_roll * (x[2] if r.swap else x[3]) for x in rows]
+        for ref, m, corr, off, resid in (([x[0] for x in rows], mp, r.corr_pitch, r.offset_pitch, r.resid_pitch), ([x[1] for x in rows], mr, r.corr_roll, r.offset_roll, r.resid_roll)):
+            a, b = statistics.median(ref), statistics.median(m)
+            cov = statistics.fmean((x - a) * (y - b) for x, y in zip(ref, m))
+            gap = [x - y for x, y in zip(ref, m)]
+            assert corr == pytest.approx(cov / (statistics.pstdev(ref) * statistics.pstdev(m))) and off == pytest.approx(statistics.median(gap)) and resid == pytest.approx(statistics.pstdev(gap))
+    assert reports.attitude_mapping(d.filter("ref_pitch > 99")).count() == 0
