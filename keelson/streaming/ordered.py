@@ -22,62 +22,69 @@ IDLE_S = 600.0
 
 class InOrder(StatefulProcessor):
     """``step(state, row)`` takes the state (a dict that JSON can hold, empty at first) and a row as
-    a dict, changes the state and returns the output values behind the key, or None."""
+    a dict, changes the state and returns the output values behind the key, or None.  Everything of a
+    group is one value: it is read and written once a call, and one timer is pending at most."""
 
-    def __init__(self, step: Callable[[dict, dict], tuple | None], keys: Sequence[str], fields: Sequence[str], kinds: str, order: Sequence[str], names: Sequence[str], idle_ms: int):
-        self.step, self.keys, self.fields, self.kinds, self.order, self.names, self.idle_ms = step, keys, fields, kinds, order, names, idle_ms
+    def __init__(self, step: Callable[[dict, dict], tuple | None], inner: Sequence[str], fields: Sequence[str], order: Sequence[str], names: Sequence[str], idle_ms: int):
+        self.step, self.inner, self.fields, self.order, self.names, self.idle_ms = step, inner, fields, order, names, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "value string")
-        self.held = handle.getListState("held", self.kinds)
 
-    def advance(self, key, fresh: list[tuple], watermark: int) -> pd.DataFrame:
-        waiting = (list(self.held.get()) if self.held.exists() else []) + fresh
-        rows = sorted((dict(zip(self.fields, r)) for r in waiting), key=lambda r: tuple(r[c] for c in self.order))
-        ready = [r for r in rows if r["at_ms"] <= watermark]
+    def advance(self, key, fresh: list[list], watermark: int, fired: int | None) -> pd.DataFrame:
+        value = self.state.get()
+        saved = json.loads(value[0]) if value else {"own": {}, "held": [], "timer": None}
+        if fired is not None and fired == saved["timer"]:
+            saved["timer"] = None
+        rows = sorted((dict(zip(self.fields, r)) for r in saved["held"] + fresh), key=lambda r: tuple(r[c] for c in self.order))
         later = [r for r in rows if r["at_ms"] > watermark]
-        saved = json.loads(self.state.get()[0]) if self.state.exists() else {"last": None, "own": {}}
-        out = []
-        for r in ready:
-            made = self.step(saved["own"], r)
-            saved["last"] = r["at_ms"]
-            if made is not None:
-                out.append((*key, *made))
-        if later:
-            self.held.put([tuple(r[c] for c in self.fields) for r in later])
-            self.handle.registerTimer(later[0]["at_ms"])
-        elif waiting:
-            self.held.clear()
-        if saved["last"] is not None:
-            if not later and saved["last"] + self.idle_ms <= watermark:
-                self.state.clear()
-            elif ready:
-                self.state.update((json.dumps(saved),))
-                self.handle.registerTimer(saved["last"] + self.idle_ms)
+        own, out = saved["own"], []
+        for r in rows:
+            if r["at_ms"] <= watermark:
+                inner = [r[c] for c in self.inner]
+                mine = own.setdefault(json.dumps(inner), {"own": {}})
+                made = self.step(mine["own"], r)
+                mine["last"] = r["at_ms"]
+                if made is not None:
+                    out.append((*key, *inner, *made))
+        busy = {json.dumps([r[c] for c in self.inner]) for r in later}
+        saved["own"] = {k: v for k, v in own.items() if k in busy or v["last"] + self.idle_ms > watermark}
+        saved["held"] = [[r[c] for c in self.fields] for r in later]
+        wake = [r["at_ms"] for r in later[:1]] + [v["last"] + self.idle_ms for k, v in saved["own"].items() if k not in busy]
+        if wake:
+            if saved["timer"] is None or min(wake) < saved["timer"]:
+                if saved["timer"] is not None:
+                    self.handle.deleteTimer(saved["timer"])
+                saved["timer"] = min(wake)
+                self.handle.registerTimer(saved["timer"])
+            self.state.update((json.dumps(saved),))
+        elif value:
+            self.state.clear()
         return pd.DataFrame(out, columns=self.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [r for pdf in rows for r in pdf[self.fields].astype(object).where(pdf[self.fields].notna(), None).itertuples(index=False, name=None)]
-        yield self.advance(key, fresh, timerValues.getCurrentWatermarkInMs())
+        fresh = [list(r) for pdf in rows for r in pdf[self.fields].astype(object).where(pdf[self.fields].notna(), None).itertuples(index=False, name=None)]
+        yield self.advance(key, fresh, timerValues.getCurrentWatermarkInMs(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield self.advance(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def in_order(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, dict], tuple | None], out: str, *, time: str = "ts", idle_s: float = IDLE_S) -> DataFrame:
+def in_order(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, dict], tuple | None], out: str, *, within: int = 0, time: str = "ts", idle_s: float = IDLE_S) -> DataFrame:
     """Applies ``step`` to the rows of every key in ``order`` (which follows ``time``, a column
-    with a watermark).  ``out`` is the schema of keys and step results."""
-    keys, rest = list(keys), [c for c in stream.columns if c not in keys and c != time]
-    rows = stream.select(*keys, *rest, F.unix_millis(F.col(time)).alias("at_ms"), time)
-    fields = [*rest, "at_ms"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in fields)
+    with a watermark).  ``out`` is the schema of keys and step results.  Keys that differ only in the
+    last ``within`` columns are kept together (few and bounded: the bins of a recording); columns
+    are numbers, texts and booleans."""
+    outer, inner = list(keys)[:len(keys) - within], list(keys)[len(keys) - within:]
+    rest = [c for c in stream.columns if c not in outer and c != time]
+    rows = stream.select(*outer, *rest, F.unix_millis(F.col(time)).alias("at_ms"), time)
     names = [x.split()[0] for x in out.split(", ")]
-    machine = InOrder(step, keys, fields, kinds, [*order, "at_ms"], names, int(idle_s * 1000))
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=machine, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    machine = InOrder(step, inner, [*rest, "at_ms"], [*order, "at_ms"], names, int(idle_s * 1000))
+    return rows.groupBy(*outer).transformWithStateInPandas(statefulProcessor=machine, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def persisted(tau: float = 2.0, gap_s: float = 5.0) -> Callable[[dict, dict], tuple]:

@@ -10,6 +10,7 @@ from keelson.streaming import groups as G
 from keelson.streaming import landing as L
 from keelson.streaming import live as X
 from keelson.streaming import ordered as O
+from keelson.streaming import records as LR
 
 
 def point(second, x, y):
@@ -105,3 +106,47 @@ def test_large_landings_are_cut_into_files(spark, monkeypatch):
     got = {(r["batch_id"], r["tick"]): (r["n"], r["files"]) for r in out.collect()}
     assert {k: n for k, (n, _) in got.items()} == {(0, 0): 450, (1, 1): 3, (2, 2): 450}
     assert got[0, 0][1] == got[2, 2][1] == 5
+
+
+def test_bins_kept_together_give_what_they_give_apart(spark):
+    """Two bins in one state, one of them silent long enough to be forgotten."""
+    rows = [("k", b, f, f * 1000, ((f * 37 + b) % 10) / 10) for b in range(2) for f in range(60) if b or not 10 < f < 50]
+    df = spark.createDataFrame(rows, "k string, b long, f long, t long, p double").withColumn("ts", F.timestamp_millis(F.lit(10**12) + F.col("t")))
+    tick = F.floor(F.col("t") / 10_000).cast("int") + (F.col("f") % 7 == 3).cast("int")
+    count = lambda state, row: (state.setdefault("seen", []).append(row["f"]) or len(state["seen"]),)
+    step = O.both(O.persisted(gap_s=100.0), count, carry=["f"])
+
+    def run(name, **kw):
+        stream = L.land(df, tick, 7, heartbeat="ts").withWatermark("ts", "11 seconds").select("k", "b", "f", "p", "ts")
+        out = O.in_order(stream, ["k", "b"], ["f"], step, "k string, b long, f long, y double, n long", idle_s=5.0, **kw)
+        return sorted(tuple(r) for r in L.run_to_table(out, name).filter("k = 'k'").collect())
+
+    apart = run("apart")
+    assert run("together", within=1) == apart and len(apart) == len(rows)
+    assert {r[2]: r[4] for r in apart if r[1] == 0}[50] == 1                         # bin 0 began anew after its silence
+
+
+def test_landing_works_rows_out_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        n.add(1)
+        return k
+
+    rows = spark.range(50).select(F.udf(seen, "long")("id").alias("id"))
+    out = L.run_to_table(L.land(rows, F.pmod("id", F.lit(5)), 5), "once")
+    assert out.count() == 50 and n.value <= 100
+
+
+def test_samples_are_looked_up_by_slices_of_time(spark):
+    frames = [("a", t) for t in range(0, 60_000, 700)] + [("b", 500)]
+    samples = [("a", t) for t in range(0, 40_000, 1000)]
+    stamp = lambda d: d.withColumn("ts", F.timestamp_millis(F.lit(10**12) + F.col("t")))
+    left = L.land(stamp(spark.createDataFrame(frames, "clip_id string, t long")), F.lit(0), 1, heartbeat="ts").withWatermark("ts", "10 seconds").drop("t")
+    right = L.land(stamp(spark.createDataFrame(samples, "s_clip string, t long")), F.lit(0), 1, heartbeat="ts")
+    right = right.select("s_clip", F.col("ts").alias("sample_ts"), F.col("t").alias("result_id")).withWatermark("sample_ts", "10 seconds")
+    out = LR.freshest(left, right, ["clip_id"])
+    assert "__s_slice" in out._jdf.queryExecution().analyzed().toString()            # state of a row is that of a slice, not of its recording
+    got = {(r.clip_id, r.t): r.result_id for r in L.run_to_table(out, "near").filter("clip_id <> ''").select("clip_id", (F.unix_millis("ts") - 10**12).alias("t"), "result_id").collect()}
+    near = lambda c, t: max([s for k, s in samples if k == c and t - 2000 <= s <= t], default=None)
+    assert got == {(c, t): near(c, t) for c, t in frames}
