@@ -37,8 +37,14 @@ def newest_within(frames: DataFrame, samples: DataFrame, picks: list[Column], ke
     """Frames with aggregates (``picks``) of the samples of the same recording that are at most
     ``reach_s`` old; a frame without any is kept.  ``samples``: s_clip, ``sample_time`` and a
     payload.  Both sides have a watermark on their times; ``keys`` identify a frame beside ts."""
-    near = F.expr(f"s_clip = clip_id AND {sample_time} <= ts AND {sample_time} >= ts - INTERVAL {reach_s} SECONDS")
-    joined = frames.join(samples, near, "left_outer")
+    # state is looked up by recording and slice of time, so a row meets what is near it and not its whole
+    # recording; a sample is in reach of frames of its slice and of the next
+    width = round(reach_s * 1e6)
+    frame_slice, first = F.floor(F.unix_micros("ts") / width), F.floor(F.unix_micros(sample_time) / width)
+    left = frames.withColumn("__slice", frame_slice)
+    right = samples.withColumn("__s_slice", F.explode(F.array(first, first + 1)))
+    near = F.expr(f"s_clip = clip_id AND __s_slice = __slice AND {sample_time} <= ts AND {sample_time} >= ts - INTERVAL {reach_s} SECONDS")
+    joined = left.join(right, near, "left_outer").drop("__slice", "__s_slice")
     # as plain numbers the sample times carry no second watermark into the aggregate
     age = (F.unix_micros("ts") - F.unix_micros(sample_time)) / 1e6
     plain = joined.withColumn("age_s", age).withColumn("sample_ms", F.unix_millis(sample_time)).drop("s_clip", sample_time)
@@ -126,7 +132,7 @@ def live_bins(detections: DataFrame, points: DataFrame, attitude: DataFrame, ang
     bins = bins.select("clip_id", *[c for c in CARRIED if c not in ("roll", "pitch", "yaw")], *[F.col(f"attitude.{c}").alias(c) for c in ("roll", "pitch", "yaw")], "bin_index", "ts",
                        (F.col("hit_fisheye") + F.col("hit_thermal") + F.col("hit_mmwave") > 1).alias("hit"))
     out = "clip_id string, bin_index long, " + ", ".join(f"{c} {t}" for c, t in CARRIED.items()) + ", p_smooth double, confirmed boolean"
-    return in_order(bins, ["clip_id", "bin_index"], ["frame_index"], both(persisted(), confirmed(), carry=list(CARRIED)), out, idle_s=live.idle_s)
+    return in_order(bins, ["clip_id", "bin_index"], ["frame_index"], both(persisted(), confirmed(), carry=list(CARRIED)), out, within=1, idle_s=live.idle_s)
 
 
 RECORD = {"centers": "bin_center_deg", "scores": "score", "min_range_m": "min_range_m", "closing_mps": "closing_mps", "ttc_s": "ttc_s", "hit_fisheye": "hit_fisheye", "hit_thermal": "hit_thermal",
