@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import motion as M
 from keelson.params import GATE, GRID, MOTION, BinGrid, Motion, RadarGate
-from keelson.plans.joins import checked_join, near_pairs
-from keelson.plans.matching import greedy_match
+from keelson.plans.joins import checked_join
+from keelson.plans.stateful import ordered_map
 
 FRAME = ["clip_id", "frame_index"]
 
@@ -55,25 +56,45 @@ def with_polar(points: DataFrame, grid: BinGrid = GRID) -> DataFrame:
     })
 
 
-def match_consecutive(points: DataFrame, frames: DataFrame, motion: Motion = MOTION) -> DataFrame:
+class _NearestMatch:
+    """Greedy one-to-one matching of each frame with the one before it, for one block."""
+
+    def __init__(self, motion: Motion):
+        self.motion, self.last = motion, None
+
+    def step(self, rows: dict) -> list[tuple]:
+        frame, prev = rows["frame_index"][0], self.last
+        self.last = rows
+        if prev is None or prev["frame_index"][0] + 1 != frame:
+            return []
+        dt = (rows["t_ms"][:, None] - prev["t_ms"][None, :]) / 1000.0
+        dx, dy = rows["x"][:, None] - prev["x"][None, :], rows["y"][:, None] - prev["y"][None, :]
+        dist = np.sqrt(dx * dx + dy * dy)
+        i, j = np.nonzero((dist <= self.motion.gate_m) & (dt > 0) & (dt <= self.motion.max_dt_s))
+        left, right, near = rows["point_id"][i], prev["point_id"][j], dist[i, j]
+        used, taken, out = set(), set(), []
+        for k in np.lexsort((right, left, near)).tolist():
+            a, b = int(left[k]), int(right[k])
+            if a not in used and b not in taken:
+                used.add(a)
+                taken.add(b)
+                at = i[k], j[k]
+                out.append((rows["clip_id"][0], int(frame), a, b, float(near[k]), float(dx[at] / dt[at]), float(dy[at] / dt[at])))
+        return out
+
+
+def match_consecutive(points: DataFrame, motion: Motion = MOTION, block: int = 256) -> DataFrame:
     """Velocity by one-to-one nearest matching with the previous frame.
 
-    ``frames`` gives (clip, frame, t_ms) of every frame; a frame later than
-    ``max_dt_s`` after its predecessor starts afresh.  Greedy, cheapest pair first,
-    ties by point ids.  Frames are bounded by the count gate.
-    """
-    dt = (F.col("t_ms") - F.col("p_t")) / F.lit(1000.0)
-    prev = points.select("clip_id", (F.col("frame_index") + 1).alias("frame_index"),
-                         F.col("point_id").alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py"),
-                         F.col("t_ms").alias("p_t"))
-    cur = points.select(*FRAME, "point_id", "x", "y", "t_ms")
-    pairs = near_pairs(cur, prev, FRAME, radius=motion.gate_m, lxy=("x", "y"), rxy=("px", "py"))
-    pairs = pairs.withColumn("dt_s", dt).filter((F.col("dt_s") > 0) & (F.col("dt_s") <= motion.max_dt_s))
-    won = greedy_match(pairs, FRAME, "point_id", "p_id", [F.col("dist")], bounded=True)
-    return pairs.join(won, FRAME + ["point_id", "p_id"]).select(
-        *FRAME, "point_id", "p_id", "dist",
-        ((F.col("x") - F.col("px")) / F.col("dt_s")).alias("trk_vx"),
-        ((F.col("y") - F.col("py")) / F.col("dt_s")).alias("trk_vy"))
+    A point later than ``max_dt_s`` after its partner starts afresh.  Greedy, cheapest pair
+    first, ties by point ids.  Points are shuffled once, by blocks of frames; the last frame of a
+    block goes along with the next one too.  Frames are bounded by the count gate."""
+    f = F.col("frame_index")
+    own = F.floor(f / block)
+    at = F.when(F.pmod(f, F.lit(block)) == block - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    p = points.select(*FRAME, "point_id", "x", "y", "t_ms", F.explode(at).alias("__block"))
+    return ordered_map(p, ["clip_id", "__block"], "frame_index", ["point_id"], lambda: _NearestMatch(motion),
+                       "clip_id string, frame_index long, point_id long, p_id long, dist double, trk_vx double, trk_vy double")
 
 
 def coalesce_velocity(points: DataFrame, tracked: DataFrame) -> DataFrame:

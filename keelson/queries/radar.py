@@ -127,8 +127,7 @@ u AS (SELECT clip_id, frame_index, unnest(won) AS w FROM m)
 SELECT pr.clip_id, pr.frame_index, pr.point_id, pr.p_id, round(d, 6) AS dist, round(vx, 6) + 0.0 AS trk_vx, round(vy, 6) + 0.0 AS trk_vy
 FROM pr JOIN u ON pr.clip_id = u.clip_id AND pr.frame_index = u.frame_index AND pr.point_id = u.w.l AND pr.p_id = u.w.r""")
 def point_matching(spark, sf):
-    raw = view(spark, sf, "fx_radar")
-    m = R.match_consecutive(_kept(spark, sf), R.frame_counts(raw))
+    m = R.match_consecutive(_kept(spark, sf))
     return m.select(*R.FRAME, "point_id", "p_id", F.round("dist", 6).alias("dist"), r6("trk_vx"), r6("trk_vy"))
 
 
@@ -138,6 +137,6 @@ SELECT CASE WHEN d AND t THEN 'mixed' WHEN d THEN 'doppler' ELSE 'tracker' END A
 def velocity_provenance(spark, sf):
     kept = _kept(spark, sf)
     polar = R.with_polar(kept)
-    both = R.coalesce_velocity(polar, R.match_consecutive(kept, R.frame_counts(kept)))
+    both = R.coalesce_velocity(polar, R.match_consecutive(kept))
     src = R.velocity_source(both)
     return src.groupBy("velocity_source").agg(F.count("*").alias("n_frames"))

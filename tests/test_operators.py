@@ -12,6 +12,7 @@ from keelson.functions import geometry as G
 from keelson.operators import association as AS
 from keelson.operators import boxes as B
 from keelson.operators import curation as C
+from keelson.operators import radar as R
 from keelson.operators import sectors as S
 from keelson.operators import smoothing as SM
 from keelson.operators import tracking as K
@@ -266,3 +267,22 @@ def test_attitude_mapping_does_not_copy_rows(spark, monkeypatch):
             gap = [x - y for x, y in zip(ref, m)]
             assert corr == pytest.approx(cov / (statistics.pstdev(ref) * statistics.pstdev(m))) and off == pytest.approx(statistics.median(gap)) and resid == pytest.approx(statistics.pstdev(gap))
     assert reports.attitude_mapping(d.filter("ref_pitch > 99")).count() == 0
+
+
+def test_consecutive_matching_shuffles_points_once(spark):
+    """Frames in blocks of four, a missing frame and a late one, against brute force."""
+    rows = [("a", f, 100 * f + (900 if f > 12 else 0), 10 * f + k, (k * 37 + f * 11) % 23 / 10, (k * 29 + f * 7) % 19 / 10) for f in range(20) if f != 6 for k in range(9)]
+    points = spark.createDataFrame(rows, "clip_id string, frame_index long, t_ms long, point_id long, x double, y double")
+    m = R.match_consecutive(points, block=4)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    want = set()
+    for f in range(20):
+        used = set()
+        cur, prev = ([r for r in rows if r[1] == g] for g in (f, f - 1))
+        for d, a, b in sorted((math.sqrt((c[4] - p[4]) ** 2 + (c[5] - p[5]) ** 2), c[3], p[3]) for c in cur for p in prev if 0 < c[2] - p[2] <= 500):
+            if d <= 0.5 and not {("l", a), ("r", b)} & used:
+                used |= {("l", a), ("r", b)}
+                want.add((f, a, b))
+    got = [(r.frame_index, r.point_id, r.p_id) for r in m.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {f for f, _, _ in want} >= {4, 8, 12, 16} and not {6, 7, 13} & {f for f, _, _ in want}
