@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keelson.functions import clock
 from keelson.operators.curation import deleted_clip_keys, mark_cut
 from keelson.plans.joins import checked_join
+from keelson.session import cut_lineage
 
 FRAME = ["clip_id", "frame_index"]
 
@@ -81,9 +82,10 @@ def export_listing(objects: DataFrame, cuts: DataFrame, sets: DataFrame | None =
     t = F.regexp_extract("key", FRAME_OBJECT, 2)
     o = o.withColumn("t_s", F.when(t != "", clock.seconds_of_day(t)))
     c = cuts.select(F.col("clip_key").alias("clip_id"), clock.seconds_of_day(F.col("start_ts")).alias("start_ms"), clock.seconds_of_day(F.col("end_ts")).alias("end_ms"))
-    timed = mark_cut(o.filter("t_s IS NOT NULL").withColumnRenamed("clip_key", "clip_id"), c, t="t_s", width=600.0)
-    kept = timed.filter("NOT cut").select("key")
-    return kept.unionByName(o.filter("t_s IS NULL").select("key"))
+    # many objects bear one time: each time of a clip is placed among the cuts once
+    times = o.filter("t_s IS NOT NULL").select(F.col("clip_key").alias("clip_id"), "t_s").distinct()
+    cut = cut_lineage(mark_cut(times, c, t="t_s", width=600.0).filter("cut").select(F.col("clip_id").alias("clip_key"), "t_s"))
+    return checked_join(o, cut, ["clip_key", "t_s"], "left_anti", spread="key").select("key")
 
 
 def ingest_report(listing: DataFrame, radar_headers: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from keelson.operators import sectors as S
 from keelson.operators import smoothing as SM
 from keelson.operators import tracking as K
 from keelson.params import FISHEYE
+from keelson.sources import sinks as K06
 
 
 def bins(spark, series, **cols):
@@ -286,3 +287,14 @@ def test_consecutive_matching_shuffles_points_once(spark):
                 want.add((f, a, b))
     got = [(r.frame_index, r.point_id, r.p_id) for r in m.collect()]
     assert len(got) == len(set(got)) and set(got) == want and {f for f, _, _ in want} >= {4, 8, 12, 16} and not {6, 7, 13} & {f for f, _, _ in want}
+
+
+def test_export_places_each_time_among_the_cuts_once(spark, monkeypatch):
+    seen = []
+    real = K06.mark_cut
+    monkeypatch.setattr(K06, "mark_cut", lambda d, *a, **kw: (seen.append(d.count()), real(d, *a, **kw))[1])
+    keys = [f"Lake1/frames/ts=00-00-{s:02d}.5.jpg" for s in range(10)] * 50 + ["Lake1/meta.json"] * 3 + ["Lake2/frames/ts=00-00-05.5.jpg"]
+    cuts = spark.createDataFrame([("Lake1", "00:00:04.0", "00:00:06.5")], "clip_key string, start_ts string, end_ts string")
+    got = [r.key for r in K06.export_listing(spark.createDataFrame([(k,) for k in keys], "key string"), cuts).collect()]
+    assert sorted(got) == sorted(k for k in keys if not k.startswith("Lake1/frames") or k[22:24] not in ("04", "05", "06"))
+    assert seen == [11]
