@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,53 +75,73 @@ def amplitudes(score: Column, rng: Column, ttc: Column, free: Column | None, hp:
 
 def recommend_heading(records: DataFrame, hp: HeadingPolicy = HeadingPolicy(), *, free: str | None = None,
                       course: Column | None = None) -> DataFrame:
-    """Adds ``heading_deg`` (null when abstaining) and ``heading_reason``.
+    """Adds ``heading_deg`` (null when abstaining), ``heading_reason`` and ``best_cost``.
 
     ``records`` holds arrays ``centers, scores, min_range_m, ttc_s`` (and the free-space
-    array).  Every candidate heading is costed with array functions, so nothing is
+    array).  Every candidate heading of a batch of records is costed with arrays, so nothing is
     shuffled.
     """
     zipped = F.arrays_zip("centers", "scores", "min_range_m", "ttc_s", *([free] if free else []))
     amps = F.transform(zipped, lambda b: F.struct(
-        b["centers"].alias("c"),
+        b["centers"].cast("double").alias("c"),
         amplitudes(b["scores"], b["min_range_m"], b["ttc_s"], b[free] if free else None, hp).alias("a")))
-    terms = ("block", "close", "ttc")
-    # bins without any amplitude cannot raise a maximum over 0
-    d = records.withColumn("__amps", F.filter(amps, lambda b: F.greatest(*[b["a"][t] for t in terms]) > 0))
-    lo, hi = F.element_at("centers", 1), F.element_at("centers", -1)
-    n = F.greatest(F.lit(0), F.round((hi - lo) / hp.step_deg).cast("int"))
     ref = course if course is not None else F.lit(0.0)
 
-    def costed(i):
-        th = lo + i * F.lit(hp.step_deg)
-
-        # the kernel is worked out once per bin and serves all three terms
-        spread = F.transform("__amps", lambda b: F.struct(
-            F.exp(-F.pow(th - b["c"], 2) / (2.0 * hp.sigma_deg ** 2)).alias("k"), b["a"].alias("a")))
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in terms])
-        worst = F.aggregate(spread, zero, lambda acc, b: F.struct(*[F.greatest(acc[c], b["a"][c] * b["k"]).alias(c) for c in terms]))
-        return F.struct(i.alias("i"), th.alias("th"), worst.alias("w"),
-                        (hp.w_course * F.least(F.abs(th - ref) / hp.max_swing_deg, F.lit(1.0))).alias("course"))
-
-    d = d.withColumn("__terms", F.transform(F.sequence(F.lit(0), n), costed))
-    weight = dict(zip(terms, (hp.w_block, hp.w_close, hp.w_ttc)))
-    part = lambda c, t: weight[t] * F.least(c["w"][t], F.lit(1.0))
-    d = d.withColumn("__curve", F.transform("__terms", lambda c: F.struct(
-        (part(c, "block") + part(c, "close") + part(c, "ttc") + c["course"]).alias("cost"), c["i"].alias("i"), c["th"].alias("th"),
-        *[part(c, t).alias(t) for t in terms], c["course"].alias("course"))))
-    d = d.withColumn("__best", F.array_min("__curve"))
-    best = F.col("__best.cost")
-    limit = F.when(best == 0, F.lit(1e-9)).otherwise(best * (1 + hp.tied_frac))
-    flat = (best == 0) & ~F.exists("__curve", lambda c: c["cost"] != 0)
-    rival = F.exists("__curve", lambda c: (c["i"] != F.col("__best.i")) & (c["cost"] <= limit)
-                     & (F.abs(c["th"] - F.col("__best.th")) >= hp.tied_sep_deg))
-    b, c, t, k = (F.col(f"__best.{x}") for x in ("block", "close", "ttc", "course"))
-    top = F.greatest(b, c, t, k)
-    reason = (F.when(F.lit(hp.abstain > 0) & (b >= hp.abstain), "all_blocked").when(~flat & rival, "ambiguous")
-              .when(best == 0, "clear").when(b == top, "block").when(c == top, "close").when(t == top, "ttc").otherwise("course"))
-    d = d.withColumn("heading_reason", reason).withColumn(
-        "heading_deg", F.when(~F.col("heading_reason").isin("all_blocked", "ambiguous"), F.col("__best.th")))
-    return d.withColumn("best_cost", best).drop("__amps", "__terms", "__curve", "__best")
+    def costed(bins: pa.Array, course_deg: pa.Array) -> pa.Array:
+        refs = course_deg.to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.list_value_length(bins), 0).to_numpy(zero_copy_only=False)
+        heading, cost, reason = np.full(len(bins), np.nan), np.empty(len(bins)), np.empty(len(bins), object)
+        for m in np.unique(size):
+            same = np.flatnonzero(size == m)
+            for at in np.split(same, range(HEADING_ROWS, len(same), HEADING_ROWS)):
+                flat = bins.take(pa.array(at)).flatten()
+                c = flat.field("c").to_numpy(zero_copy_only=False).astype(float).reshape(len(at), m)
+                a = [flat.field("a").field(t).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), m) for t in ("block", "close", "ttc")]
+                heading[at], cost[at], reason[at] = _headings(c, a, refs[at].astype(float), hp)
+        return pa.StructArray.from_arrays([pa.array(heading, from_pandas=True), pa.array(cost), pa.array(reason, pa.string())], ["th", "cost", "reason"])
+
+    found = F.arrow_udf(costed, "th double, cost double, reason string")(amps, ref.cast("double"))
+    d = records.withColumn("__best", found)
+    d = d.withColumn("heading_reason", F.col("__best.reason")).withColumn("heading_deg", F.col("__best.th"))
+    return d.withColumn("best_cost", F.col("__best.cost")).drop("__best")
+
+
+#: records costed at a time
+HEADING_ROWS = 1024
+
+
+def _headings(c: np.ndarray, amps: list[np.ndarray], ref: np.ndarray, hp: HeadingPolicy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heading (NaN when abstaining), cost and reason of records with centres ``c`` and amplitudes
+    (block, close, ttc), all records x bins."""
+    if not c.shape[1]:
+        # nothing is known of a record without bins: each term is at its most
+        c, amps = np.full((len(c), 1), np.nan), [np.ones((len(c), 1))] * 3
+    rows, m = c.shape
+    lo, hi = c[:, 0], c[:, -1]
+    n = np.nan_to_num(np.maximum(0, np.floor((hi - lo) / hp.step_deg + 0.5)))
+    i = np.arange(int(n.max(initial=0)) + 1)
+    th = lo[:, None] + i * hp.step_deg
+    # centres are those of a grid: few different rows, whose kernel is worked out once
+    grids, which = np.unique(c, axis=0, return_inverse=True)
+    off = grids[:, :1] + i * hp.step_deg
+    square = (-((off[:, :, None] - grids[:, None, :]) ** 2) / (2.0 * hp.sigma_deg ** 2)).ravel().tolist()
+    kernel = np.array([math.exp(x) for x in square]).reshape(len(grids), len(i), m)[which.ravel()]
+    # missing values: the least of one and nothing is one
+    parts = [w * np.fmin((a[:, None, :] * kernel).max(2, initial=0.0), 1.0)
+             for a, w in zip(amps, (hp.w_block, hp.w_close, hp.w_ttc))]
+    parts.append(hp.w_course * np.fmin(np.abs(th - ref[:, None]) / hp.max_swing_deg, 1.0))
+    cost = parts[0] + parts[1] + parts[2] + parts[3]
+    cost[i > n[:, None]] = np.inf
+    k, row = cost.argmin(1), np.arange(rows)
+    best, at = cost[row, k], th[row, k]
+    limit = np.where(best == 0, 1e-9, best * (1 + hp.tied_frac))
+    flat = (best == 0) & ((cost == 0) | np.isinf(cost)).all(1)
+    rival = ((i != k[:, None]) & (cost <= limit[:, None]) & (np.abs(th - at[:, None]) >= hp.tied_sep_deg)).any(1)
+    b, close, ttc, course = (p[row, k] for p in parts)
+    top = np.maximum(np.maximum(b, close), np.maximum(ttc, course))
+    blocked, tied = (b >= hp.abstain) & (hp.abstain > 0), ~flat & rival
+    reason = np.select([blocked, tied, best == 0, b == top, close == top, ttc == top], ["all_blocked", "ambiguous", "clear", "block", "close", "ttc"], "course")
+    return np.where(blocked | tied, np.nan, at), best, reason.astype(object)
 
 
 def decide(records: DataFrame, blocked: float = 0.66, alert: float = 0.33, hard_stop_m: float | None = 2.0) -> DataFrame:

@@ -298,3 +298,34 @@ def test_export_places_each_time_among_the_cuts_once(spark, monkeypatch):
     got = [r.key for r in K06.export_listing(spark.createDataFrame([(k,) for k in keys], "key string"), cuts).collect()]
     assert sorted(got) == sorted(k for k in keys if not k.startswith("Lake1/frames") or k[22:24] not in ("04", "05", "06"))
     assert seen == [11]
+
+
+def test_heading_is_costed_in_batches_and_agrees_with_a_plain_search(spark):
+    import numpy as np
+
+    hp, rng = S.HeadingPolicy(), np.random.default_rng(3)
+    rows = []
+    for k in range(200):
+        m = (7, 2, 1)[k % 3]
+        known = lambda hi: [None if rng.random() < 0.3 else float(x) for x in rng.uniform(0, hi, m)]
+        rows.append(("c", k, [-45.0 + 15 * j for j in range(m)], [float(x) for x in rng.uniform(0, 0.9 if k % 4 else 0.3, m)], known(15), known(60)))
+    d = spark.createDataFrame(rows, "clip_id string, frame_index long, centers array<double>, scores array<double>, min_range_m array<double>, ttc_s array<double>")
+    planned = S.recommend_heading(d)
+    assert "lambda" not in planned.select("best_cost")._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ").split("costed", 1)[0]
+    got = {r.frame_index: r for r in planned.collect()}
+    for _, k, centers, scores, near, ttc in rows:
+        costs = []
+        for i in range(int(centers[-1] - centers[0]) + 1):
+            th, worst = centers[0] + i, [0.0, 0.0, 0.0]
+            for c, s, r, t in zip(centers, scores, near, ttc):
+                block = 0.0 if s < hp.alert else 0.5 * (s - hp.alert) / (hp.blocked - hp.alert) if s < hp.blocked else 0.5 + 0.5 * (s - hp.blocked) / (1 - hp.blocked)
+                amps = (block, 0.0 if s < hp.alert or r is None else 5 / (max(r, 0.5) + 5), 0.0 if s < hp.alert or t is None else 5 / (max(t, 0.5) + 5))
+                worst = [max(w, a * math.exp(-(th - c) ** 2 / 288)) for w, a in zip(worst, amps)]
+            b, n, t = worst[0], 0.3 * worst[1], 0.6 * worst[2]
+            costs.append((b + n + t + 0.2 * min(abs(th) / 30, 1), i, th, b))
+        cost, i, th, b = min(costs)
+        rival = any(j != i and c <= (cost * 1.05 if cost else 1e-9) and abs(h - th) >= 30 for c, j, h, _ in costs)
+        assert abs(got[k].best_cost - cost) < 1e-9
+        assert got[k].heading_deg == (None if b >= hp.abstain or rival else th)
+    empty = d.limit(1).select("clip_id", "frame_index", *[F.lit(None).cast("array<double>").alias(c) for c in ("centers", "scores", "min_range_m", "ttc_s")])
+    assert S.recommend_heading(empty).select("heading_deg", "heading_reason").first() == (None, "all_blocked")
