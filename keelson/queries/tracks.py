@@ -280,7 +280,9 @@ def identity(spark, sf):
     cid = (F.col("stretch") * 1_000_000 + F.col("track_id")).cast("bigint")
     # what several steps read is worked out once
     cams = cut_lineage(K.track_boxes(b).select("clip_id", "frame_index", "box_id", cid.alias("camera_id")).join(b.select("clip_id", "frame_index", "box_id", "angle_deg"), ["clip_id", "frame_index", "box_id"]))
-    cl = cut_lineage(clustered(spark, sf))
+    # only what observations read goes through the clusters' shuffle and is kept
+    seen = R.with_polar(_kept(spark, sf)).select("clip_id", "frame_index", "point_id", "x", "y", "vx", "vy")
+    cl = cut_lineage(K.cluster_points(seen))
     trk = K.track_targets(K.observations(cl), R.frame_counts(view(spark, sf, "fx_radar"))).withColumn("track_id", (F.col("stretch") * 1_000_000 + F.col("track_id")).cast("bigint"))
     trk = cut_lineage(trk)
     pts = cl.select("clip_id", "frame_index", "point_id", "cluster_id").join(trk.select("clip_id", "frame_index", "cluster_id", "track_id"), ["clip_id", "frame_index", "cluster_id"])
